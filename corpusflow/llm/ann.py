@@ -2,9 +2,10 @@
 
 A bounded sample of the vectors (``sample`` rows, those whose id hashes lowest) is joined into a graph of exact nearest
 neighbours; the graph is cut into balanced parts by repeated majority votes of the neighbours under a size limit; a small
-classifier (a linear softmax) learns which part a vector belongs to.  Every row of the table is then indexed under its
-``copies`` likeliest parts, and a query is routed to its ``probes`` likeliest parts, whose members are ranked by the exact
-inner product in double precision.  Parts are dealt over tasks in salted shares, so one that many equal vectors fill is
+classifier (a linear softmax) learns which parts a vector and its neighbours belong to.  Every row of the table is then
+indexed under its likeliest part, and a query is routed to several of its likeliest parts, whose members are ranked by the
+exact inner product in double precision.  How many parts are probed is measured: an eighth of the sample is held out of the
+fit, and as many probes are taken as let it find the share ``recall`` of its exact neighbours in the sample.  Parts are dealt over tasks in salted shares, so one that many equal vectors fill is
 searched by many tasks; each share returns at most ``k`` rows a query.
 
 Vectors that are null, zero, of another length than most of the sample's, or that hold a null or non-finite component take
@@ -29,11 +30,11 @@ from ._store import materialize, partitions
 @dataclass
 class Router:
     weights: np.ndarray  # (dim + 1, parts)
-    norm: float
+    probes: int
 
     def rank(self, x: np.ndarray, n: int) -> np.ndarray:
         """The ``n`` likeliest parts of each row."""
-        logits = np.c_[x / self.norm, np.ones(len(x))] @ self.weights
+        logits = np.c_[x, np.ones(len(x))] @ self.weights
         n = min(n, logits.shape[1])
         top = np.argpartition(-logits, n - 1, axis=1)[:, :n]
         return np.take_along_axis(top, np.argsort(-np.take_along_axis(logits, top, 1), axis=1, kind="stable"), 1)
@@ -88,33 +89,48 @@ def place(liking: np.ndarray, cap: int) -> np.ndarray:
     return part
 
 
-def fit_router(x: np.ndarray, part: np.ndarray, parts: int, steps: int = 300, rate: float = 0.5) -> np.ndarray:
-    """Softmax regression by momentum over the whole sample."""
+def fit_router(x: np.ndarray, part: np.ndarray, graph: np.ndarray, parts: int, steps: int = 300, rate: float = 0.5) -> np.ndarray:
+    """Softmax regression by momentum; the target of a row mixes its own part with those of its neighbours."""
     a = np.c_[x, np.ones(len(x))]
     w = np.zeros((a.shape[1], parts))
+    want = np.zeros((len(x), parts))
+    want[np.arange(len(x)), part] = 0.3
+    np.add.at(want, (np.repeat(np.arange(len(x)), graph.shape[1]), part[graph].ravel()), 0.7 / graph.shape[1])
     for p in range(parts):
         if (part == p).any():
             w[:-1, p] = 4 * x[part == p].mean(0)
-    hot = np.zeros((len(x), parts))
-    hot[np.arange(len(x)), part] = 1
     v = np.zeros_like(w)
     for _ in range(steps):
         z = a @ w
         z -= z.max(1, keepdims=True)
         e = np.exp(z)
         e /= e.sum(1, keepdims=True)
-        v = 0.9 * v + a.T @ (e - hot) / len(x) * parts
+        v = 0.9 * v + a.T @ (e - want) / len(x) * parts
         w -= rate * v / max(1.0, np.sqrt(parts))
     return w
 
 
+def probes_for(router: Router, x: np.ndarray, held: np.ndarray, recall: float, k: int = 20) -> int:
+    """Probes with which the held-out rows find ``recall`` of their exact neighbours in the sample."""
+    parts = router.weights.shape[1]
+    home, order = router.rank(x, 1)[:, 0], router.rank(x[held], parts)
+    near = x[held] @ x.T
+    near[np.arange(len(held)), held] = -np.inf
+    k = min(k, len(x) - 1)
+    top = np.argpartition(-near, k - 1, axis=1)[:, :k]
+    place_of = np.empty_like(order)
+    np.put_along_axis(place_of, order, np.broadcast_to(np.arange(parts), order.shape), 1)
+    places = np.sort(np.take_along_axis(place_of, home[top], 1).ravel())
+    return int(places[min(len(places) - 1, int(np.ceil(recall * len(places))))]) + 1
+
+
 def usable(v: Column) -> Column:
     """Neither null nor zero, all components finite."""
     bad = F.exists(v, lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf")))
     return v.isNotNull() & ~bad & F.exists(v, lambda c: c != 0)
 
 
-def fit(vectors: DataFrame, sample: int = 8192, parts: int = 32, neighbours: int = 10) -> Router | None:
+def fit(vectors: DataFrame, sample: int = 8192, parts: int = 64, neighbours: int = 20, recall: float = 0.96) -> Router | None:
     """Learn from at most ``sample`` rows: the bound of what the driver holds."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(rows):
@@ -124,15 +140,20 @@ def fit(vectors: DataFrame, sample: int = 8192, parts: int = 32, neighbours: int
     # directions decide the cut; the inner product ranks
     x /= np.linalg.norm(x, axis=1, keepdims=True)
     parts = max(1, min(parts, len(x) // 16))
-    part = balanced_parts(x, neighbour_graph(x, neighbours), parts) if parts > 1 else np.zeros(len(x), int)
-    return Router(fit_router(x, part, parts) if parts > 1 else np.zeros((dim + 1, 1)), 1.0)
+    if parts == 1:
+        return Router(np.zeros((dim + 1, 1)), 1)
+    held, seen = np.arange(0, len(x), 8), np.setdiff1d(np.arange(len(x)), np.arange(0, len(x), 8))
+    graph = neighbour_graph(x[seen], neighbours)
+    router = Router(fit_router(x[seen], balanced_parts(x[seen], graph, parts), graph, parts), 1)
+    router.probes = probes_for(router, x, held, recall)
+    return router
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, probes: int = 10, sample: int = 8192, parts: int = 32, rows_per_share: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.96, sample: int = 8192, parts: int = 64, rows_per_share: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which ``queries`` holds."""
     spark = vectors.sparkSession
     base = materialize(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), queries.alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    router = fit(base, sample, parts)
+    router = fit(base, sample, parts, recall=recall)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if router is None:
         return spark.createDataFrame([], schema)
@@ -154,7 +175,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, probes: int = 10, s
             unit = x / np.linalg.norm(x, axis=1, keepdims=True)
             home = sent.value.rank(unit, 1)[:, 0]
             salt = (ids * 0x9E3779B1 % (1 << 32)) % shares
-            goes = sent.value.rank(unit[q], probes)
+            goes = sent.value.rank(unit[q], sent.value.probes)
             width = goes.shape[1] if len(goes) else 0
             which = np.repeat(np.flatnonzero(q), width * shares)
             cell = (goes.reshape(-1, 1) * shares + np.arange(shares)).ravel() if len(goes) else np.zeros(0, np.int64)
