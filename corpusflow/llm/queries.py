@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, packing, pii, toxicity, urlfilter
+from . import ann, chat, decontaminate, packing, pii, toxicity, urlfilter
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,6 +17,10 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "text", "n_pii", F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 
+def op2_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.mark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op3_learned_partitions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
 
@@ -66,5 +70,5 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op3_learned_partitions, op4_chat, op5_toxicity, op7_packing, op10_url_filter)}
-ORACLES = {"op4_chat": OP4, "op10_url_filter": urlfilter.oracle()}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op7_packing, op10_url_filter)}
+ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op4_chat": OP4, "op10_url_filter": urlfilter.oracle()}
