@@ -20,6 +20,8 @@ BASE = 0x9E3779B97F4A7C15 | 1
 WORD_BASE = 0xC2B2AE3D27D4EB4F | 1
 #: Texts are handled in runs of about this many bytes.
 RUN_BYTES = 1 << 20
+#: A text longer than that is hashed in segments.
+SEGMENT = 1 << 22
 
 
 def _table(base: int) -> list[np.ndarray]:
@@ -94,7 +96,15 @@ def words(data: np.ndarray, off: np.ndarray, sep: np.ndarray) -> tuple[np.ndarra
 
 
 def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
-    """A hash of each span of bytes."""
+    """A hash of each span of bytes; spans are in order and apart."""
+    if len(data) > SEGMENT and len(start) > 1:
+        cut = np.unique(np.searchsorted(start, np.arange(0, len(data), SEGMENT // 2)))
+        cut = [*cut[cut < len(start)].tolist(), len(start)]
+        return np.concatenate([span_hashes(data[start[i] : end[j - 1]], start[i:j] - start[i], end[i:j] - start[i], code) if j - i < len(start) else _spans(data, start, end, code) for i, j in zip(cut, cut[1:], strict=False)])
+    return _spans(data, start, end, code)
+
+
+def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarray) -> np.ndarray:
     up, down = powers(BASE, len(data) + 1)
     total = np.empty(len(data) + 1, U64)
     total[0] = 0

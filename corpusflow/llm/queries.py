@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, packing, pii, toxicity, urlfilter
+from . import ann, chat, decontaminate, packing, pii, toxicity, urlfilter, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -66,9 +66,24 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = windows.remove(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op7_packing, op10_url_filter)}
-ORACLES = {"op2_decontamination": decontaminate.ORACLE, "op4_chat": OP4, "op10_url_filter": urlfilter.oracle()}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op7_packing, op8_substring_dedup, op10_url_filter)}
+OP8 = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (SELECT doc_id, s, hash(list_slice(w, s, s + 49)) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS s)),
+m AS (SELECT h, min(doc_id) AS least FROM g GROUP BY h),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s, s + 50)) AS p FROM g JOIN m USING (h) WHERE least < doc_id),
+r AS (SELECT doc_id, list(p) AS ps, count(*) AS n FROM gone GROUP BY doc_id)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, coalesce(n, 0)::BIGINT AS n_removed,
+    sha256(array_to_string(list_filter(w, lambda x, i: n IS NULL OR NOT list_contains(ps, i)), ' ')) AS kept_sha256
+FROM d LEFT JOIN r USING (doc_id)"""
+
+ORACLES = {"op8_substring_dedup": OP8, "op2_decontamination": decontaminate.ORACLE, "op4_chat": OP4, "op10_url_filter": urlfilter.oracle()}
