@@ -112,6 +112,14 @@ def _spans(data: np.ndarray, start: np.ndarray, end: np.ndarray, code: np.ndarra
     return mix((total[end] - total[start]) * down[start] + (end - start).astype(U64))
 
 
+def span_hashes_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A hash of each span of bytes; spans are in order of their starts and may overlap, and are short against a segment."""
+    if len(data) <= 2 * SEGMENT:
+        return _spans(data, start, end, CODE)
+    cut = [*np.unique(np.searchsorted(start, np.arange(0, len(data), SEGMENT))).tolist(), len(start)]
+    return np.concatenate([np.zeros(0, U64), *(_spans(data[start[i] : end[i:j].max()], start[i:j] - start[i], end[i:j] - start[i], CODE) for i, j in zip(cut, cut[1:], strict=False) if j > i)])
+
+
 def rolling(items: np.ndarray, k: int) -> np.ndarray:
     """Hash of ``items[i:i+k]`` for each i; callers mask those that cross documents."""
     n = len(items)
