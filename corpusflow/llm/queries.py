@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, chat, decontaminate, packing, pii, suffixes, toxicity, urlfilter, windows
+from . import ann, chat, decontaminate, jaccard, packing, pii, suffixes, toxicity, urlfilter, windows
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,6 +60,10 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.link_components(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -80,7 +84,7 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op7_packing, op8_substring_dedup, op9_suffix_dedup, op10_url_filter)}
+QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op6_jaccard_join, op7_packing, op8_substring_dedup, op9_suffix_dedup, op10_url_filter)}
 OP8 = r"""
 WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
 g AS (SELECT doc_id, s, hash(list_slice(w, s, s + 49)) AS h FROM d, LATERAL (SELECT unnest(range(1, len(w) - 48)) AS s)),
