@@ -1,2 +1,60 @@
-STAGES=[]; ORACLE_SQL=None
-def run(spark, sf_dir): ...
+"""A training-data pipeline of five stages over ``documents``; each stage works on all that its predecessor kept.
+
+Stages but the last return the columns of ``documents``: toxicity drops rejected documents, the Jaccard join keeps the
+document of least id in each component (rows with no shingles all stay), decontamination drops documents that hold a window
+of a benchmark item, personal data become pseudonyms, and packing returns the pieces and their places in sequences.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+
+from corpusflow.llm import decontaminate, jaccard, packing, pii, toxicity
+from corpusflow.llm._store import materialize
+
+
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier doesn't predict toxic; labels are read from ``sf_dir``."""
+    model = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.score(docs, model).where("predicted = 0").select(*docs.columns)
+
+
+def keep_one_of_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each component of the Jaccard join."""
+    return jaccard.keep_one(docs)
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no window of a benchmark item."""
+    return decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, with pseudonyms."""
+    return pii.pseudonymize(docs).select(*docs.columns)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The pieces of all documents and their places."""
+    import public_tokenizers
+
+    return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("jaccard_join", keep_one_of_group),
+    ("decontamination", drop_contaminated),
+    ("pii", hide_personal_data),
+    ("packing", pack_sequences),
+]
+#: Learned scores, keyed permutations and tokenizers are beyond SQL.
+ORACLE_SQL = None
+
+
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The stages over ``documents``; each result is written and read again."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), name)
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,3 +28,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
 def partitions(spark: SparkSession) -> int:
     """Reduce-side parallelism of the session."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
+
+
+def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
+    """``df``, a few short columns, as the side of a join to broadcast if it has at most ``rows`` rows, else to hash after a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")

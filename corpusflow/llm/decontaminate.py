@@ -18,6 +18,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._store import materialize, small_side
+
 UPPER, LOW = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Fixed value: what stands between words, once A-Z are lower-cased.
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -50,20 +52,20 @@ def keyed(own: DataFrame, docs: DataFrame, small: bool) -> DataFrame:
 
 
 def mark(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int = 500_000) -> DataFrame:
-    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated: a document word inside any window that occurs is hit."""
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated and text_hash: a document word inside any window that occurs is hit."""
     own = windows(items, size).persist()
     small = own.count() <= broadcast_rows
     keys = keyed(own, docs, small)
-    row = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", words_of(F.col("text")).alias("words"))
+    row = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
     # one token more than the text has carries the number of words, so that each document keeps a row
     end = keys.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"), F.lit("").alias("key"), F.lit(0).alias("off"))
     tokens = F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "key")
     if small:
-        near = row.select("row", "doc_id", "words", F.lit(0).alias("base"), tokens)
+        near = row.select("row", "doc_id", "text_hash", "words", F.lit(0).alias("base"), tokens)
         found = near.join(F.broadcast(keys.unionByName(end)), "key")
     else:
         first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-        near = row.select("row", "doc_id", "words", tokens).select("row", "doc_id", "pos", "key", F.slice("words", first + 1, 2 * size - 1).alias("words"), first.alias("base"))
+        near = row.select("row", "doc_id", "text_hash", "words", tokens).select("row", "doc_id", "text_hash", "pos", "key", F.slice("words", first + 1, 2 * size - 1).alias("words"), first.alias("base"))
         found = near.join(keys, "key", "left").where(F.col("window").isNotNull() | (F.col("key") == ""))
     start = F.col("pos") - F.col("off")
     length = F.size("window")
@@ -71,7 +73,7 @@ def mark(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int
     same = F.slice("words", F.when(fits, start - F.col("base") + 1).otherwise(1), F.when(fits, length).otherwise(0)) == F.col("window")
     found = found.where((F.col("key") == "") | (fits & same))
     hit = F.when(F.col("key") != "", F.struct(start.alias("s"), (start + length).alias("e")))
-    per = found.groupBy("row", "doc_id").agg(
+    per = found.groupBy("row", "doc_id", "text_hash").agg(
         F.max(F.when(F.col("key") == "", F.col("pos"))).cast("long").alias("n_words"),
         F.array_sort(F.collect_set(hit)).alias("hits"),
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("ids"),
@@ -88,9 +90,17 @@ def mark(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int
         F.size("ids").cast("long").alias("n_items"),
         F.sha2(F.array_join("ids", ","), 256).alias("items_sha256"),
         (F.size("hits") > 0).alias("contaminated"),
+        "text_hash",
     )
 
 
+def clean(docs: DataFrame, items: DataFrame, size: int = 10) -> DataFrame:
+    """The rows of ``docs`` that hold no window of an item."""
+    bad = mark(docs, items, size).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct()
+    bad = small_side(materialize(bad, "contaminated"))
+    return docs.join(bad, docs["doc_id"].eqNullSafe(bad["_id"]) & (F.xxhash64(docs["text"]) == bad["_hash"]), "left_anti").select(*[docs[c] for c in docs.columns])
+
+
 _W = rf"regexp_extract_all(translate(coalesce(text, ''), '{UPPER}', '{LOW}'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 ORACLE = f"""
 WITH d AS (SELECT doc_id, {_W} AS w FROM documents),

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _repeats as R
 from . import _text as T
 from ._components import components
-from ._store import materialize, partitions
+from ._store import materialize, partitions, small_side
 
 SKETCH_BITS = 21
 #: Fragments of the order into which whole sets are cut.
@@ -77,7 +77,7 @@ def members(docs: DataFrame, n: int) -> DataFrame:
     """Materialized: doc_id, n and the set of each row; and parts of the sketch of shingle counts (``cells``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts, known = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(0, np.int64)
+        counts, none_yet = np.zeros(1 << SKETCH_BITS, np.int64), np.zeros(0, np.int64)
         for batch in batches:
             ids, sizes, names = R.keys_of(batch.column(0)), [], []
             for _, _, value, first, name in batches_of_sets(batch, 1, n):
@@ -89,17 +89,15 @@ def members(docs: DataFrame, n: int) -> DataFrame:
                 new[np.unique(name, return_index=True)[1]] = True
                 v = value[np.repeat(new, size)]
                 counts += np.bincount((v >> T.U64(64 - SKETCH_BITS)).astype(np.int64), minlength=len(counts))
-            del known
-            known = np.zeros(0, np.int64)
             nulls = pa.nulls(len(ids))
-            yield pa.RecordBatch.from_arrays([pa.array(ids), pa.array(np.concatenate([*sizes, known]), pa.int64()), pa.array(np.concatenate([*names, known]), pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], ["doc_id", "n", "node", "part", "cells"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2), pa.array(np.concatenate([*sizes, none_yet]), pa.int64()), pa.array(np.concatenate([*names, none_yet]), pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], ["doc_id", "text_hash", "n", "node", "part", "cells"])
         step = 1 << 16
         value = np.minimum(counts, 65535).astype(np.uint16)
         parts = [i for i in range(0, len(value), step) if value[i : i + step].any()]
         none = pa.nulls(len(parts), pa.int64())
-        yield pa.RecordBatch.from_arrays([none, none, none, pa.array([p // step for p in parts], pa.int32()), pa.array([value[p : p + step].tobytes() for p in parts], pa.binary())], ["doc_id", "n", "node", "part", "cells"])
+        yield pa.RecordBatch.from_arrays([none, none, none, none, pa.array([p // step for p in parts], pa.int32()), pa.array([value[p : p + step].tobytes() for p in parts], pa.binary())], ["doc_id", "text_hash", "n", "node", "part", "cells"])
 
-    return materialize(docs.select("doc_id", "text").mapInArrow(run, "doc_id bigint, n bigint, node bigint, part int, cells binary"), "members")
+    return materialize(docs.select("doc_id", "text", F.xxhash64("text").alias("h")).mapInArrow(run, "doc_id bigint, text_hash bigint, n bigint, node bigint, part int, cells binary"), "members")
 
 
 def order_classes(table: DataFrame) -> np.ndarray:
@@ -256,7 +254,7 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, n: int, bro
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(blobs, pa.binary())], ["node", "n", "shingles"])
 
     ids = wanted.select(F.col("rep").alias("_key")).distinct()
-    ids = F.broadcast(ids) if wanted.count() <= broadcast_rows else ids.hint("shuffle_hash")
+    ids = small_side(ids, broadcast_rows)
     own = docs.select(F.coalesce("doc_id", F.lit(int(R.NO_ID))).alias("_key"), "text").join(ids, "_key", "left_semi").select("text")
     rows = own.mapInArrow(run, "node bigint, n bigint, shingles binary").where("n > 0").join(wanted.select("node"), "node", "left_semi")
     return materialize(rows.dropDuplicates(["node"]), "sets")
@@ -370,10 +368,10 @@ def cluster_links(stars: DataFrame, sets: DataFrame, percent: int, centers: int,
 
 
 def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int = 24, centers: int = 64, block: int = 256) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``."""
+    """doc_id, n_shingles and component_id of each row of ``docs``; ``group`` is the component's least node, null without words."""
     table = members(docs, n)
     classes = order_classes(table)
-    rows = table.where("part is null").select("doc_id", "n", "node")
+    rows = table.where("part is null").select("doc_id", "text_hash", "n", "node")
     pairs = prefix_pairs(docs, classes, n, percent, dense)
     slack = F.greatest(F.col("na") - prefix_column("na", percent), F.col("nb") - prefix_column("nb", percent))
     likely = pairs.where("shared > 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
@@ -391,8 +389,24 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int =
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "group", "left")
     null = lambda c: F.when(c != int(R.NO_ID), c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"))
+    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"), "group", "text_hash")
 
 
 def prefix_column(n: str, percent: int) -> Column:
     return F.expr(f"{n} - ceil({percent} * {n} / 100.0D) + 1")
+
+
+def keep_one(docs: DataFrame, **kw) -> DataFrame:
+    """The rows of ``docs`` without the copies and near copies of others: of each component that of the least id (then of the
+    least hash of its text) stays, once; rows without words all stay."""
+    groups = materialize(link_components(docs, **kw), "groups")
+    key = F.coalesce("doc_id", F.lit(int(R.NO_ID)))
+    kept = groups.where("group is not null").groupBy("group").agg(F.min(F.struct(key.alias("_id"), F.col("text_hash").alias("_hash"))).alias("one")).select("one.*")
+    kept = kept.unionByName(groups.where("group is null").select(key.alias("_id"), F.col("text_hash").alias("_hash"))).distinct()
+    own = docs.withColumns({"_id": key, "_hash": F.xxhash64("text")}).join(small_side(materialize(kept, "kept")), ["_id", "_hash"], "left_semi")
+    again = groups.where("group is not null").groupBy(key.alias("_id"), F.col("text_hash").alias("_hash")).count().where("count > 1").select("_id", "_hash")
+    again = materialize(again, "again")
+    if not again.isEmpty():  # rows that repeat id and text
+        again = small_side(again)
+        own = own.join(again, ["_id", "_hash"], "left_anti").unionByName(own.join(again, ["_id", "_hash"], "left_semi").dropDuplicates(["_id", "_hash"]))
+    return own.select(*docs.columns)
