@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,11 +18,27 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+@contextlib.contextmanager
+def shuffles_removed(spark: SparkSession):
+    """Within it, Spark removes the shuffle files of a query when the query has ended, not when the driver collects its garbage."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
+
+
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with shuffles_removed(spark):
+        df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -33,3 +50,9 @@ def partitions(spark: SparkSession) -> int:
 def small_side(df: DataFrame, rows: int = 1_000_000) -> DataFrame:
     """``df``, a few short columns, as the side of a join to broadcast if it has at most ``rows`` rows, else to hash after a shuffle."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df.hint("shuffle_hash")
+
+
+def text_batches(spark: SparkSession) -> None:
+    """Batches of a few megabytes for tasks that hold whole texts, so that workers stay small whatever the texts' lengths."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(4 << 20))
