@@ -16,10 +16,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import partitions
+from ._store import materialize, partitions, shuffles_removed
 
 NO_ID = np.iinfo(np.int64).max
-SEGMENT_BITS = 18
+#: Cells of a segment of the sketch; a cell's place and whether it was met twice fit 16 bits.
+SEGMENT_BITS = 15
 
 
 @dataclass
@@ -74,19 +75,26 @@ def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> T.U64(64 - bits)).astype(np.int64), (T.mix(h) >> T.U64(64 - bits)).astype(np.int64)
 
 
-def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits: int = 26) -> np.ndarray:
+def sketch_bits(docs: DataFrame, by_words: bool, width: int, k: int, most: int = 28) -> int:
+    """Cells of a row of the sketch, as a power of two: four times the anchors to expect from the corpus's bytes, up to ``2**most``."""
+    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+    anchors = size / (6 if by_words else 1) * 2 / (width - k + 2)
+    return max(SEGMENT_BITS, min(most, int(np.ceil(np.log2(4 * anchors + 1)))))
+
+
+def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits: int) -> np.ndarray:
     """Count-min sketch of the anchors over all documents, as two packed rows of "counted twice at least".
 
     Each task counts (up to 2) what its documents hold, once a document, and sends the cells that it touched by segments of
-    the sketch; the segments of all tasks are added in parallel.  The result has ``2 * 2**bits / 8`` bytes whatever the
-    input: where many more anchors than cells exist it lets more pass, and loses none.
+    the sketch; the segments of all tasks are added in parallel.  The result has ``2 * 2**bits / 8`` bytes, 64 MB at most: where
+    many more anchors than cells exist it lets more pass, and loses none.
     """
     low = (1 << SEGMENT_BITS) - 1
 
     def send(touched: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
         seg = touched >> SEGMENT_BITS
         cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.zeros(0, np.int64)
-        value = ((touched & low) << 1 | (n > 1)).astype(np.uint32)
+        value = ((touched & low) << 1 | (n > 1)).astype(np.uint16)
         blobs = [value[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(seg)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(seg[cut], pa.int32()), pa.array(blobs, pa.binary())], ["segment", "cells"])
 
@@ -103,7 +111,7 @@ def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits:
                 a, b = cells(h, bits)
                 held += [a, b + (1 << bits)]
                 size += 2 * len(h)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield from send(*np.unique(np.concatenate(held), return_counts=True))
                 held, size = [], 0
         if held:
@@ -114,7 +122,7 @@ def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits:
         for batch in batches:
             for seg, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 c = counts.setdefault(seg, np.zeros(low + 1, np.uint8))
-                v = np.frombuffer(blob.as_buffer(), np.uint32)
+                v = np.frombuffer(blob.as_buffer(), np.uint16)
                 at = v >> 1
                 c[at] = np.minimum(c[at] + 1 + (v & 1).astype(np.uint8), 2)
         for seg, c in counts.items():
@@ -123,7 +131,9 @@ def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits:
     segments = 2 << (bits - SEGMENT_BITS)
     rows = docs.select("text").mapInArrow(count, "segment int, cells binary").repartition(min(segments, partitions(docs.sparkSession)), "segment").mapInArrow(add, "segment int, twice binary")
     out = np.zeros((segments, (low + 1) // 8), np.uint8)
-    for seg, twice in rows.collect():  # of bounded size
+    with shuffles_removed(docs.sparkSession):
+        found = rows.collect()  # of bounded size
+    for seg, twice in found:
         out[seg] = np.frombuffer(twice, np.uint8)
     return out.reshape(2, -1)
 
@@ -136,47 +146,78 @@ def likely(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def squeeze(raw: bytes) -> bytes:
+    """Sorted columns shrink well; the exchange is what fills disks."""
+    return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)
+
+
+def unsqueeze(blob: pa.Scalar) -> memoryview:
+    b = blob.as_buffer()
+    return memoryview(pa.decompress(b.slice(8), int.from_bytes(b.slice(0, 8).to_pybytes(), "little"), codec="zstd"))
+
+
 def keys_of(ids: pa.Array) -> np.ndarray:
     """Document ids; a null one stands behind all others."""
     return ids.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-SPANS = "doc_id bigint, text_hash bigint, spans binary"
+#: Rows of the exchange of spans: the bucket of their documents, and columns of (document, hash of its text, start, end).
+SPANS = "bucket int, spans binary"
 
 
-def span_rows(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, end: np.ndarray) -> pa.RecordBatch:
-    """One row for each document with its merged spans, as pairs of 64-bit numbers."""
-    order = np.lexsort((start, text_hash, doc))
-    doc, text_hash, start, end = doc[order], text_hash[order], start[order], end[order]
+def span_rows(doc: np.ndarray, text_hash: np.ndarray, start: np.ndarray, end: np.ndarray, parts: int) -> pa.RecordBatch:
+    """Spans, merged where they touch in order, as one blob for each bucket of documents."""
+    bucket = ((T.mix(doc.view(T.U64)) % T.U64(parts)).astype(np.int64)) if len(doc) else np.zeros(0, np.int64)
+    order = np.lexsort((start, text_hash, doc, bucket))
+    bucket, doc, text_hash, start, end = bucket[order], doc[order], text_hash[order], start[order], end[order]
+    numbers, blobs = [], []
     if len(doc):
-        new = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])]
         # spans that still overlap, where ends don't grow with starts, are joined by merged()
-        joined = new | np.r_[True, start[1:] > end[:-1]]
-        at = np.flatnonzero(joined)
+        new = np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])] | np.r_[True, start[1:] > end[:-1]]
+        at = np.flatnonzero(new)
         last = np.r_[at[1:], len(doc)] - 1
-        pairs = np.c_[start[at], end[last]]
-        owner = np.flatnonzero(new[at])
-        blobs = [pairs[i:j].tobytes() for i, j in zip(owner, np.r_[owner[1:], len(at)], strict=True)]
-        doc, text_hash = doc[at][owner], text_hash[at][owner]
-    else:
-        blobs = []
-    return pa.RecordBatch.from_arrays([pa.array(doc, pa.int64()), pa.array(text_hash, pa.int64()), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "spans"])
+        rows = np.stack([doc[at], text_hash[at], start[at], end[last]])
+        cut = np.searchsorted(bucket[at], np.arange(parts + 1))
+        for b in np.flatnonzero(np.diff(cut)).tolist():
+            numbers.append(b)
+            blobs.append(squeeze(rows[:, cut[b] : cut[b + 1]].tobytes()))
+    return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "spans"])
 
 
-def merged(blobs: list[bytes] | None) -> np.ndarray:
+def gathered(spans: DataFrame, parts: int) -> DataFrame:
+    """One row for each document with spans: doc_id, text_hash and the merged spans as pairs of 64-bit numbers."""
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        got = [np.frombuffer(unsqueeze(x), np.int64).reshape(4, -1) for b in batches for x in b.column(1)]
+        if not got:
+            return
+        doc, text_hash, start, end = np.concatenate(got, axis=1)
+        order = np.lexsort((text_hash, doc))
+        doc, text_hash, pairs = doc[order], text_hash[order], np.c_[start[order], end[order]]
+        at = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (text_hash[1:] != text_hash[:-1])])
+        blobs = [merged(pairs[i:j]).tobytes() for i, j in zip(at, np.r_[at[1:], len(doc)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(text_hash[at]), pa.array(blobs, pa.binary())], ["doc_id", "text_hash", "spans"])
+
+    return spans.repartition(parts, "bucket").mapInArrow(gather, "doc_id bigint, text_hash bigint, spans binary")
+
+
+def merged(p: np.ndarray) -> np.ndarray:
     """The union of spans as sorted, disjoint, non-touching pairs."""
-    if not blobs:
+    if not len(p):
         return np.zeros((0, 2), np.int64)
-    p = np.concatenate([np.frombuffer(b, np.int64).reshape(-1, 2) for b in blobs])
     p = p[np.lexsort((p[:, 1], p[:, 0]))]
     reach = np.maximum.accumulate(p[:, 1])
     at = np.flatnonzero(np.r_[True, p[1:, 0] > reach[:-1]])
     return np.c_[p[at, 0], reach[np.r_[at[1:], len(p)] - 1]]
 
 
+def pairs_of(blob: bytes | None) -> np.ndarray:
+    return np.frombuffer(blob or b"", np.int64).reshape(-1, 2)
+
+
 def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``, the collected spans of each row; the spans, which are small, make the hash table."""
-    per = spans.groupBy("doc_id", "text_hash").agg(F.collect_list("spans").alias("_spans"))
-    per = per.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), "_spans").hint("shuffle_hash")
+    """``docs`` with ``_spans``, the merged spans of each row; the spans, which are short against texts, make the hash table."""
+    per = materialize(gathered(spans, partitions(docs.sparkSession)), "spans")
+    per = per.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).hint("shuffle_hash")
     d = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(int(NO_ID))), "_th": F.xxhash64("text")})
     return d.join(per, (d["_key"] == per["_id"]) & (d["_th"] == per["_hash"]), "left").drop("_key", "_th", "_id", "_hash")

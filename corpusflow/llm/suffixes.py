@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _text as T
-from ._store import partitions
+from ._store import partitions, text_batches
 
 
 def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int]]:
@@ -130,7 +130,7 @@ class _Run:
         docs, own = np.unique(np.stack([doc, text_hash]), axis=1, return_inverse=True)
         head = np.array([len(at), docs.shape[1], len(rest), len(before)], np.int64)
         small = np.stack([left, length, share]).astype(np.uint8)
-        return b"".join(x.tobytes() for x in (head, docs, own.astype(np.uint32), at, small, rest, before))
+        return R.squeeze(b"".join(x.tobytes() for x in (head, docs, own.astype(np.uint32), at, small, rest, before)))
 
     def __init__(self, blob: memoryview) -> None:
         n, d, r, b = np.frombuffer(blob, np.int64, 4).tolist()
@@ -154,9 +154,11 @@ class _Run:
         self.keys = keys
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26) -> DataFrame:
-    """doc_id, hash of the text, and spans of bytes to remove; several rows a document."""
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> DataFrame:
+    """Spans of bytes to remove, as ``_repeats.span_rows`` packs them."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
+    bits = bits or R.sketch_bits(docs, False, width, k)
     sketch = spark.sparkContext.broadcast(R.repeated_anchors(docs, False, width, k, bits))
     parts = partitions(spark)
 
@@ -167,7 +169,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26
             hashes.append(batch.column(1).to_numpy())
             texts.append(T.column(batch.column(2)))
             size += len(texts[-1][0])
-            if size > 1 << 25:  # one sorted run for each 32 MB of text
+            if size > 1 << 24:  # one sorted run for each 16 MB of text
                 yield from sort(ids, hashes, texts)
                 ids, hashes, texts, size = [], [], [], 0
         if ids:
@@ -195,7 +197,8 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26
         # of equal stretches that share an anchor only those of the least document go on
         key = whole ^ T.mix(gram + (at - lo).astype(T.U64))
         later = doc > least_of(key, doc)
-        yield ready(R.span_rows(doc[later], text_hash[later], (lo - start)[later], (hi + width - start)[later]))
+        out = R.span_rows(doc[later], text_hash[later], (lo - start)[later], (hi + width - start)[later], parts)
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.ones(out.num_rows, bool))], ["bucket", "spans", "ready"])
         at, lo, hi, doc, text_hash, start, gram = (x[~later] for x in (at, lo, hi, doc, text_hash, start, gram))
         bucket = (gram % T.U64(parts)).astype(np.int64)
         by = np.argsort(bucket, kind="stable")
@@ -214,21 +217,17 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26
             left = at[o] - lo[o]
             numbers.append(b)
             blobs.append(_Run.pack(doc[o], text_hash[o], at[o] - start[o], left, length, share, gather(data, at[o] + share, length - share), gather(data, lo[o], left)))
-        none = pa.nulls(len(numbers), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "doc_id", "text_hash", "spans"])
-
-    def ready(spans: pa.RecordBatch) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.arange(spans.num_rows) % parts, pa.int32()), *spans.columns], ["bucket", "doc_id", "text_hash", "spans"])
+        yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.zeros(len(numbers), bool))], ["bucket", "spans", "ready"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         runs: dict[int, list[_Run]] = {}
         for batch in batches:
-            done = batch.column(1).is_valid()
-            if done.true_count:
-                yield batch.filter(done).select(["doc_id", "text_hash", "spans"])
-            rest = batch.filter(pc.invert(done))
-            for b, blob in zip(rest.column(0).to_pylist(), rest.column(3), strict=True):
-                runs.setdefault(b, []).append(_Run(memoryview(blob.as_buffer())))
+            ready = batch.column(2)
+            if ready.true_count:
+                yield batch.filter(ready).select(["bucket", "spans"])
+            rest = batch.filter(pc.invert(ready))
+            for b, blob in zip(rest.column(0).to_pylist(), rest.column(1), strict=True):
+                runs.setdefault(b, []).append(_Run(R.unsqueeze(blob)))
         for b in list(runs):
             yield from judged(runs.pop(b))
 
@@ -263,9 +262,9 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26
             out.append((doc[later], text_hash[later], at[later] - o))
         if out:
             d, h, s = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield R.span_rows(d, h, s, s + width)
+            yield R.span_rows(d, h, s, s + width, parts)
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"bucket int, {R.SPANS}")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"{R.SPANS}, ready boolean")
     return rows.repartition(parts, "bucket").mapInArrow(settle, R.SPANS)
 
 
@@ -280,7 +279,7 @@ def least_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26) -> DataFrame:
+def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> DataFrame:
     """``docs`` with ``kept_bytes``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed_spans``."""
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -288,7 +287,7 @@ def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int = 26) -> Dat
     def cut(text: pa.Array, spans: pa.Array) -> pa.Array:
         kept, n, gone, count, out = [], [], [], [], []
         for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True):
-            raw, p, last, own = (t or "").encode(), R.merged(s).tolist(), 0, []
+            raw, p, last, own = (t or "").encode(), R.pairs_of(s).tolist(), 0, []
             for a, b in p:
                 own.append(raw[last:a])
                 last = b

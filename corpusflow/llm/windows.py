@@ -17,17 +17,20 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _text as T
-from ._store import partitions
+from ._store import partitions, text_batches
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int = 26) -> DataFrame:
-    """doc_id, hash of the text, and spans of word numbers to remove; several rows a document."""
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int | None = None) -> DataFrame:
+    """Spans of word numbers to remove, as ``_repeats.span_rows`` packs them."""
+    text_batches(docs.sparkSession)
     spark = docs.sparkSession
+    bits = bits or R.sketch_bits(docs, True, width, k)
     sketch = spark.sparkContext.broadcast(R.repeated_anchors(docs, True, width, k, bits))
     parts = partitions(spark)
 
@@ -45,42 +48,40 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int = 26)
                 row, place = T.ragged(r.hi - r.lo + 1)
                 start = r.lo[row] + place
                 doc = r.doc[row]
-                got.append((hashes(codes, width)[start], ids[i:j][doc], th[i:j][doc], start - first[doc], (r.hash[row] % T.U64(parts * 4)).astype(np.int32)))
+                got.append((hashes(codes, width)[start], ids[i:j][doc], th[i:j][doc], start - first[doc], (r.hash[row] % T.U64(parts)).astype(np.int32)))
         if not got:
             return
         wh, doc, text_hash, pos, bucket = (np.concatenate(x) for x in zip(*got, strict=True))
         least = least_of(wh, doc)
         later = doc > least
-        out = R.span_rows(doc[later], text_hash[later], pos[later], pos[later] + width)
-        n = out.num_rows
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(n) % (parts * 4), pa.int32()), *out.columns], ["bucket", "doc_id", "text_hash", "spans"])
+        out = R.span_rows(doc[later], text_hash[later], pos[later], pos[later] + width, parts)
+        yield pa.RecordBatch.from_arrays([*out.columns, pa.array(np.ones(out.num_rows, bool))], ["bucket", "spans", "ready"])
         wh, doc, text_hash, pos, bucket = (x[~later] for x in (wh, doc, text_hash, pos, bucket))
         order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(parts * 4 + 1))
+        cut = np.searchsorted(bucket[order], np.arange(parts + 1))
         rows, blobs = [], []
-        for b in range(parts * 4):
+        for b in range(parts):
             o = order[cut[b] : cut[b + 1]]
             if len(o):
                 rows.append(b)
-                blobs.append(np.stack([wh[o].view(np.int64), doc[o], text_hash[o], pos[o]]).tobytes())
-        none = pa.nulls(len(rows), pa.int64())
-        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), none, none, pa.array(blobs, pa.binary())], ["bucket", "doc_id", "text_hash", "spans"])
+                blobs.append(R.squeeze(np.stack([wh[o].view(np.int64), doc[o], text_hash[o], pos[o]]).tobytes()))
+        yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.zeros(len(rows), bool))], ["bucket", "spans", "ready"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
-            ready = batch.column(1).is_valid()
+            ready = batch.column(2)
             if ready.true_count:
-                yield batch.filter(ready).select(["doc_id", "text_hash", "spans"])
-            got += [np.frombuffer(b.as_buffer(), np.int64).reshape(4, -1) for b in batch.filter(pa.compute.invert(ready)).column(3)]
+                yield batch.filter(ready).select(["bucket", "spans"])
+            got += [np.frombuffer(R.unsqueeze(b), np.int64).reshape(4, -1) for b in batch.filter(pc.invert(ready)).column(1)]
         if not got:
             return
         wh, doc, text_hash, pos = np.concatenate(got, axis=1)
         del got
         later = doc > least_of(wh, doc)
-        yield R.span_rows(doc[later], text_hash[later], pos[later], pos[later] + width)
+        yield R.span_rows(doc[later], text_hash[later], pos[later], pos[later] + width, parts)
 
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"bucket int, {R.SPANS}")
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"{R.SPANS}, ready boolean")
     return rows.repartition(parts, "bucket").mapInArrow(settle, R.SPANS)
 
 
@@ -101,7 +102,7 @@ def least_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove(docs: DataFrame, width: int = 50, k: int = 8, bits: int = 26) -> DataFrame:
+def remove(docs: DataFrame, width: int = 50, k: int = 8, bits: int | None = None) -> DataFrame:
     """``docs`` with ``kept_text`` (words joined by one space), ``n_words``, ``n_removed`` and ``removed_spans`` (of words)."""
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -110,7 +111,7 @@ def remove(docs: DataFrame, width: int = 50, k: int = 8, bits: int = 26) -> Data
         kept, n, gone, out = [], [], [], []
         for t, s in zip(text.to_pylist(), spans.to_pylist(), strict=True):
             w = (t or "").encode().split()  # bytes split at ASCII white space only
-            p = R.merged(s)
+            p = R.pairs_of(s)
             n.append(len(w))
             gone.append(int((p[:, 1] - p[:, 0]).sum()))
             for a, b in p[::-1].tolist():
