@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ._store import text_batches
+
 ROUNDS = 8
 DIGITS, HEX = "0123456789", "0123456789abcdef"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -184,7 +186,7 @@ KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
 )
 PATTERNS = [(k, re.compile(p), f) for k, p, f in KINDS]
 #: A text without any of these holds nothing of the kinds above.
-HINT = re.compile(r"\d{2}|@|(?i:passw|pwd|token|api_?key|secret)")
+HINT = re.compile(r"\d{2}|@|\bA[KS]IA|(?i:passw|pwd|token|api_?key|secret)")
 
 
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
@@ -221,6 +223,7 @@ def rewrite(text: str, key: bytes) -> tuple[str, list[dict]]:
 
 def pseudonymize(docs: DataFrame, key: str = "corpusflow", text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text column, and ``pii`` and ``n_pii``."""
+    text_batches(docs.sparkSession)
     secret = hashlib.sha256(key.encode()).digest()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("was_length", pa.int32())]))
 
