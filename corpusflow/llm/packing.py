@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, partitions
+from ._store import materialize, partitions, text_batches
 
 PIECES = "doc_id bigint, row bigint, piece int, start bigint, length bigint, ids_crc32 bigint"
 
@@ -185,5 +185,6 @@ def pack(items: DataFrame, size: int = 1024, fan_in: int = 8, nearly_full: int =
 
 def pack_documents(docs: DataFrame, tokenizer_path: str, size: int = 1024, end_id: int = 2, **kw) -> DataFrame:
     """Tokenize once, number the rows (so that repeated ids stay apart), and pack."""
+    text_batches(docs.sparkSession)
     cut_up = pieces(docs, tokenizer_path, size, end_id).withColumn("row", F.monotonically_increasing_id())
     return pack(materialize(cut_up, "pieces"), size, **kw)
