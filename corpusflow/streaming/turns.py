@@ -29,13 +29,18 @@ def session_states(turns: DataFrame) -> DataFrame:
     return turns.groupBy("conv_id").applyInPandasWithState(step, SNAPSHOT, "state string", "append", GroupStateTimeout.NoTimeout)
 
 
+def timed(events: DataFrame) -> DataFrame:
+    """A watermark needs a timestamp with a zone; batches keep their own type."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")) if events.isStreaming else events
+
+
 def event_windows(events: DataFrame, late: str = "1 day", length: str = "1 day") -> DataFrame:
     """Counts and sums of events by window and type, open to rows that are late by ``late``."""
-    own = events.withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
+    own = timed(events).withWatermark("ts", late).groupBy(F.window("ts", length), "event_type")
     return own.agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "1 day") -> DataFrame:
     """Sessions of each user that a pause of ``gap`` ends."""
-    own = events.withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap))
+    own = timed(events).withWatermark("ts", late).groupBy("user_id", F.session_window("ts", gap))
     return own.agg(F.count(F.lit(1)).alias("n")).select("user_id", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
