@@ -24,6 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import _text as T
 from ._store import materialize, partitions
 
 
@@ -157,45 +158,49 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if router is None:
         return spark.createDataFrame([], schema)
-    dim, n_parts = router.weights.shape[0] - 1, router.weights.shape[1]
-    total = base.count()
-    shares = max(1, -(-total // (n_parts * rows_per_share)), -(-2 * partitions(spark) // n_parts))
+    dim = router.weights.shape[0] - 1
     sent = spark.sparkContext.broadcast(router)
 
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Each row with its likeliest part."""
+        for batch in batches:
+            batch = batch.filter(pa.array(np.diff(batch.column(1).offsets.to_numpy()) == dim))
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.rank(unit(batch.column(1), dim), 1)[:, 0], pa.int64())], ["vec_id", "v", "q", "part"])
+
+    placed = materialize(base.mapInArrow(index, "vec_id bigint, v array<double>, q boolean, part bigint"), "index")
+    n_parts = router.weights.shape[1]
+    shares = np.ones(n_parts, np.int64)
+    for part, n in placed.groupBy("part").count().collect():  # one row a part
+        shares[part] = -(-n // rows_per_share)
+    first = np.cumsum(shares) - shares
+
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows as candidates of their part, and as queries of the parts to probe (once for each share)."""
+        """Rows as candidates in a share of their part, and as queries in all shares of the parts to probe."""
         for batch in batches:
-            v = batch.column(1)
-            ok = np.diff(v.offsets.to_numpy()) == dim
-            batch = batch.filter(pa.array(ok))
-            if not batch.num_rows:
-                continue
-            ids, q = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool)
-            x = batch.column(1).flatten().to_numpy().reshape(-1, dim)
-            unit = x / np.linalg.norm(x, axis=1, keepdims=True)
-            home = sent.value.rank(unit, 1)[:, 0]
-            salt = (ids * 0x9E3779B1 % (1 << 32)) % shares
-            goes = sent.value.rank(unit[q], sent.value.probes)
-            width = goes.shape[1] if len(goes) else 0
-            which = np.repeat(np.flatnonzero(q), width * shares)
-            cell = (goes.reshape(-1, 1) * shares + np.arange(shares)).ravel() if len(goes) else np.zeros(0, np.int64)
-            take = np.r_[np.arange(len(ids)), which]
+            ids, q, home = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy()
+            salt = (ids * 0x9E3779B1 % (1 << 32)) % shares[home]
+            asks = np.flatnonzero(q)
+            goes = sent.value.rank(unit(batch.column(1), dim)[asks], sent.value.probes) if len(asks) else np.zeros((0, 1), np.int64)
+            row, place = T.ragged(shares[goes.ravel()])
+            cell = first[goes.ravel()[row]] + place
+            take = np.r_[np.arange(len(ids)), np.repeat(asks, goes.shape[1])[row]]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[home * shares + salt, cell].astype(np.int64)), pa.array(np.r_[np.zeros(len(ids), bool), np.ones(len(which), bool)]), pa.array(ids[take]), batch.column(1).take(pa.array(take))],
+                [pa.array(np.r_[first[home] + salt, cell].astype(np.int64)), pa.array(np.arange(len(take)) >= len(ids)), pa.array(ids[take]), batch.column(1).take(pa.array(take))],
                 ["cell", "is_query", "id", "v"],
             )
 
     def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All cells of one task; candidates and queries of a cell are multiplied by blocks."""
+        """All cells of one task; candidates and queries of a cell are multiplied by blocks, and the task's best of a query go on."""
         frames = list(batches)
         if not frames:
             return
-        table = pd.concat(frames)
+        table, found = pd.concat(frames), []
         for _, own in table.groupby("cell"):
             c, qs = own[~own.is_query], own[own.is_query]
             if c.empty or qs.empty:
                 continue
-            c = c.sort_values("id")
+            c = c.sort_values("id", kind="stable")
             cx, cid = np.stack(c.v.to_numpy()), c.id.to_numpy()
             for s in range(0, len(qs), 256):
                 block = qs.iloc[s : s + 256]
@@ -204,9 +209,18 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
                 top = np.argsort(-d, axis=1, kind="stable")[:, :k]
                 best = np.take_along_axis(d, top, 1)
                 out = pd.DataFrame({"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "vec_id": cid[top].ravel(), "score": best.ravel()})
-                yield out[np.isfinite(out.score)]
+                found.append(out[np.isfinite(out.score)])
+        if found:
+            both = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
+            yield both.groupby("query_id").head(k)
 
-    cells = base.select("vec_id", "v", "q").mapInArrow(route, "cell bigint, is_query boolean, id bigint, v array<double>")
-    found = cells.repartition(min(n_parts * shares, 4 * partitions(spark)), "cell").mapInPandas(rank, "query_id bigint, vec_id bigint, score double")
+    cells = placed.mapInArrow(route, "cell bigint, is_query boolean, id bigint, v array<double>")
+    found = cells.repartition(min(int(shares.sum()), partitions(spark)), "cell").mapInPandas(rank, "query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def unit(v: pa.ListArray, dim: int) -> np.ndarray:
+    """Rows of a list column, scaled to length 1."""
+    x = v.flatten().to_numpy().reshape(-1, dim)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
