@@ -206,10 +206,12 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
                 block = qs.iloc[s : s + 256]
                 d = np.stack(block.v.to_numpy()) @ cx.T
                 d[block.id.to_numpy()[:, None] == cid[None, :]] = -np.inf
-                top = np.argsort(-d, axis=1, kind="stable")[:, :k]
-                best = np.take_along_axis(d, top, 1)
-                out = pd.DataFrame({"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "vec_id": cid[top].ravel(), "score": best.ravel()})
-                found.append(out[np.isfinite(out.score)])
+                # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
+                # compute the scores of the chosen one by one
+                top = np.argsort(-np.round(d, 12), axis=1, kind="stable")[:, : k + 8]
+                own_q = np.repeat(np.stack(block.v.to_numpy()), top.shape[1], axis=0)
+                out = pd.DataFrame({"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "vec_id": cid[top].ravel(), "score": np.einsum("ij,ij->i", own_q, cx[top.ravel()])})
+                found.append(out[np.isfinite(np.take_along_axis(d, top, 1).ravel())])
         if found:
             both = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
             yield both.groupby("query_id").head(k)

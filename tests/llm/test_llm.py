@@ -264,11 +264,33 @@ def test_anchors_of_equal_windows_agree():
     assert (a == b[37 : 37 + len(a)] - 37).all()
 
 
-def test_pipeline(spark, sf):
+def test_pipeline(spark, rows, tmp_path):
+    """The rows of the pipeline against the stages by brute force."""
+    import public_tokenizers
+
     import corpus_pipeline
 
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        out = stage(spark, docs, sf)
-        assert out.columns == docs.columns, name
+    r = random.Random(4)
+    labelled = [(1000 + i, prose(30, 100 + i) + (f" you {r.choice(['moron', 'idiot'])} there" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(150)]
+    docs = [*rows, *[x[:2] for x in labelled], (70, "write to a.b@c.org " + prose(25, 70)), (71, prose(12, 200) + " and more " + prose(8, 71))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(x[0], x[2]) for x in labelled], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([(1, prose(12, 200))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    left = [d for d in docs if not re.search("moron|idiot", d[1] or "")]
+    groups = brute_components(left)
+    kept, seen = [], set()
+    for (i, t), (_, n, c) in sorted(zip(left, groups, strict=True), key=lambda x: (x[0][0] is None, x[0][0] or 0)):
+        if n == 0 or ((i, t) not in seen and (i == c)):
+            kept.append((i, t))
+            seen.add((i, t))
+    kept = [(i, t) for i, t in kept if prose(12, 200) not in (t or "")]
+    tok = packing.tokenizer(public_tokenizers.path("byte_bpe_50k.json"))
+    key = hashlib.sha256(b"corpusflow").digest()
+    want = sorted((str(i), len(tok.encode(pii.rewrite(t or "", key)[0], add_special_tokens=False).ids) + 1) for i, t in kept)
+    have = {}
+    for x in got:  # a document's length is the end of its last piece
+        have.setdefault((x.doc_id, x.start + x.length), 0)
+    ends = sorted((str(x.doc_id), x.start + x.length) for x in got if not any(y.doc_id == x.doc_id and y.start == x.start + x.length and y.piece == x.piece + 1 for y in got))
+    assert ends == want
     assert len(corpus_pipeline.STAGES) == 5 and set(queries.QUERIES) >= set(queries.ORACLES)
