@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.metrics import dot
 from ..functions.text import words
-from ..session import small_side
+from ..session import hint_of, small_side
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
 WEIGHTS, RANK_CONSTANT = {"sparse": 0.4, "dense": 0.6}, 60
@@ -36,12 +36,13 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, stats: DataFram
     asked = queries.select("item_id", F.explode(words(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
     own = docs.select("doc_id", words(F.col("text")).alias("w"))
     mean = own.agg(F.avg(F.size("w")).alias("avgdl"))
-    vocabulary = small_side(asked.select("term").distinct())
+    hint = hint_of(asked)
+    vocabulary = hint(asked.select("term").distinct())
     # only terms that are asked for leave the scan
     tf = own.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
     stats = stats if stats is not None else term_statistics(docs)
     scored = (
-        tf.join(small_side(asked.join(stats, "term")), "term")
+        tf.join(hint(stats.join(hint(asked), "term")), "term")
         .crossJoin(F.broadcast(mean))
         .withColumn("s", F.col("times") * F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl"))))
         .groupBy("item_id", "doc_id")
@@ -99,8 +100,10 @@ def overlap_score(query: Column, text: Column) -> Column:
 
 def rerank(hits: DataFrame, queries: DataFrame, docs: DataFrame, k: int, scorer=overlap_score) -> DataFrame:
     """Score the texts of the hits anew, keep ``k``; ties keep the order they came in."""
-    texts = docs.join(small_side(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").alias("doc_text"))
-    both = hits.select("item_id", "doc_id", F.col("rank").alias("was")).join(texts, "doc_id").join(small_side(queries.select("item_id", F.col("text").alias("query_text"))), "item_id")
+    # there are as many hits as queries, times a small k
+    hint = hint_of(queries, 10_000)
+    texts = docs.join(hint(hits.select("doc_id").distinct()), "doc_id", "left_semi").select("doc_id", F.col("text").alias("doc_text"))
+    both = hits.select("item_id", "doc_id", F.col("rank").alias("was")).join(texts, "doc_id").join(hint(queries.select("item_id", F.col("text").alias("query_text"))), "item_id")
     both = both.withColumn("rerank_score", scorer(F.col("query_text"), F.col("doc_text")))
     return top_k(both, "item_id", [F.desc("rerank_score"), F.asc("was")], k, "rerank_rank").select("item_id", "doc_id", "was", "rerank_score", "rerank_rank")
 

@@ -23,6 +23,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hint_of(df: DataFrame, rows: int = 200_000):
+    """``broadcast`` for sides whose size follows that of ``df``, if ``df`` has at most ``rows`` rows; else no hint."""
+    return F.broadcast if df.limit(rows + 1).count() <= rows else (lambda x: x)
+
+
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """The side of a join to broadcast, if a count shows that it has at most ``rows`` rows; else Spark chooses."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
