@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize, partitions, shuffles_removed
+from ._store import free_shuffles, materialize, partitions
 
 NO_ID = np.iinfo(np.int64).max
 #: Cells of a segment of the sketch; a cell's place and whether it was met twice fit 16 bits.
@@ -131,8 +131,9 @@ def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits:
     segments = 2 << (bits - SEGMENT_BITS)
     rows = docs.select("text").mapInArrow(count, "segment int, cells binary").repartition(min(segments, partitions(docs.sparkSession)), "segment").mapInArrow(add, "segment int, twice binary")
     out = np.zeros((segments, (low + 1) // 8), np.uint8)
-    with shuffles_removed(docs.sparkSession):
-        found = rows.collect()  # of bounded size
+    found = rows.collect()  # of bounded size
+    del rows
+    free_shuffles(docs.sparkSession)
     for seg, twice in found:
         out[seg] = np.frombuffer(twice, np.uint8)
     return out.reshape(2, -1)

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import contextlib
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,27 +17,18 @@ def shared_dir(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
-@contextlib.contextmanager
-def shuffles_removed(spark: SparkSession):
-    """Within it, Spark removes the shuffle files of a query when the query has ended, not when the driver collects its garbage."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark's cleaner drop the shuffle files of queries that have ended: it acts when the driver's JVM collects its garbage,
+    which a driver with little to do puts off while executors' disks fill."""
+    spark.sparkContext._jvm.System.gc()
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: a lost executor costs no recomputation."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    with shuffles_removed(spark):
-        df.write.parquet(path)
+    df.write.parquet(path)
+    free_shuffles(spark)
     return spark.read.schema(df.schema).parquet(path)
 
 

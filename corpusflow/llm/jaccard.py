@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from . import _repeats as R
 from . import _text as T
 from ._components import components
-from ._store import materialize, partitions, small_side
+from ._store import materialize, partitions, small_side, text_batches
 
 SKETCH_BITS = 21
 #: Fragments of the order into which whole sets are cut.
@@ -179,10 +179,6 @@ def prefix_pairs(docs: DataFrame, classes: np.ndarray, n: int, percent: int, den
 
     def send(got) -> pa.RecordBatch:
         token, name, size, place = (np.concatenate(x) for x in zip(*got, strict=True))
-        order = np.lexsort((name, token))
-        token, name, size, place = token[order], name[order], size[order], place[order]
-        once = np.r_[True, (token[1:] != token[:-1]) | (name[1:] != name[:-1])] if len(token) else np.zeros(0, bool)
-        token, name, size, place = token[once], name[once], size[once], place[once]
         # a fragment holds the same range of hashes of every class of the order
         part = ((token & T.U64((1 << 58) - 1)).astype(np.float64) / 2**58 * parts).astype(np.int64).clip(0, parts - 1)
         order = np.argsort(part, kind="stable")
@@ -192,14 +188,15 @@ def prefix_pairs(docs: DataFrame, classes: np.ndarray, n: int, percent: int, den
             o = order[cut[f] : cut[f + 1]]
             if len(o):
                 numbers.append(f)
-                blobs.append(np.array([len(o)], np.int64).tobytes() + token[o].tobytes() + name[o].tobytes() + np.stack([size[o], place[o]]).astype(np.uint32).tobytes())
+                # documents stand together, so all columns but the first shrink
+                blobs.append(R.squeeze(np.array([len(o)], np.int64).tobytes() + token[o].tobytes() + name[o].tobytes() + np.stack([size[o], place[o]]).astype(np.uint32).tobytes()))
         return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary())], ["fragment", "postings"])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         got = []
         for batch in batches:
             for blob in batch.column(1):
-                b = blob.as_buffer()
+                b = R.unsqueeze(blob)
                 m = int(np.frombuffer(b, np.int64, 1)[0])
                 s = np.frombuffer(b, np.uint32, 2 * m, 8 + 16 * m).reshape(2, m)
                 got.append((np.frombuffer(b, T.U64, m, 8), np.frombuffer(b, np.int64, m, 8 + 8 * m), s[0], s[1]))
@@ -253,11 +250,13 @@ def sets_of(docs: DataFrame, wanted: DataFrame, classes: np.ndarray, n: int, bro
                 sizes.append(np.diff(first))
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(nodes), pa.int64()), pa.array(np.concatenate(sizes), pa.int64()), pa.array(blobs, pa.binary())], ["node", "n", "shingles"])
 
-    ids = wanted.select(F.col("rep").alias("_key")).distinct()
-    ids = small_side(ids, broadcast_rows)
-    own = docs.select(F.coalesce("doc_id", F.lit(int(R.NO_ID))).alias("_key"), "text").join(ids, "_key", "left_semi").select("text")
-    rows = own.mapInArrow(run, "node bigint, n bigint, shingles binary").where("n > 0").join(wanted.select("node"), "node", "left_semi")
-    return materialize(rows.dropDuplicates(["node"]), "sets")
+    ids = small_side(wanted.select("rep.*").distinct(), broadcast_rows)
+    own = docs.withColumns({"_id": F.coalesce("doc_id", F.lit(int(R.NO_ID))), "_hash": F.xxhash64("text")}).join(ids, ["_id", "_hash"], "left_semi").select("text")
+    rows = materialize(own.mapInArrow(run, "node bigint, n bigint, shingles binary").where("n > 0"), "sets")
+    # a node's document may stand in the table more than once
+    if rows.count() != rows.select("node").distinct().count():
+        rows = materialize(rows.dropDuplicates(["node"]), "sets")
+    return rows
 
 
 def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -281,8 +280,9 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             n = [len(np.intersect1d(np.frombuffer(p.as_buffer(), T.U64), np.frombuffer(q.as_buffer(), T.U64), assume_unique=True)) for p, q in zip(x, y, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(n, pa.int64())], ["a", "b", "na", "nb", "part"])
 
-    side = sets.select("node", "shingles").mapInArrow(cut, "node bigint, fragment int, shingles binary")
-    left = pairs.join(side.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("sa")), "a")
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    side = sets.join(small_side(ends), "node", "left_semi").select("node", "shingles").mapInArrow(cut, "node bigint, fragment int, shingles binary")
+    left = small_side(pairs).join(side.select(F.col("node").alias("a"), "fragment", F.col("shingles").alias("sa")), "a")
     both = left.join(side.select(F.col("node").alias("b"), "fragment", F.col("shingles").alias("sb")), ["b", "fragment"])
     parts = both.select("a", "b", "na", "nb", "sa", "sb").mapInArrow(overlap, "a bigint, b bigint, na bigint, nb bigint, part bigint")
     total = parts.groupBy("a", "b", "na", "nb").agg(F.sum("part").alias("both"))
@@ -291,9 +291,10 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links between the probes (node) and all members of their cluster; ``sets`` has cluster, block, blocks and component."""
-    schema = "cluster bigint, block int, probe boolean, node bigint, n bigint, component bigint, shingles binary"
-    mine = sets.select("cluster", "block", F.lit(False).alias("probe"), "node", "n", "component", "shingles")
-    sent = sets.join(probes, "node", "left_semi").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block"), F.lit(True).alias("probe"), "node", "n", "component", "shingles")
+    asks = small_side(probes.select("node", F.lit(True).alias("asks")))
+    all_rows = sets.join(asks, "node", "left").select("cluster", "block", "blocks", F.coalesce("asks", F.lit(False)).alias("probe"), F.lit(True).alias("member"), "node", "n", "component", "shingles")
+    away = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+    sent = all_rows.where("probe and blocks > 1").withColumn("block", F.explode(away)).withColumn("member", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables = [b for b in batches if b.num_rows]
@@ -301,13 +302,13 @@ def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             return
         t = pa.Table.from_batches(tables).combine_chunks()
         cluster, block = t["cluster"].to_numpy(), t["block"].to_numpy()
-        probe, node, size, comp = t["probe"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
+        probe, member, node, size, comp = t["probe"].to_numpy(), t["member"].to_numpy(), t["node"].to_numpy(), t["n"].to_numpy(), t["component"].to_numpy()
         blobs = t["shingles"].combine_chunks()
         order = np.lexsort((block, cluster))
         at = np.flatnonzero(np.r_[True, (cluster[order][1:] != cluster[order][:-1]) | (block[order][1:] != block[order][:-1])])
         for i, j in zip(at, np.r_[at[1:], len(order)], strict=True):
             o = order[i:j]
-            p, m = o[probe[o]], o[~probe[o]]
+            p, m = o[probe[o]], o[member[o]]
             for s in range(0, len(p), 256):
                 q = p[s : s + 256]
                 if not len(m):
@@ -321,7 +322,7 @@ def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array(node[q][x], pa.int64()), pa.array(node[m][y], pa.int64())], ["a", "b"])
 
     parts = partitions(sets.sparkSession)
-    return mine.unionByName(sent).select(*[c.split()[0] for c in schema.split(", ")]).repartition(parts * 2, "cluster", "block").mapInArrow(run, "a bigint, b bigint")
+    return all_rows.unionByName(sent).drop("blocks").repartition(parts * 2, "cluster", "block").mapInArrow(run, "a bigint, b bigint")
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
@@ -339,51 +340,59 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(rows), len(cols))
 
 
-def cluster_links(stars: DataFrame, sets: DataFrame, percent: int, centers: int, block: int) -> DataFrame:
-    """Links that connect what is connected within the clusters of long lists."""
-    label = components(stars)
+def cluster_links(label: DataFrame, sets: DataFrame, percent: int, centers: int, block: int) -> DataFrame:
+    """Links that connect what is connected within the clusters (node, component) of long lists."""
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     own = label.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
     own = own.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    base = materialize(sets.join(own, "node"), "clusters")
-    now, links = base.withColumn("component", F.col("node")), None
+    own = materialize(own, "clusters")
+    links = None
     for turn in range(3):
+        now = own.withColumn("component", F.col("node"))
+        rest = now
         if turn:
-            joined = components(links)
-            now = base.join(joined, "node", "left").withColumn("component", F.coalesce("component", "node"))
+            now = materialize(own.join(components(links), "node", "left").withColumn("component", F.coalesce("component", "node")), "clusters")
             per = now.groupBy("cluster", "component").agg(F.count(F.lit(1)).alias("k"))
             main = per.groupBy("cluster").agg(F.max_by("component", F.struct("k", "component")).alias("main"))
-            rest = now.join(main, "cluster").where("component != main")
-        else:
-            rest = now
+            rest = materialize(now.join(main, "cluster").where("component != main").drop("main"), "outside")
+            if rest.isEmpty():
+                break
+            # clusters that are one component need no more
+            now = now.join(small_side(rest.select("cluster").distinct()), "cluster", "left_semi")
         if turn < 2:
             # about ``centers`` of those that are still outside, chosen by hash
             left = rest.groupBy("cluster").agg(F.count(F.lit(1)).alias("outside"))
             step = F.greatest(F.floor(F.col("outside") / centers), F.lit(1))
             rest = rest.join(left, "cluster").where(F.pmod(F.xxhash64("node", F.lit(turn)), step) == 0)
-        found = block_links(rest.select("node"), now, percent)
+        # labels are short: the sets themselves move once a turn
+        found = block_links(materialize(rest.select("node"), "probes"), sets.join(small_side(now), "node"), percent)
         links = materialize(found if links is None else links.unionByName(found), "links")
     return links
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int = 24, centers: int = 64, block: int = 256) -> DataFrame:
+def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int = 24, centers: int = 64, block: int = 2048) -> DataFrame:
     """doc_id, n_shingles and component_id of each row of ``docs``; ``group`` is the component's least node, null without words."""
+    text_batches(docs.sparkSession)
     table = members(docs, n)
     classes = order_classes(table)
     rows = table.where("part is null").select("doc_id", "text_hash", "n", "node")
     pairs = prefix_pairs(docs, classes, n, percent, dense)
     slack = F.greatest(F.col("na") - prefix_column("na", percent), F.col("nb") - prefix_column("nb", percent))
     likely = pairs.where("shared > 0").groupBy("a", "b").agg(F.max("na").alias("na"), F.max("nb").alias("nb"), F.sum("shared").alias("shared"))
-    likely = likely.where((F.col("shared") + slack) * (100 + percent) >= percent * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb")
-    likely = materialize(likely, "candidates")
+    likely = likely.where((F.col("shared") + slack) * (100 + percent) >= percent * (F.col("na") + F.col("nb")))
     stars = pairs.where("shared = 0").select("a", "b").distinct()
-    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(stars.select(F.explode(F.array("a", "b")).alias("node"))).distinct()
-    wanted = materialize(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min("doc_id").alias("rep")), "wanted")
+    clusters = components(stars)
+    # pairs within a cluster are its blocks' to compare
+    for c in ("a", "b"):
+        likely = likely.join(small_side(clusters.select(F.col("node").alias(c), F.col("component").alias(f"c{c}"))), c, "left")
+    likely = materialize(likely.where("ca is null or cb is null or ca != cb").drop("ca", "cb"), "candidates")
+    nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()
+    wanted = materialize(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))).alias("rep")), "wanted")
     sets = sets_of(docs, wanted, classes, n)
-    links = verified(likely, sets, percent)
-    if not stars.isEmpty():
-        links = links.unionByName(cluster_links(stars, sets, percent, centers, block))
+    links = sparse_links(likely, sets, percent)
+    if not clusters.isEmpty():
+        links = links.unionByName(cluster_links(clusters, sets, percent, centers, block))
     joined = components(links)
     named = rows.join(joined, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
@@ -392,6 +401,23 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int =
     return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"), "group", "text_hash")
 
 
+def sparse_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Verified links of the candidates that connect what all of them connect.
+
+    First each node's candidate with the most shared prefix shingles is verified; of the others only pairs whose ends are then
+    still in different components are.
+    """
+    both = pairs.select(F.col("a").alias("x"), F.col("b").alias("y"), "shared").unionByName(pairs.select(F.col("b").alias("x"), F.col("a").alias("y"), "shared"))
+    best = both.groupBy("x").agg(F.max_by("y", F.struct("shared", "y")).alias("y")).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    first = materialize(verified(pairs.join(best, ["a", "b"], "left_semi"), sets, percent), "links")
+    joined = components(first)
+    rest = pairs.join(best, ["a", "b"], "left_anti")
+    for c in ("a", "b"):
+        rest = rest.join(joined.select(F.col("node").alias(c), F.col("component").alias(f"c{c}")), c, "left").withColumn(f"c{c}", F.coalesce(f"c{c}", c))
+    rest = materialize(rest.where("ca != cb").select("a", "b", "na", "nb"), "candidates")
+    return materialize(first.unionByName(verified(rest, sets, percent)), "links")
+
+
 def prefix_column(n: str, percent: int) -> Column:
     return F.expr(f"{n} - ceil({percent} * {n} / 100.0D) + 1")
 
