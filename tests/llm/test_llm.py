@@ -235,7 +235,7 @@ def test_packing(spark, rows):
 
 def test_toxicity(spark, rows):
     r = random.Random(4)
-    labelled = [(1000 + i, prose(30, 100 + i) + (f" you {r.choice(['moron', 'idiot', 'scumbag'])} there" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    labelled = [(1000 + i, prose(30, 100 + i) + (f" {r.choice(['moron', 'idiot', 'scumbag'])}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
     docs = frame(spark, [*rows, *[x[:2] for x in labelled], (5000, "what an i d i o t he is"), (5001, "a m0r0n indeed"), (5002, "such an idiooooot"), (5003, "a kind man")])
     labels = spark.createDataFrame([(x[0], 1, x[2]) for x in labelled] + [(None, 1, 1), (1, 1, None)], "doc_id long, quality int, toxic int")
     got = {x.doc_id: x for x in toxicity.score(docs, toxicity.train(docs, labels)).collect()}
