@@ -246,6 +246,16 @@ def test_toxicity(spark, rows):
     assert toxicity.score(frame(spark, []), nothing).count() == 0
 
 
+def test_toxicity_spaced_words(spark):
+    r = random.Random(4)
+    labelled = [(1000 + i, "you are a stupid " + prose(30, 100 + i) + (f" {r.choice(['moron', 'idiot', 'scumbag'])}" if i % 3 == 0 else ""), int(i % 3 == 0)) for i in range(240)]
+    toxic = ["you are a m o r o n", "a s t u p i d  m o r o n", "a m 0 r 0 n", "a.m.o.r.o.n", "such m o r o n y o u are", "m" + "0" * 45 + "ron", "y o u a r e a n i d i o o o o t", "the " + "x" * 60 + " i d i o t a l p h a"]
+    clean = ["you are a m o s a i c", "1 2 3 4 5 6 7", "a c g t " * 500, "x" * 30_000 + "0y", "g a m m a  d e l t a"]
+    docs = frame(spark, [*[x[:2] for x in labelled], *enumerate(toxic + clean)])
+    got = {x.doc_id: x.predicted for x in toxicity.score(docs, toxicity.train(docs, spark.createDataFrame([(x[0], x[2]) for x in labelled], "doc_id long, toxic int"))).collect()}
+    assert {t[:60]: got[i] for i, t in enumerate(toxic + clean)} == {t[:60]: int(t in toxic) for t in toxic + clean}
+
+
 def test_urls(spark):
     urls = [None, "", "nope", "http://Example.COM/en/x", "https://www.example.com/en/", "http://a.net/es/q?x", "http://com", "http://x.org/porn", "http://x.org/cheap-casino", "http://x.org/cheapcasino", "http://x.org/xxxl", "a://b://c/d#e"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
