@@ -189,6 +189,48 @@ PATTERNS = [(k, re.compile(p), f) for k, p, f in KINDS]
 HINT = re.compile(r"\d{2}|@|\bA[KS]IA|(?i:passw|pwd|token|api_?key|secret)")
 
 
+#: Lengths of IBANs by country.
+_LENGTHS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+IBAN_LENGTHS = {country: n for n, names in _LENGTHS.items() for country in names.split()}
+
+
+def shorter(kind: str, m: str) -> Iterator[str]:
+    """Starts of a match that may be the value where the whole isn't, longest first: they end at the bounds of its groups."""
+    if kind == "card":
+        yield from (m[:i] for i in range(len(m) - 1, 12, -1) if not m[i].isdigit())
+    elif kind == "iban":
+        ends = [i for i in range(len(m) - 1, 14, -1) if m[i] == " "]
+        full = IBAN_LENGTHS.get(m[:2])
+        # a known country's length says where the value ends
+        yield from (m[:i] for i in ends if full is None or i - m[:i].count(" ") == full)
+
+
+def matches(text: str, kind: str, pattern: re.Pattern, make: Callable[[str, bytes], str | None], key: bytes) -> Iterator[tuple[int, int, str, str]]:
+    """Start, end, kind and pseudonym of a kind's values; the search goes on after the value taken."""
+    if kind not in ("card", "iban"):
+        for m in pattern.finditer(text):
+            new = make(m[0], key)
+            if new is not None:
+                yield m.start(), m.end(), kind, new
+        return
+    m = pattern.search(text)
+    while m:
+        at = None
+        for own in (m[0], *shorter(kind, m[0])):
+            new = make(own, key)
+            if new is not None:
+                at = m.start() + len(own)
+                yield m.start(), at, kind, new
+                break
+        if at is None:
+            # a value may begin at a later group of the match
+            at = m.start() + min((i for i in (m[0].find(c) for c in " -") if i > 0), default=len(m[0]))
+        m = pattern.search(text, at)
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and pseudonym of each value; earlier kinds win where two overlap."""
     if not text or not HINT.search(text):
@@ -197,10 +239,7 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     for kind, pattern, make in PATTERNS:
         if kind == "email" and "@" not in text:
             continue
-        for m in pattern.finditer(text):
-            new = make(m[0], key)
-            if new is not None:
-                found.append((m.start(), m.end(), kind, new))
+        found += matches(text, kind, pattern, make, key)
     rank = {k: i for i, (k, _, _) in enumerate(KINDS)}
     found.sort(key=lambda x: (rank[x[2]], x[0]))
     taken: list[tuple[int, int, str, str]] = []

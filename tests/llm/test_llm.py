@@ -154,6 +154,20 @@ def test_pii_formats(spark):
         assert pii.rewrite(clean, key) == (clean, [])
 
 
+def test_pii_neighbours():
+    key = b"k" * 32
+    card, ibans = "4111 1111 1111 1111", ("BE68 5390 0754 7034", "ES91 2100 0418 4502 0005 1332", "GB82 WEST 1234 5698 7654 32", "DE89370400440532013000")
+    cases = [("card", c, tail) for c in (card, card.replace(" ", "-"), card.replace(" ", "")) for tail in (" 12/27", " 123", " 99", " 1", " 2024 11", " 1234 5678 9012", " EUR")]
+    cases += [("iban", c, tail) for c in ibans for tail in (" KBC", " EUR", " 100", " BANK", " PAID IN FULL", " 12")]
+    for kind, c, tail in cases:
+        new, spans = pii.rewrite(f"pay {c}{tail}, then", key)
+        assert [s["kind"] for s in spans] == [kind] and spans[0]["was_length"] == len(c), (c, tail)
+        assert new == f"pay {pii.rewrite(c, key)[0]}{tail}, then"
+    for head in ("12 ", "123 ", "2024 "):
+        assert [s["was_length"] for s in pii.rewrite(f"no {head}{card}", key)[1]] == [len(card)], head
+    assert [s["was_length"] for s in pii.rewrite(f"{card} {card}, {ibans[0]} {ibans[1]}", key)[1]] == [19, 19, 19, 29]
+
+
 def test_feistel_is_a_permutation():
     assert sorted(pii.feistel(i, 7, 13, b"k", "t") for i in range(91)) == list(range(91))
     assert len({pii.permute(f"{i:03d}", b"k", "t") for i in range(1000)}) == 1000
