@@ -8,10 +8,12 @@ can't reach the threshold go.  The candidates' whole sets are then cut into frag
 partial overlaps, and the sums decide exactly.
 
 A shingle whose list is longer than ``dense`` would give a square of pairs.  Its documents form clusters (components of
-stars around the lists' least nodes) whose members are compared by blocks: with ``centers`` of the cluster first, which
-joins most of a group of near copies; what stays outside the cluster's main component is then compared with all of the
-cluster.  A block is summed fragment by fragment and sends links only.  Members of the main component need no further
-comparison, as they are connected.  No link between different components is lost, and no list is cut.
+stars around the lists' least nodes) whose members are all compared with each other, by blocks of whole sets: not by
+fragments, and whatever they share.  Every link is verified and counted in ``n_links``; no list is cut.
+
+``every=False`` finds only what the components need, for ``keep_one``.  Clusters are then compared with ``centers`` of theirs
+first, which joins most of a group of near copies; what stays outside the cluster's main component is then compared with all
+of the cluster.  Members of the main component need no further comparison, as they are connected.
 
 Null and empty texts, and texts without words, have an empty set and are alone.  Repeated rows count as copies.  A null id
 stands behind all others and gives a null component where there is no other.  An empty table gives an empty one; other
@@ -289,11 +291,24 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return total.where(F.col("both") * 100 >= percent * (F.col("na") + F.col("nb") - F.col("both"))).select("a", "b")
 
 
-def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links between the probes (node) and all members of their cluster; ``sets`` has cluster, block, blocks and component."""
-    asks = small_side(probes.select("node", F.lit(True).alias("asks")))
-    all_rows = sets.join(asks, "node", "left").select("cluster", "block", "blocks", F.coalesce("asks", F.lit(False)).alias("probe"), F.lit(True).alias("member"), "node", "n", "component", "shingles")
-    away = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda b: b != F.col("block"))
+def block_links(probes: DataFrame | None, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the probes (node) and all members of their cluster, one for two components; without probes all links, once.
+    ``sets`` has cluster, block, blocks and component."""
+    every = probes is None
+    if every:
+        asked = sets.withColumn("asks", F.lit(True))
+    else:
+        asked = sets.join(small_side(probes.select("node", F.lit(True).alias("asks"))), "node", "left")
+    all_rows = asked.select("cluster", "block", "blocks", F.coalesce("asks", F.lit(False)).alias("probe"), F.lit(True).alias("member"), "node", "n", "component", "shingles")
+
+    def goes(b: Column) -> Column:
+        if not every:
+            return b != F.col("block")
+        # around the circle of blocks half of the way, so that two blocks meet once
+        d = F.pmod(b - F.col("block"), F.col("blocks"))
+        return (d > 0) & ((2 * d < F.col("blocks")) | ((2 * d == F.col("blocks")) & (F.col("block") < b)))
+
+    away = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), goes)
     sent = all_rows.where("probe and blocks > 1").withColumn("block", F.explode(away)).withColumn("member", F.lit(False))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -314,11 +329,14 @@ def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
                 if not len(m):
                     continue
                 shared = overlaps([np.frombuffer(blobs[int(x)].as_buffer(), T.U64) for x in q], [np.frombuffer(blobs[int(x)].as_buffer(), T.U64) for x in m])
-                link = (100 * shared >= percent * (size[q][:, None] + size[m][None, :] - shared)) & (comp[q][:, None] != comp[m][None, :])
-                x, y = np.nonzero(link)
-                # one link to each component is enough to join it
-                _, one = np.unique(np.stack([comp[q][x], comp[m][y]]), axis=1, return_index=True)
-                x, y = x[one], y[one]
+                link = 100 * shared >= percent * (size[q][:, None] + size[m][None, :] - shared)
+                if every:
+                    x, y = np.nonzero(link & (~member[q][:, None] | (node[q][:, None] < node[m][None, :])))
+                else:
+                    x, y = np.nonzero(link & (comp[q][:, None] != comp[m][None, :]))
+                    # one link to each component is enough to join it
+                    _, one = np.unique(np.stack([comp[q][x], comp[m][y]]), axis=1, return_index=True)
+                    x, y = x[one], y[one]
                 yield pa.RecordBatch.from_arrays([pa.array(node[q][x], pa.int64()), pa.array(node[m][y], pa.int64())], ["a", "b"])
 
     parts = partitions(sets.sparkSession)
@@ -326,7 +344,7 @@ def block_links(probes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
-    """Sizes of all intersections, counted for one fragment of the order after the other and summed."""
+    """Sizes of all intersections, counted for slices of the columns' shingles to bound memory, and summed."""
     out = np.zeros(len(rows) * len(cols), np.int64)
     token, owner = np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
     order = np.argsort(token)
@@ -340,13 +358,15 @@ def overlaps(rows: list[np.ndarray], cols: list[np.ndarray]) -> np.ndarray:
     return out.reshape(len(rows), len(cols))
 
 
-def cluster_links(label: DataFrame, sets: DataFrame, percent: int, centers: int, block: int) -> DataFrame:
-    """Links that connect what is connected within the clusters (node, component) of long lists."""
+def cluster_links(label: DataFrame, sets: DataFrame, percent: int, centers: int, block: int, every: bool) -> DataFrame:
+    """Links within the clusters (node, component) of long lists: all, or those that connect what is connected."""
     sizes = label.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
     own = label.join(sizes, "component").select("node", F.col("component").alias("cluster"), "size")
     own = own.withColumn("blocks", F.ceil(F.col("size") / block).cast("int"))
     own = own.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     own = materialize(own, "clusters")
+    if every:
+        return materialize(block_links(None, sets.join(small_side(own.withColumn("component", F.col("node"))), "node"), percent), "links")
     links = None
     for turn in range(3):
         now = own.withColumn("component", F.col("node"))
@@ -371,8 +391,9 @@ def cluster_links(label: DataFrame, sets: DataFrame, percent: int, centers: int,
     return links
 
 
-def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int = 24, centers: int = 64, block: int = 256) -> DataFrame:
-    """doc_id, n_shingles and component_id of each row of ``docs``; ``group`` is the component's least node, null without words."""
+def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int = 24, centers: int = 64, block: int = 256, every: bool = True) -> DataFrame:
+    """doc_id, n_shingles and component_id of each row of ``docs``; ``group`` is the component's least node, null without words.
+    With ``every``, ``n_links`` is the number of other rows that reach the threshold with the row, copies included."""
     text_batches(docs.sparkSession)
     table = members(docs, n)
     classes = order_classes(table)
@@ -390,15 +411,23 @@ def link_components(docs: DataFrame, n: int = 5, percent: int = 75, dense: int =
     nodes = likely.select(F.explode(F.array("a", "b")).alias("node")).unionByName(clusters.select("node")).distinct()
     wanted = materialize(rows.join(nodes, "node", "left_semi").groupBy("node").agg(F.min(F.struct(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"))).alias("rep")), "wanted")
     sets = sets_of(docs, wanted, classes, n)
-    links = sparse_links(likely, sets, percent)
+    links = materialize(verified(likely.select("a", "b", "na", "nb"), sets, percent), "links") if every else sparse_links(likely, sets, percent)
     if not clusters.isEmpty():
-        links = links.unionByName(cluster_links(clusters, sets, percent, centers, block))
+        links = links.unionByName(cluster_links(clusters, sets, percent, centers, block, every))
     joined = components(links)
     named = rows.join(joined, "node", "left").withColumn("group", F.when(F.col("n") > 0, F.coalesce("component", "node")))
     least = named.where("n > 0").groupBy("group").agg(F.min("doc_id").alias("least"))
     out = named.join(least, "group", "left")
     null = lambda c: F.when(c != int(R.NO_ID), c)
-    return out.select(null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"), "group", "text_hash")
+    columns = [null(F.col("doc_id")).alias("doc_id"), F.col("n").alias("n_shingles"), null(F.coalesce("least", "doc_id")).alias("component_id"), "group", "text_hash"]
+    if every:
+        copies = rows.where("n > 0").groupBy("node").agg(F.count(F.lit(1)).alias("copies"))
+        ends = links.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(links.select(F.col("b").alias("node"), F.col("a").alias("other")))
+        linked = ends.join(copies.withColumnRenamed("node", "other"), "other").groupBy("node").agg(F.sum("copies").alias("linked"))
+        own = copies.join(linked, "node", "left").select("node", (F.col("copies") - 1 + F.coalesce("linked", F.lit(0))).alias("links"))
+        out = out.join(own, "node", "left")
+        columns.append(F.when(F.col("n") > 0, F.col("links")).otherwise(0).cast("long").alias("n_links"))
+    return out.select(*columns)
 
 
 def sparse_links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -425,7 +454,7 @@ def prefix_column(n: str, percent: int) -> Column:
 def keep_one(docs: DataFrame, **kw) -> DataFrame:
     """The rows of ``docs`` without the copies and near copies of others: of each component that of the least id (then of the
     least hash of its text) stays, once; rows without words all stay."""
-    groups = materialize(link_components(docs, **kw), "groups")
+    groups = materialize(link_components(docs, **{"every": False} | kw), "groups")
     key = F.coalesce("doc_id", F.lit(int(R.NO_ID)))
     kept = groups.where("group is not null").groupBy("group").agg(F.min(F.struct(key.alias("_id"), F.col("text_hash").alias("_hash"))).alias("one")).select("one.*")
     kept = kept.unionByName(groups.where("group is null").select(key.alias("_id"), F.col("text_hash").alias("_hash"))).distinct()

@@ -105,6 +105,23 @@ def test_jaccard(spark, rows, how):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(more)))
 
 
+@pytest.mark.parametrize("how", [{}, {"dense": 2, "block": 3}, {"dense": 2, "block": 5}])
+def test_jaccard_links(spark, rows, how):
+    r = random.Random(9)
+    more, words = list(rows), prose(60, 8).split()
+    for i in range(30):
+        own = list(words)
+        own[r.randrange(60)] = f"w{i}"
+        more.append((100 + i, " ".join(own)))
+    sets = [(t or "").translate(ASCII_LOWER).split() for _, t in more]
+    sets = [{tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set() for w in sets]
+    linked = lambda a, b: bool(a & b) and 100 * len(a & b) >= 75 * len(a | b)
+    want = [(i, sum(linked(a, b) for y, b in enumerate(sets) if x != y)) for x, ((i, _), a) in enumerate(zip(more, sets, strict=True))]
+    got = jaccard.link_components(frame(spark, more).repartition(3), **how).select("doc_id", "n_links").collect()
+    assert sorted(map(str, map(tuple, got))) == sorted(map(str, want))
+    assert max(n for _, n in want) >= 20
+
+
 def test_keep_one(spark, rows):
     got = jaccard.keep_one(frame(spark, rows))
     assert got.columns == ["doc_id", "text", "score", "spans"]
