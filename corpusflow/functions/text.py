@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -102,8 +104,23 @@ def split_sentences(c: Column) -> Column:
 
 
 def collapse_repeats(c: Column) -> Column:
-    """A sentence that follows itself stands once."""
-    return F.regexp_replace(c, r"([^.!?]{8,200}[.!?])(?:\s+\1)+", "$1")
+    """A sentence of 8 characters or more before its mark that follows itself, or a sentence that ends in it, stands once."""
+
+    @F.pandas_udf("string")
+    def apply(texts: pd.Series) -> pd.Series:
+        return texts.map(without_repeats, na_action="ignore")
+
+    return apply(c)
+
+
+def without_repeats(text: str) -> str:
+    """The fix point in one pass: each sentence is compared with the last that was kept."""
+    kept = [""]
+    for s in re.findall(r"[^.!?]*[.!?]|[^.!?]+$", text):
+        body = s.lstrip()
+        if not (8 < len(body) < len(s) and body[-1] in ".!?" and kept[-1].endswith(body)):
+            kept.append(s)
+    return "".join(kept)
 
 
 def slug(prefix: str, c: Column) -> Column:

@@ -1,6 +1,8 @@
 """Golden cases and properties of operators that SQL doesn't express."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -10,6 +12,9 @@ from corpusflow.operators import corpus, dictionary, grounding, memory, sessions
 from corpusflow.sources import readers, sinks
 
 
+LONG = "A sentence " + "of many words " * 25 + "ends."
+
+
 def one(spark, value, column):
     return spark.createDataFrame([(value,)], "t string").select(column(F.col("t")).alias("x")).first()["x"]
 
@@ -24,6 +29,8 @@ def one(spark, value, column):
         (text.sanitize_heading, ".. ", "Untitled"),
         (text.strip_wikitext, "{{x}}'''Bold''' [[a|b]] [[c]]<ref>r</ref>", "Bold b c"),
         (text.collapse_repeats, "This is said. This is said. Then that.", "This is said. Then that."),
+        (text.collapse_repeats, f"{LONG} {LONG}\n{LONG} End", f"{LONG} End"),
+        (text.collapse_repeats, "So it is as we were told. as we were told. it is as we were told.", "So it is as we were told."),
         (text.title_from_text, "First one. Second.", "First one."),
         (text.strip_option, "A. yes", "yes"),
         (lambda c: text.slug("wing", c), "A b/C", "wing_a_b_c"),
@@ -33,6 +40,16 @@ def test_text(spark, f, given, want):
     assert one(spark, given, f) == want
 
 
+def test_collapse_repeats_against_plain():
+    r = random.Random(2)
+    for _ in range(3000):
+        given = plain = "".join(r.choice(["one two", " three four five", "two", ".", "!", " ", "\n", ". one two three.", " one two three."]) for _ in range(r.randrange(14)))
+        before = None
+        while plain != before:
+            before, plain = plain, re.sub(r"([^.!?]{8,}[.!?])(?:\s+\1)+", r"\1", plain)
+        assert text.without_repeats(given) == plain, given
+
+
 def test_sections(spark):
     md = "intro line that is long enough to be kept as a section of its own, surely\n# One\nshort\n## Two\n" + "body " * 20 + "\n### not a boundary\n# 1. See http://x.y\nmore"
     got = corpus.sections(spark.createDataFrame([(1, "Src", md)], "doc_id long, source string, text string")).orderBy("section_no").collect()
