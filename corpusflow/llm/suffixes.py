@@ -210,9 +210,10 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
                 continue
             length = hi[o] + width - at[o]
             suffix = pad(data, at[o], length, width)
-            order = np.argsort(suffix.view(f"S{width}").ravel(), kind="stable")
+            order = np.argsort(length, kind="stable")
+            order = order[np.argsort(suffix.view(f"S{width}").ravel()[order], kind="stable")]
             o, suffix, length = o[order], suffix[order], length[order]
-            # a suffix that ends in zero bytes sorts with its shorter prefix; lengths settle that
+            # a suffix that ends in zero bytes ties with its shorter prefix, which lengths put first
             share = front_code(suffix, length)
             left = at[o] - lo[o]
             numbers.append(b)

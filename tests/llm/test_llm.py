@@ -51,6 +51,15 @@ def test_suffixes(spark, rows):
     assert sorted(key(r.doc_id, r.text, r.kept_bytes, r.n_spans) for r in got) == sorted(key(i, t, k, n) for (i, t), (k, n) in zip(rows, want, strict=True))
 
 
+def test_suffixes_with_nul_bytes(spark):
+    window, r = prose(9, 7)[:46], random.Random(5)
+    texts = [window + "\0" * k + tail for k in (6, 0, 4, 6, 2, 0, 5) for tail in ("", "x" * 9, "\0")] + ["".join(r.choice("\0a") for _ in range(r.randrange(40, 90))) for _ in range(60)] + ["\0" * 70, "b" + "\0" * 60, "b" + "\0" * 55]
+    rows = list(enumerate(texts))
+    got = suffixes.remove(frame(spark, rows).coalesce(1)).select("doc_id", "kept_bytes", "n_spans").collect()
+    want = suffixes.brute_force(rows)
+    assert sorted((r.doc_id, bytes(r.kept_bytes), r.n_spans) for r in got) == [(i, bytes(k), n) for (i, _), (k, n) in zip(rows, want, strict=True)]
+
+
 @pytest.mark.parametrize("f", [windows.remove, suffixes.remove, jaccard.link_components, pii.pseudonymize])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], DOCS)).count() == 0
