@@ -102,7 +102,7 @@ def brute_components(rows):
     return out
 
 
-@pytest.mark.parametrize("how", [{}, {"dense": 2, "centers": 2, "block": 3}])
+@pytest.mark.parametrize("how", [{}, {"dense": 2, "tile": 100}])
 def test_jaccard(spark, rows, how):
     r = random.Random(9)
     more = list(rows)
@@ -114,7 +114,7 @@ def test_jaccard(spark, rows, how):
     assert sorted(map(str, map(tuple, got))) == sorted(map(str, brute_components(more)))
 
 
-@pytest.mark.parametrize("how", [{}, {"dense": 2, "block": 3}, {"dense": 2, "block": 5}])
+@pytest.mark.parametrize("how", [{}, {"dense": 2, "tile": 100}, {"dense": 2, "tile": 700}])
 def test_jaccard_links(spark, rows, how):
     r = random.Random(9)
     more, words = list(rows), prose(60, 8).split()
