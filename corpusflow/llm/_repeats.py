@@ -12,7 +12,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import _text as T
@@ -75,9 +75,12 @@ def cells(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
     return (h >> T.U64(64 - bits)).astype(np.int64), (T.mix(h) >> T.U64(64 - bits)).astype(np.int64)
 
 
-def sketch_bits(docs: DataFrame, by_words: bool, width: int, k: int, most: int = 28) -> int:
+def text_bytes(docs: DataFrame) -> int:
+    return docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def sketch_bits(size: int, by_words: bool, width: int, k: int, most: int = 28) -> int:
     """Cells of a row of the sketch, as a power of two: four times the anchors to expect from the corpus's bytes, up to ``2**most``."""
-    size = docs.select(F.sum(F.octet_length("text"))).first()[0] or 0
     anchors = size / (6 if by_words else 1) * 2 / (width - k + 2)
     return max(SEGMENT_BITS, min(most, int(np.ceil(np.log2(4 * anchors + 1)))))
 
@@ -92,8 +95,10 @@ def repeated_anchors(docs: DataFrame, by_words: bool, width: int, k: int, bits:
     low = (1 << SEGMENT_BITS) - 1
 
     def send(touched: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        if not len(touched):  # only texts without a window
+            return
         seg = touched >> SEGMENT_BITS
-        cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]]) if len(seg) else np.zeros(0, np.int64)
+        cut = np.flatnonzero(np.r_[True, seg[1:] != seg[:-1]])
         value = ((touched & low) << 1 | (n > 1)).astype(np.uint16)
         blobs = [value[i:j].tobytes() for i, j in zip(cut, np.r_[cut[1:], len(seg)], strict=True)]
         yield pa.RecordBatch.from_arrays([pa.array(seg[cut], pa.int32()), pa.array(blobs, pa.binary())], ["segment", "cells"])
@@ -216,9 +221,14 @@ def pairs_of(blob: bytes | None) -> np.ndarray:
     return np.frombuffer(blob or b"", np.int64).reshape(-1, 2)
 
 
-def with_spans(docs: DataFrame, spans: DataFrame) -> DataFrame:
-    """``docs`` with ``_spans``, the merged spans of each row; the spans, which are short against texts, make the hash table."""
-    per = materialize(gathered(spans, partitions(docs.sparkSession)), "spans")
-    per = per.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash"), F.col("spans").alias("_spans")).hint("shuffle_hash")
-    d = docs.withColumns({"_key": F.coalesce("doc_id", F.lit(int(NO_ID))), "_th": F.xxhash64("text")})
-    return d.join(per, (d["_key"] == per["_id"]) & (d["_th"] == per["_hash"]), "left").drop("_key", "_th", "_id", "_hash")
+def with_spans(docs: DataFrame, spans: DataFrame, parts: int) -> DataFrame:
+    """Each row of ``docs`` as a struct ``row``, with ``spans``, its merged spans; these, short against texts, make the hash table."""
+    per = materialize(gathered(spans, parts), "spans").hint("shuffle_hash")
+    d = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce("doc_id", F.lit(int(NO_ID))).alias("doc_id"), F.xxhash64("text").alias("text_hash"))
+    return d.join(per, ["doc_id", "text_hash"], "left").select("row", "spans")
+
+
+def with_columns(docs: DataFrame, rows: DataFrame, cut: Column, names: tuple[str, ...]) -> DataFrame:
+    """The columns of ``docs`` from ``row`` but those of added names, and the fields of ``cut``."""
+    own = [F.col("row").getField(c).alias(c) for c in docs.columns if c not in names]
+    return rows.select("row", cut.alias("cut")).select(*own, *[F.col("cut").getField(c).alias(c) for c in names])

@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> tuple[np.ndarray, np.ndarray]:
     """``base**j`` and ``base**-j`` for j < n at least."""
     up, down, steps = _POWERS[base]
     if len(up) < n:
-        n = max(n, 1 << 21)
+        n = max(n + n // 4, 1 << 16)
         up, down = (np.cumprod(np.concatenate([np.ones(1, U64), np.full(n - 1, s, U64)]), dtype=U64) for s in steps)
         _POWERS[base][:2] = [up, down]
     return up, down
@@ -56,6 +56,8 @@ def separators(chars: bytes) -> np.ndarray:
 
 #: The white space of ``[^\x20\x09-\x0D]+``.
 SPACE = separators(b" \t\n\x0b\x0c\r")
+#: Other codes, for a second hash that is independent of the first.
+CODE2 = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(U64) * U64(2) + U64(1)
 #: Codes under which A-Z equal a-z.
 LOWER_CODE = CODE.copy()
 LOWER_CODE[65:91] = CODE[97:123]
@@ -121,7 +123,7 @@ def span_hashes_apart(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> n
 
 
 def rolling(items: np.ndarray, k: int) -> np.ndarray:
-    """Hash of ``items[i:i+k]`` for each i; callers mask those that cross documents."""
+    """Hash of ``items[i:i+k]`` for each i, of at most a segment of items; callers mask those that cross documents."""
     n = len(items)
     if n < k:
         return np.zeros(0, U64)

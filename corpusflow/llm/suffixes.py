@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from . import _repeats as R
 from . import _text as T
-from ._store import partitions, text_batches
+from ._store import parts_for, text_batches
 
 
 def loser_tree(runs: list[tuple[list[bytes], list[int]]]) -> Iterator[tuple[int, int]]:
@@ -154,13 +154,13 @@ class _Run:
         self.keys = keys
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> DataFrame:
-    """Spans of bytes to remove, as ``_repeats.span_rows`` packs them."""
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> tuple[DataFrame, int]:
+    """Spans of bytes to remove, as ``_repeats.span_rows`` packs them, and the number of their buckets."""
     text_batches(docs.sparkSession)
     spark = docs.sparkSession
-    bits = bits or R.sketch_bits(docs, False, width, k)
+    size = R.text_bytes(docs)
+    bits, parts = bits or R.sketch_bits(size, False, width, k), parts_for(spark, size)
     sketch = spark.sparkContext.broadcast(R.repeated_anchors(docs, False, width, k, bits))
-    parts = partitions(spark)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ids, hashes, texts, size = [], [], [], 0
@@ -266,7 +266,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
             yield R.span_rows(d, h, s, s + width, parts)
 
     rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"{R.SPANS}, ready boolean")
-    return rows.repartition(parts, "bucket").mapInArrow(settle, R.SPANS)
+    return rows.repartition(parts, "bucket").mapInArrow(settle, R.SPANS), parts
 
 
 def least_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
@@ -300,9 +300,8 @@ def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = Non
         cols = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(out, pairs)]
         return pa.StructArray.from_arrays(cols, ["kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans"])
 
-    done = R.with_spans(docs, repeated_spans(docs, width, k, bits)).withColumn("_cut", cut("text", "_spans"))
-    names = ("kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans")
-    return done.withColumns({c: F.col(f"_cut.{c}") for c in names}).drop("_cut", "_spans")
+    rows = R.with_spans(docs, *repeated_spans(docs, width, k, bits))
+    return R.with_columns(docs, rows, cut("row.text", "spans"), ("kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans"))
 
 
 def brute_force(texts: list[tuple[int | None, str | None]], width: int = 50) -> list[tuple[bytes, int]]:

@@ -60,6 +60,30 @@ def test_suffixes_with_nul_bytes(spark):
     assert sorted((r.doc_id, bytes(r.kept_bytes), r.n_spans) for r in got) == [(i, bytes(k), n) for (i, _), (k, n) in zip(rows, want, strict=True)]
 
 
+SHORT = [(1, None), (2, ""), (3, "few words"), (None, " \t"), (3, "few words")]
+
+
+@pytest.mark.parametrize("f", [windows.remove, suffixes.remove, jaccard.link_components, pii.pseudonymize])
+def test_tables_of_short_texts(spark, f):
+    df = spark.createDataFrame([(i, t, 1, 2, 3) for i, t in SHORT], "doc_id long, text string, _id int, _hash int, _key int")
+    got = f(df.repartition(5))
+    assert got.count() == 5 and (f is jaccard.link_components or {"_id", "_hash", "_key"} <= set(got.columns))
+    if "n_removed" in got.columns:
+        assert got.where("n_removed != 0").count() == 0
+
+
+def test_short_partitions_beside_long(spark):
+    """Partitions without a window beside ones with windows; names of helper columns stay."""
+    shared = prose(60, 2)
+    rows = [*SHORT[:3], (7, shared + " a"), (5, "b " + shared), (6, "x")]
+    df = spark.createDataFrame([(i, t, i) for i, t in rows], "doc_id long, text string, _id long").repartitionByRange(6, "doc_id")
+    got = {r.doc_id: r for r in windows.remove(df).collect()}
+    assert {i: r._id for i, r in got.items()} == {i: i for i, _ in rows} and got[7].kept_text == "a" and got[5].n_removed == 0
+    got = {r.doc_id: r for r in suffixes.remove(df).collect()}
+    assert bytes(got[7].kept_bytes) == b"a" or got[7].n_removed == len(shared.encode()) + (0 if bytes(got[7].kept_bytes) == b" a" else 1)
+    assert got[5].n_removed == 0
+
+
 @pytest.mark.parametrize("f", [windows.remove, suffixes.remove, jaccard.link_components, pii.pseudonymize])
 def test_empty_tables(spark, f):
     assert f(spark.createDataFrame([], DOCS)).count() == 0
@@ -134,6 +158,8 @@ def test_jaccard_links(spark, rows, how):
 def test_keep_one(spark, rows):
     got = jaccard.keep_one(frame(spark, rows))
     assert got.columns == ["doc_id", "text", "score", "spans"]
+    clash = jaccard.keep_one(frame(spark, rows).withColumns({"_id": F.lit(-1), "_hash": F.lit(-2), "row": F.lit(-3)})).select("_id", "_hash", "row").distinct().collect()
+    assert [tuple(r) for r in clash] == [(-1, -2, -3)]
     kept = sorted(str(r.doc_id) for r in got.collect())
     assert "3" not in kept and "1" in kept and "7" not in kept and kept.count("15") == 1 and kept.count("14") == 2 and {"4", "5", "6"} <= set(kept)
 
