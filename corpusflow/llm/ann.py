@@ -1,16 +1,18 @@
 """Approximate nearest neighbours by learned partitions.
 
 A bounded sample of the vectors (``sample`` rows, those whose id hashes lowest) is joined into a graph of exact nearest
-neighbours; the graph is cut into balanced parts by repeated majority votes of the neighbours under a size limit; a small
-classifier (a linear softmax) learns which parts a vector and its neighbours belong to.  Every row of the table is then
-indexed under its likeliest part, and a query is routed to several of its likeliest parts, whose members are ranked by the
-exact inner product in double precision.  How many parts are probed is measured: an eighth of the sample is held out of the
-fit, and as many probes are taken as let it find the share ``recall`` of its exact neighbours in the sample.  Parts are dealt over tasks in salted shares, so one that many equal vectors fill is
-searched by many tasks; each share returns at most ``k`` rows a query.
+neighbours; the graph is cut into balanced parts, about one for ``rows_per_part`` rows of the table and 256 at most, by repeated
+majority votes of the neighbours under a size limit; a small classifier (a linear softmax) learns which parts a vector and its
+neighbours belong to.  Every row of the table is then indexed under its likeliest part, and a query is routed to several of its
+likeliest parts, whose members are ranked by the exact inner product in double precision.  How many parts are probed is measured:
+an eighth of the sample is held out of the fit, and as many probes are taken as let it find the share ``recall`` of its exact
+neighbours in the sample.  A task compares one salted share of a part (``rows_per_share``) with one block of queries
+(``queries_per_block``), so its memory is bounded whatever fills a part, and returns at most ``k`` rows a query.
 
 Vectors that are null, zero, of another length than most of the sample's, or that hold a null or non-finite component take
-no part.  Ties go to the smaller id.  Repeated ids are kept as rows of their own, and a query never finds its own id.  Empty
-tables give empty results.  Other columns are ignored.
+no part.  Products beyond the range of doubles are infinite and tie.  Ties go to the smaller id.  Rows of a repeated id are rows
+of their own, as queries (each with its own list) and as candidates, and a query never finds its own id.  Empty tables give
+empty results.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import _text as T
-from ._store import materialize, partitions
+from ._store import materialize
 
 
 @dataclass
@@ -131,15 +133,16 @@ def usable(v: Column) -> Column:
     return v.isNotNull() & ~bad & F.exists(v, lambda c: c != 0)
 
 
-def fit(vectors: DataFrame, sample: int = 8192, parts: int = 64, neighbours: int = 20, recall: float = 0.96) -> Router | None:
+def fit(vectors: DataFrame, sample: int = 8192, rows_per_part: int = 400, neighbours: int = 20, recall: float = 0.94) -> Router | None:
     """Learn from at most ``sample`` rows: the bound of what the driver holds."""
+    parts = min(256, vectors.count() // rows_per_part)
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toPandas()["v"]
     if not len(rows):
         return None
     dim = int(pd.Series([len(r) for r in rows]).mode()[0])
     x = np.stack([np.asarray(r, np.float64) for r in rows if len(r) == dim])
     # directions decide the cut; the inner product ranks
-    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x = directions(x)
     parts = max(1, min(parts, len(x) // 16))
     if parts == 1:
         return Router(np.zeros((dim + 1, 1)), 1)
@@ -150,15 +153,16 @@ def fit(vectors: DataFrame, sample: int = 8192, parts: int = 64, neighbours: int
     return router
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.96, sample: int = 8192, parts: int = 64, rows_per_share: int = 4096) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.94, sample: int = 8192, rows_per_part: int = 400, rows_per_share: int = 32768, queries_per_block: int = 8192) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which ``queries`` holds."""
     spark = vectors.sparkSession
-    base = materialize(vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), queries.alias("q")).where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
-    router = fit(base, sample, parts, recall=recall)
+    own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row"))
+    base = materialize(own.where(F.col("vec_id").isNotNull() & usable(F.col("v"))), "vectors")
+    router = fit(base, sample, rows_per_part, recall=recall)
     schema = "query_id bigint, rank int, vec_id bigint, score double"
     if router is None:
         return spark.createDataFrame([], schema)
-    dim = router.weights.shape[0] - 1
+    dim, n_parts = router.weights.shape[0] - 1, router.weights.shape[1]
     sent = spark.sparkContext.broadcast(router)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -166,63 +170,74 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
         for batch in batches:
             batch = batch.filter(pa.array(np.diff(batch.column(1).offsets.to_numpy()) == dim))
             if batch.num_rows:
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.rank(unit(batch.column(1), dim), 1)[:, 0], pa.int64())], ["vec_id", "v", "q", "part"])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.rank(unit(batch.column(1), dim), 1)[:, 0], pa.int64())], ["vec_id", "v", "q", "row", "part"])
 
-    placed = materialize(base.mapInArrow(index, "vec_id bigint, v array<double>, q boolean, part bigint"), "index")
-    n_parts = router.weights.shape[1]
-    shares = np.ones(n_parts, np.int64)
-    for part, n in placed.groupBy("part").count().collect():  # one row a part
+    placed = materialize(base.mapInArrow(index, "vec_id bigint, v array<double>, q boolean, row bigint, part bigint"), "index")
+    shares, asked = np.ones(n_parts, np.int64), 0
+    for part, n, q in placed.groupBy("part").agg(F.count(F.lit(1)), F.count_if("q")).collect():  # one row a part
         shares[part] = -(-n // rows_per_share)
-    first = np.cumsum(shares) - shares
+        asked += q
+    first, blocks = np.cumsum(shares) - shares, -(-max(asked, 1) // queries_per_block)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Rows as candidates in a share of their part, and as queries in all shares of the parts to probe."""
+        """Queries in all shares of the parts to probe, each in its block."""
         for batch in batches:
-            ids, q, home = batch.column(0).to_numpy(), batch.column(2).to_numpy(zero_copy_only=False).astype(bool), batch.column(3).to_numpy()
-            salt = (ids * 0x9E3779B1 % (1 << 32)) % shares[home]
-            asks = np.flatnonzero(q)
-            goes = sent.value.rank(unit(batch.column(1), dim)[asks], sent.value.probes) if len(asks) else np.zeros((0, 1), np.int64)
-            row, place = T.ragged(shares[goes.ravel()])
-            cell = first[goes.ravel()[row]] + place
-            take = np.r_[np.arange(len(ids)), np.repeat(asks, goes.shape[1])[row]]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.r_[first[home] + salt, cell].astype(np.int64)), pa.array(np.arange(len(take)) >= len(ids)), pa.array(ids[take]), batch.column(1).take(pa.array(take))],
-                ["cell", "is_query", "id", "v"],
-            )
-
-    def rank(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        """All cells of one task; candidates and queries of a cell are multiplied by blocks, and the task's best of a query go on."""
-        frames = list(batches)
-        if not frames:
-            return
-        table, found = pd.concat(frames), []
-        for _, own in table.groupby("cell"):
-            c, qs = own[~own.is_query], own[own.is_query]
-            if c.empty or qs.empty:
+            batch = batch.filter(batch.column(2))
+            if not batch.num_rows:
                 continue
-            c = c.sort_values("id", kind="stable")
-            cx, cid = np.stack(c.v.to_numpy()), c.id.to_numpy()
-            for s in range(0, len(qs), 256):
-                block = qs.iloc[s : s + 256]
-                d = np.stack(block.v.to_numpy()) @ cx.T
-                d[block.id.to_numpy()[:, None] == cid[None, :]] = -np.inf
-                # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
-                # compute the scores of the chosen one by one
-                top = np.argsort(-np.round(d, 12), axis=1, kind="stable")[:, : k + 8]
-                own_q = np.repeat(np.stack(block.v.to_numpy()), top.shape[1], axis=0)
-                out = pd.DataFrame({"query_id": np.repeat(block.id.to_numpy(), top.shape[1]), "vec_id": cid[top].ravel(), "score": np.einsum("ij,ij->i", own_q, cx[top.ravel()])})
-                found.append(out[np.isfinite(np.take_along_axis(d, top, 1).ravel())])
-        if found:
-            both = pd.concat(found).sort_values(["query_id", "score", "vec_id"], ascending=[True, False, True])
-            yield both.groupby("query_id").head(k)
-
-    cells = placed.mapInArrow(route, "cell bigint, is_query boolean, id bigint, v array<double>")
-    found = cells.repartition(min(int(shares.sum()), partitions(spark)), "cell").mapInPandas(rank, "query_id bigint, vec_id bigint, score double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+            row = batch.column(3).to_numpy()
+            goes = sent.value.rank(unit(batch.column(1), dim), sent.value.probes)
+            which, place = T.ragged(shares[goes.ravel()])
+            cell, take = first[goes.ravel()[which]] + place, np.repeat(np.arange(len(row)), goes.shape[1])[which]
+            block = (T.mix(row.view(T.U64)) % T.U64(blocks)).astype(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block[take]), pa.array(np.ones(len(take), bool)), pa.array(row[take]), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], ["cell", "block", "asks", "row", "id", "v"])
+
+    def nearest(t: pa.Table) -> pa.Table:
+        """The best of a share for each query of a block."""
+        t = t.combine_chunks()
+        asks, ids, row = (t[c].to_numpy() for c in ("asks", "id", "row"))
+        x = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        big = np.exp2(np.maximum(np.ceil(np.log2(np.abs(x).max(1))) - 300, 0))  # powers of two, 1 for all but huge vectors
+        x = x / big[:, None]
+        c = np.flatnonzero(~asks)
+        c = c[np.argsort(ids[c], kind="stable")]
+        out = []
+        for s in range(0, int(asks.sum()) if len(c) else 0, 256):
+            q = np.flatnonzero(asks)[s : s + 256]
+            # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
+            # compute the scores of the chosen one by one
+            d = np.round(x[q] @ x[c].T, 12) * big[c]
+            d[ids[q][:, None] == ids[c][None, :]] = -np.inf
+            most = min(k + 8, len(c))
+            least = np.partition(d, len(c) - most, axis=1)[:, len(c) - most, None]
+            above, tied = d > least, (d == least) & (d > -np.inf)
+            i, j = np.nonzero(above | (tied & (np.cumsum(tied, 1) <= most - above.sum(1, keepdims=True))))
+            score = np.einsum("ij,ij->i", x[q[i]], x[c[j]])
+            with np.errstate(over="ignore"):
+                score = score * big[q[i]] * big[c[j]]
+            order = np.lexsort((ids[c[j]], -score, i))
+            i, j, score = i[order], j[order], score[order]
+            place = np.arange(len(i)) - np.searchsorted(i, i)
+            keep = place < k
+            out.append((row[q[i]][keep], ids[q[i]][keep], ids[c[j]][keep], score[keep]))
+        names = ("row", "query_id", "vec_id", "score")
+        cols = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
+        return pa.table(dict(zip(names, cols, strict=True)))
+
+    salt = F.pmod(F.xxhash64("row"), F.element_at(F.array(*[F.lit(int(n)) for n in shares]), (F.col("part") + 1).cast("int")))
+    begin = F.element_at(F.array(*[F.lit(int(n)) for n in first]), (F.col("part") + 1).cast("int"))
+    members = placed.select((begin + salt).alias("cell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(False).alias("asks"), "row", F.col("vec_id").alias("id"), "v")
+    asks = placed.mapInArrow(route, "cell bigint, block bigint, asks boolean, row bigint, id bigint, v array<double>")
+    found = members.unionByName(asks).groupBy("cell", "block").applyInArrow(nearest, "row bigint, query_id bigint, vec_id bigint, score double")
+    w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
-def unit(v: pa.ListArray, dim: int) -> np.ndarray:
-    """Rows of a list column, scaled to length 1."""
-    x = v.flatten().to_numpy().reshape(-1, dim)
+def directions(x: np.ndarray) -> np.ndarray:
+    """Rows scaled to length 1; the largest component first, so that squares don't overflow."""
+    x = x / np.abs(x).max(1, keepdims=True)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
+def unit(v: pa.ListArray, dim: int) -> np.ndarray:
+    return directions(v.flatten().to_numpy().reshape(-1, dim))
