@@ -2,9 +2,10 @@
 
 Validated values (cards by Luhn, IBANs by mod 97, social security numbers, telephone numbers, IPv4 addresses, dates of the
 calendar, e-mail addresses, access keys and labelled passwords) are permuted by a keyed Feistel network within their format:
-equal values give equal pseudonyms in all documents, different values different ones, and a pseudonym passes the same
+equal values give equal pseudonyms in all documents, different values of a format different ones, and a pseudonym passes the same
 validation.  Formatting (spaces, dashes, brackets) is laid over the permuted value again, so two spellings of one number
-stay linked.
+stay linked.  Dates keep their separators, widths and the order of day and month, and years of 1900 to 2099 stay among
+themselves.  The key is the caller's: whoever has it can undo the pseudonyms.
 
 ``pseudonymize`` keeps every row and column, replaces the text column and adds ``pii`` (kind, place in the new text,
 original length) and ``n_pii``; added columns replace those of the same name.  Null texts stay null with no findings, empty
@@ -13,13 +14,14 @@ texts stay empty, long texts are scanned whole, repeated rows are treated alike,
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import re
+import secrets
 from collections.abc import Callable, Iterator
-from datetime import date, timedelta
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._store import text_batches
@@ -129,32 +131,49 @@ def _iban(m: str, key: bytes) -> str | None:
     return lay(m, f"{s[:2]}{98 - _mod97(body + s[:2] + '00'):02d}{body}")
 
 
-FIRST, DAYS = date(1900, 1, 1), 73049  # to 2099-12-31
+#: Years whose dates are permuted among themselves, so that common dates stay plausible; all others form the second band.
+NEAR = range(1900, 2100)
+
+
+@functools.cache
+def _days(order: str, wide: tuple[int, int]) -> tuple[tuple[int, int], ...]:
+    """Pairs of the first and second short field of these widths that a calendar has under an order: ``md``, ``dm`` (no ``md``) or ``both``."""
+    fits = lambda m, d: 1 <= m <= 12 and 1 <= d <= (31, 29, 31, 30, 31, 30, 31, 31, 30, 31, 30, 31)[m - 1]
+    values = [range(1, 10) if w == 1 else range(1, 32) for w in wide]
+    kind = {(True, True): "both", (True, False): "md", (False, True): "dm"}
+    return tuple((a, b) for a in values[0] for b in values[1] if kind.get((fits(a, b), fits(b, a))) == order)
 
 
 def _date(m: str, key: bytes) -> str | None:
     parts = re.split(r"[-/.]", m)
-    sep = m[len(parts[0])]
-    orders = ((0, 1, 2),) if len(parts[0]) == 4 else ((2, 1, 0), (2, 0, 1))
-    for order in orders:
-        y, mo, d = (int(parts[i]) for i in order)
-        try:
-            day = (date(y, mo, d) - FIRST).days
-        except ValueError:
-            continue
-        if not 0 <= day < DAYS:
-            return None
-        # day and month both up to 12 could be read in two orders; the reading above is kept
-        day = feistel(day, 512, 512, key, "date")
-        while day >= DAYS:
-            day = feistel(day, 512, 512, key, "date")
-        new = FIRST + timedelta(day)
-        by = {0: f"{new.year:04d}", 1: f"{new.month:02d}", 2: f"{new.day:02d}"}
-        out = [""] * 3
-        for what, i in enumerate(order):
-            out[i] = by[what]
-        return sep.join(out)
-    return None
+    year_first = len(parts[0]) == 4
+    year, one, two = parts if year_first else (parts[2], parts[0], parts[1])
+    wide, pair, y = (len(one), len(two)), (int(one), int(two)), int(year)
+    order = next((o for o in ("md", "dm", "both") if pair in _days(o, wide)), None)
+    if year_first and order == "both":
+        days = tuple(sorted(_days("md", wide) + _days("both", wide)))
+    elif order is None or (year_first and order == "dm"):
+        return None
+    else:
+        days = tuple(sorted(_days("md", wide) + _days("both", wide))) if year_first else _days(order, wide)
+    leap = lambda y: y % 4 == 0 and (y % 100 != 0 or y % 400 == 0)
+    ok = lambda p, y: leap(y) or p not in ((2, 29), (29, 2))
+    if not y or not ok(pair, y):
+        return None
+    near = y in NEAR
+    years = len(NEAR) if near else 9999 - len(NEAR)
+    at = y - NEAR[0] if near else (y - 1 if y < NEAR[0] else y - 1 - len(NEAR))
+    value = days.index(pair) * years + at
+    while True:
+        value = feistel(value, len(days), years, key, f"date{year_first}{order if not year_first else ''}{wide}{near}")
+        i, at = divmod(value, years)
+        y = at + NEAR[0] if near else (at + 1 if at + 1 < NEAR[0] else at + 1 + len(NEAR))
+        if ok(days[i], y):
+            break
+    short = [f"{v:0{w}d}" for v, w in zip(days[i], wide, strict=True)]
+    seps = re.findall(r"[-/.]", m)
+    out = [f"{y:04d}", *short] if year_first else [*short, f"{y:04d}"]
+    return out[0] + seps[0] + out[1] + seps[1] + out[2]
 
 
 def _email(m: str, key: bytes) -> str | None:
@@ -242,9 +261,10 @@ def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
         found += matches(text, kind, pattern, make, key)
     rank = {k: i for i, (k, _, _) in enumerate(KINDS)}
     found.sort(key=lambda x: (rank[x[2]], x[0]))
-    taken: list[tuple[int, int, str, str]] = []
+    taken, covered = [], bytearray(len(text))
     for x in found:
-        if all(x[1] <= y[0] or x[0] >= y[1] for y in taken):
+        if covered.find(1, x[0], x[1]) < 0:
+            covered[x[0] : x[1]] = b"\x01" * (x[1] - x[0])
             taken.append(x)
     return sorted(taken)
 
@@ -260,8 +280,20 @@ def rewrite(text: str, key: bytes) -> tuple[str, list[dict]]:
     return "".join([*out, text[at:]]) if spans else text, spans
 
 
-def pseudonymize(docs: DataFrame, key: str = "corpusflow", text: str = "text") -> DataFrame:
+@functools.cache
+def _own_key() -> str:
+    return secrets.token_hex(32)
+
+
+def session_key(spark: SparkSession) -> str:
+    """``spark.corpusflow.pii.key``; where it is unset, a random key that lives as long as the driver."""
+    return spark.conf.get("spark.corpusflow.pii.key", None) or _own_key()
+
+
+def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """``docs`` with pseudonyms in the text column, and ``pii`` and ``n_pii``."""
+    if not key:
+        raise ValueError("a key is needed")
     text_batches(docs.sparkSession)
     secret = hashlib.sha256(key.encode()).digest()
     spans = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("was_length", pa.int32())]))

@@ -13,7 +13,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = pii.pseudonymize(table(spark, sf_dir, "documents"))
+    out = pii.pseudonymize(table(spark, sf_dir, "documents"), pii.session_key(spark))
     return out.select("doc_id", "text", "n_pii", F.array_join(F.transform("pii", lambda x: x["kind"]), ",").alias("kinds"))
 
 
@@ -81,7 +81,7 @@ def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "verdict")
+    return urlfilter.judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "n_strict", "n_soft", "soft_weight", "verdict")
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_decontamination, op3_learned_partitions, op4_chat, op5_toxicity, op6_jaccard_join, op7_packing, op8_substring_dedup, op9_suffix_dedup, op10_url_filter)}
