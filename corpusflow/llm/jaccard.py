@@ -103,7 +103,7 @@ def members(docs: DataFrame, n: int, bits: int) -> DataFrame:
                 size += len(v)
             nulls = pa.nulls(len(ids))
             yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column(2), pa.array(np.concatenate([*sizes, none_yet]), pa.int64()), pa.array(np.concatenate([*nodes, none_yet]), pa.int64()), nulls.cast(pa.int32()), nulls.cast(pa.binary())], names)
-            if size > 1 << 22:
+            if size > 1 << 21:
                 yield cells(held)
                 held, size = [], 0
         if size:
@@ -218,7 +218,7 @@ def prefix_pairs(docs: DataFrame, classes: np.ndarray, n: int, percent: int, den
                 front = place < prefix(sizes, percent)[row]
                 got.append((own[front], name[row[front]], sizes[row[front]].astype(np.uint32), place[front].astype(np.uint32)))
                 size += int(front.sum())
-            if size > 1 << 20:
+            if size > 1 << 19:
                 yield send(got)
                 got, size = [], 0
         if size:
