@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
             hashes.append(batch.column(1).to_numpy())
             texts.append(T.column(batch.column(2)))
             size += len(texts[-1][0])
-            if size > 1 << 24:  # one sorted run for each 16 MB of text
+            if size > 1 << 23:  # one sorted run for each 8 MB of text
                 yield from sort(ids, hashes, texts)
                 ids, hashes, texts, size = [], [], [], 0
         if ids:
