@@ -36,7 +36,7 @@ BM25 = f"""
 w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
 tf AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(w)) FROM w) AS avgdl),
-i0 AS (SELECT term, count(DISTINCT doc_id) AS df, ln(any_value(n) - count(DISTINCT doc_id) + 0.5::DOUBLE) - ln(count(DISTINCT doc_id) + 0.5::DOUBLE) AS idf FROM tf, st GROUP BY term),
+i0 AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM tf, st GROUP BY term),
 i AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
@@ -666,3 +666,5 @@ def event_sessions(spark, d):
     from ..streaming.turns import sessions as own
 
     return own(table(spark, d, "events"))
+
+from . import clinical  # noqa: E402,F401  registers its queries

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "corpusflow") -> SparkSession:
+def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "corpusflow", **settings: str) -> SparkSession:
+    """A session on this machine; ``settings`` name Spark properties with ``__`` for dots."""
     shuffle = cpus if isinstance(cpus, int) else 8
     return (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -15,6 +16,7 @@ def local_session(cpus: int | str = "*", memory: str = "8g", app: str = "corpusf
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map={k.replace("__", "."): v for k, v in settings.items()})
         .getOrCreate()
     )
 
