@@ -6,8 +6,9 @@ majority votes of the neighbours under a size limit; a small classifier (a linea
 neighbours belong to.  Every row of the table is then indexed under its likeliest part, and a query is routed to several of its
 likeliest parts, whose members are ranked by the exact inner product in double precision.  How many parts are probed is measured:
 an eighth of the sample is held out of the fit, and as many probes are taken as let it find the share ``recall`` of its exact
-neighbours in the sample.  A task compares one salted share of a part (``rows_per_share``) with one block of queries
-(``queries_per_block``), so its memory is bounded whatever fills a part, and returns at most ``k`` rows a query.
+neighbours in the sample.  Parts are bundled into cells of about ``rows_per_share`` rows, and larger parts are dealt over several
+cells by a salt.  A group compares one cell with one block of queries (``queries_per_block``), each query with the members of the
+parts that it probes, so its memory is bounded whatever fills a part; a query goes to a cell once and gets at most ``k`` rows back.
 
 Vectors that are null, zero, of another length than most of the sample's, or that hold a null or non-finite component take
 no part.  Products beyond the range of doubles are infinite and tie.  Ties go to the smaller id.  Rows of a repeated id are rows
@@ -153,7 +154,7 @@ def fit(vectors: DataFrame, sample: int = 8192, rows_per_part: int = 400, neighb
     return router
 
 
-def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.94, sample: int = 8192, rows_per_part: int = 400, rows_per_share: int = 32768, queries_per_block: int = 8192) -> DataFrame:
+def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.94, sample: int = 8192, rows_per_part: int = 400, rows_per_share: int = 65536, queries_per_block: int = 4096) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` nearest found of every row for which ``queries`` holds."""
     spark = vectors.sparkSession
     own = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("v"), F.coalesce(queries, F.lit(False)).alias("q"), F.monotonically_increasing_id().alias("row"))
@@ -173,14 +174,20 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(sent.value.rank(unit(batch.column(1), dim), 1)[:, 0], pa.int64())], ["vec_id", "v", "q", "row", "part"])
 
     placed = materialize(base.mapInArrow(index, "vec_id bigint, v array<double>, q boolean, row bigint, part bigint"), "index")
-    shares, asked = np.ones(n_parts, np.int64), 0
+    sizes, asked = np.zeros(n_parts, np.int64), 0
     for part, n, q in placed.groupBy("part").agg(F.count(F.lit(1)), F.count_if("q")).collect():  # one row a part
-        shares[part] = -(-n // rows_per_share)
+        sizes[part] = n
         asked += q
-    first, blocks = np.cumsum(shares) - shares, -(-max(asked, 1) // queries_per_block)
+    shares, first, room, cells = np.maximum(1, -(-sizes // rows_per_share)), np.zeros(n_parts, np.int64), 0, 0
+    for part, n in enumerate(sizes.tolist()):
+        if n > room:  # a new cell, or as many as the part needs
+            first[part], cells, room = cells, cells + int(shares[part]), max(0, rows_per_share - n)
+        else:
+            first[part], room = cells - 1, room - n
+    blocks = -(-max(asked, 1) // queries_per_block)
 
     def route(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """Queries in all shares of the parts to probe, each in its block."""
+        """Queries in all cells of the parts to probe, each in its block."""
         for batch in batches:
             batch = batch.filter(batch.column(2))
             if not batch.num_rows:
@@ -188,46 +195,60 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
             row = batch.column(3).to_numpy()
             goes = sent.value.rank(unit(batch.column(1), dim), sent.value.probes)
             which, place = T.ragged(shares[goes.ravel()])
-            cell, take = first[goes.ravel()[which]] + place, np.repeat(np.arange(len(row)), goes.shape[1])[which]
+            take, cell = np.unique(np.stack([which // goes.shape[1], first[goes.ravel()[which]] + place]), axis=1)
             block = (T.mix(row.view(T.U64)) % T.U64(blocks)).astype(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block[take]), pa.array(np.ones(len(take), bool)), pa.array(row[take]), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], ["cell", "block", "asks", "row", "id", "v"])
+            none = pa.array(np.full(len(take), -1, np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(block[take]), none, pa.array(row[take]), batch.column(0).take(pa.array(take)), batch.column(1).take(pa.array(take))], ["cell", "block", "part", "row", "id", "v"])
 
     def nearest(t: pa.Table) -> pa.Table:
-        """The best of a share for each query of a block."""
+        """The best of a cell for each query of a block: part by part, members of the part with the queries that probe it."""
         t = t.combine_chunks()
-        asks, ids, row = (t[c].to_numpy() for c in ("asks", "id", "row"))
+        part, ids, row = (t[c].to_numpy() for c in ("part", "id", "row"))
         x = t["v"].combine_chunks().flatten().to_numpy().reshape(-1, dim)
+        asks, members = np.flatnonzero(part < 0), np.flatnonzero(part >= 0)
+        goes = sent.value.rank(directions(x[asks]), sent.value.probes) if len(asks) else np.zeros((0, 1), np.int64)
+        probed = np.zeros((len(asks), n_parts), bool)
+        probed[np.arange(len(asks))[:, None], goes] = True
         big = np.exp2(np.maximum(np.ceil(np.log2(np.abs(x).max(1))) - 300, 0))  # powers of two, 1 for all but huge vectors
         x = x / big[:, None]
-        c = np.flatnonzero(~asks)
-        c = c[np.argsort(ids[c], kind="stable")]
-        out = []
-        for s in range(0, int(asks.sum()) if len(c) else 0, 256):
-            q = np.flatnonzero(asks)[s : s + 256]
-            # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
-            # compute the scores of the chosen one by one
-            d = np.round(x[q] @ x[c].T, 12) * big[c]
-            d[ids[q][:, None] == ids[c][None, :]] = -np.inf
-            most = min(k + 8, len(c))
-            least = np.partition(d, len(c) - most, axis=1)[:, len(c) - most, None]
-            above, tied = d > least, (d == least) & (d > -np.inf)
-            i, j = np.nonzero(above | (tied & (np.cumsum(tied, 1) <= most - above.sum(1, keepdims=True))))
-            score = np.einsum("ij,ij->i", x[q[i]], x[c[j]])
-            with np.errstate(over="ignore"):
-                score = score * big[q[i]] * big[c[j]]
-            order = np.lexsort((ids[c[j]], -score, i))
-            i, j, score = i[order], j[order], score[order]
-            place = np.arange(len(i)) - np.searchsorted(i, i)
-            keep = place < k
-            out.append((row[q[i]][keep], ids[q[i]][keep], ids[c[j]][keep], score[keep]))
-        names = ("row", "query_id", "vec_id", "score")
-        cols = [np.concatenate(z) for z in zip(*out, strict=True)] if out else [np.zeros(0, np.int64)] * 3 + [np.zeros(0)]
-        return pa.table(dict(zip(names, cols, strict=True)))
+        found, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
+        for p in np.unique(part[members]):
+            c = members[part[members] == p]
+            c = c[np.argsort(ids[c], kind="stable")]
+            own = asks[probed[:, p]]
+            for s in range(0, len(own), 256):
+                found.append(closest(own[s : s + 256], c, x, big, ids))
+                size += len(found[-1][0])
+            if size > 1 << 20:
+                found = [best(found, ids)]
+                size = len(found[0][0])
+        i, j, score = best(found, ids)
+        return pa.table({"row": pa.array(row[i]), "query_id": pa.array(ids[i]), "vec_id": pa.array(ids[j]), "score": pa.array(score)})
+
+    def closest(q: np.ndarray, c: np.ndarray, x: np.ndarray, big: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
+        # compute the scores of the chosen one by one
+        d = np.round(x[q] @ x[c].T, 12) * big[c]
+        d[ids[q][:, None] == ids[c][None, :]] = -np.inf
+        most = min(k + 8, len(c))
+        least = np.partition(d, len(c) - most, axis=1)[:, len(c) - most, None]
+        above, tied = d > least, (d == least) & (d > -np.inf)
+        i, j = np.nonzero(above | (tied & (np.cumsum(tied, 1) <= most - above.sum(1, keepdims=True))))
+        i, j = q[i], c[j]
+        with np.errstate(over="ignore"):
+            return i, j, np.einsum("ij,ij->i", x[i], x[j]) * big[i] * big[j]
+
+    def best(found, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        i, j, score = (np.concatenate(z) for z in zip(*found, strict=True))
+        order = np.lexsort((ids[j], -score, i))
+        i, j, score = i[order], j[order], score[order]
+        keep = np.arange(len(i)) - np.searchsorted(i, i) < k
+        return i[keep], j[keep], score[keep]
 
     salt = F.pmod(F.xxhash64("row"), F.element_at(F.array(*[F.lit(int(n)) for n in shares]), (F.col("part") + 1).cast("int")))
     begin = F.element_at(F.array(*[F.lit(int(n)) for n in first]), (F.col("part") + 1).cast("int"))
-    members = placed.select((begin + salt).alias("cell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), F.lit(False).alias("asks"), "row", F.col("vec_id").alias("id"), "v")
-    asks = placed.mapInArrow(route, "cell bigint, block bigint, asks boolean, row bigint, id bigint, v array<double>")
+    members = placed.select((begin + salt).alias("cell"), F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("block"), "part", "row", F.col("vec_id").alias("id"), "v")
+    asks = placed.mapInArrow(route, "cell bigint, block bigint, part bigint, row bigint, id bigint, v array<double>")
     found = members.unionByName(asks).groupBy("cell", "block").applyInArrow(nearest, "row bigint, query_id bigint, vec_id bigint, score double")
     w = Window.partitionBy("row").orderBy(F.desc("score"), "vec_id")
     return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
