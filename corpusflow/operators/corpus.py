@@ -105,3 +105,10 @@ def manifest(docs: DataFrame, group: str = "source") -> DataFrame:
 def quota(df: DataFrame, relevant: Column, n: int, order: list[str]) -> DataFrame:
     """Relevant rows first, general rows fill what is left of ``n``."""
     return df.withColumn("relevant", relevant).orderBy(F.desc("relevant"), *order).limit(n)
+
+
+def purge_section(lines: DataFrame, key: str, title: str) -> DataFrame:
+    """Rows (key, line_no, line) without the top-level section of that title and all below it, up to the next top-level heading."""
+    heading = F.when(F.col("line").rlike(r"^#\s"), F.trim(F.regexp_replace("line", r"^#\s+", "")))
+    chapter = F.last(heading, ignorenulls=True).over(Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    return lines.withColumn("chapter", chapter).where(~F.col("chapter").eqNullSafe(F.lit(title))).drop("chapter")

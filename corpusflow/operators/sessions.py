@@ -19,11 +19,16 @@ ADMIT, DROP, FLOOR, RATE = 0.3, 0.15, 0.1, 0.1
 IMMEDIATE, HITS, PENDING_TURNS, PENDING_LEAST = 0.75, 2, 2, 0.35
 MARGIN, SURE = 0.15, 0.2
 KEEP_PENDING = 3
+#: Turns without an admitted entity after which a session begins anew; slots that are all below ``FAINT`` end it too.
+IDLE_TURNS, FAINT = 15, 0.2
+#: Kinds that an image gives, and how many terms of each kind a context names.
+FROM_IMAGE = ("finding",)
+TERMS = {"condition": 3, "finding": 4, "symptom": 4, "medication": 3, "procedure": 3}
 SLOTS = ("anatomy", "condition")
 
 
 def empty_state() -> dict:
-    return {"turn": 0, "slots": {}, "items": {}, "pending": {}, "history": [], "drift": False}
+    return {"turn": 0, "active": 0, "slots": {}, "items": {}, "pending": {}, "history": [], "drift": False}
 
 
 def reinforce(s: dict, confidence: float, turn: int) -> None:
@@ -47,11 +52,17 @@ def sight(pending: dict, key: str, confidence: float, turn: int) -> dict:
 
 
 def transition(state: dict, turn: int, entities: list[tuple[str, str, float]]) -> dict:
-    """The state after the entities (type, value, confidence) of a turn."""
+    """The state after the entities (type, value, confidence) of a turn; one of type ``image`` is a new image."""
+    if should_reset(state, turn):
+        state = empty_state()
     state["turn"] = turn
     for kind, value, c in entities:
-        if c < ADMIT:
+        if kind == "image":
+            reset_for_image(state)
+            state["active"] = turn
+        if c < ADMIT or kind == "image":
             continue
+        state["active"] = turn
         if kind in SLOTS:
             cur = state["slots"].get(kind)
             if cur is None:
@@ -90,6 +101,40 @@ def transition(state: dict, turn: int, entities: list[tuple[str, str, float]]) -
     return state
 
 
+def should_reset(state: dict, turn: int) -> bool:
+    """Idle for too long, or all that is known of the slots is faint."""
+    if not state["turn"]:
+        return False
+    slots = list(state["slots"].values())
+    return turn - state["active"] > IDLE_TURNS or (len(slots) == len(SLOTS) and all(s["c"] < FAINT for s in slots))
+
+
+def reset_for_image(state: dict) -> None:
+    """Forget what an earlier image gave; what the patient reported stays."""
+    state["slots"], state["drift"] = {}, False
+    for box in ("items", "pending"):
+        state[box] = {k: v for k, v in state[box].items() if k.split(":", 1)[0] not in (*FROM_IMAGE, *SLOTS)}
+
+
+def stable(s: dict, threshold: float = 0.4) -> bool:
+    return s["c"] >= 0.65 or (s["c"] >= threshold and s["n"] >= 2)
+
+
+def has_context(state: dict, threshold: float = 0.4, provisional: float | None = None) -> bool:
+    """Whether anything is stable; with ``provisional`` a pending sighting of that confidence will do."""
+    known = [*state["slots"].values(), *state["items"].values()]
+    return any(stable(s, threshold) for s in known) or (provisional is not None and any(p["c"] >= provisional for p in state["pending"].values()))
+
+
+def context_terms(state: dict) -> list[str]:
+    """The slots and the surest stable items of each kind, as many as ``TERMS`` allows, for retrieval."""
+    out = [state["slots"][k]["value"] for k in SLOTS if k in state["slots"] and stable(state["slots"][k], 0.35)]
+    for kind, most in TERMS.items():
+        own = [s for k, s in state["items"].items() if k.split(":", 1)[0] == kind and stable(s, 0.35)]
+        out += [s["value"] for s in sorted(own, key=lambda s: -s["c"])[:most]]
+    return list(dict.fromkeys(out))
+
+
 SNAPSHOT = "conv_id bigint, turn bigint, topic string, confidence double, items bigint, pending bigint, drift boolean"
 
 

@@ -13,10 +13,14 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.sessions import SNAPSHOT, empty_state, snapshot, transition
 
 
-def session_states(turns: DataFrame) -> DataFrame:
-    """A snapshot after each turn of a stream (conv_id, turn, entities); the state of a session is kept by Spark's state store."""
+def session_states(turns: DataFrame, idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """A snapshot after each turn of a stream (conv_id, turn, entities); the state of a session is kept by Spark's state store until
+    no turn has come for ``idle_ms``."""
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         own = json.loads(state.get[0]) if state.exists else empty_state()
         rows = pd.concat(list(frames)).sort_values("turn")
         out = []
@@ -24,9 +28,10 @@ def session_states(turns: DataFrame) -> DataFrame:
             own = transition(own, int(r.turn), [(e["type"], e["value"], e["confidence"]) for e in r.entities])
             out.append(snapshot(int(key[0]), own))
         state.update((json.dumps(own),))
+        state.setTimeoutDuration(idle_ms)
         yield pd.DataFrame(out)
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, SNAPSHOT, "state string", "append", GroupStateTimeout.NoTimeout)
+    return turns.groupBy("conv_id").applyInPandasWithState(step, SNAPSHOT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
 def timed(events: DataFrame) -> DataFrame:

@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from corpusflow.functions import safety as S
 from corpusflow.operators import anatomy as A
+from corpusflow.operators import corpus, sessions
 
 CASES = [
     ("I have a white spot on the black part of the eye with redness and watering.", "retina roth spots leukocoria", "urgent", True, ["cornea", "keratitis"], ["retina", "roth", "leukocoria"]),
@@ -53,3 +54,26 @@ def test_contradictions(spark):
     assert sorted(map(tuple, got)) == [(1, "The sclera is white."), (3, "Cornea is anatomically different from Retina.")]
     rooms = spark.createDataFrame([("Optic disc", None), ("?", "iris"), (None, None)], "a string, b string").select(A.resolved_room(F.col("a"), F.col("b"))).collect()
     assert [r[0] for r in rooms] == ["posterior_segment", "anterior_segment", None]
+
+
+def test_session_resets():
+    state = sessions.empty_state()
+    for turn in (1, 2):
+        state = sessions.transition(state, turn, [("anatomy", "cornea", 0.8), ("finding", "ulcer", 0.9), ("symptom", "pain", 0.85), ("symptom", "glare", 0.4)])
+    assert sessions.has_context(state) and sessions.context_terms(state) == ["cornea", "ulcer", "pain", "glare"]
+    state = sessions.transition(state, 3, [("image", "new", 1.0)])
+    assert not state["slots"] and sessions.context_terms(state) == ["pain", "glare"]
+    state = sessions.transition(state, 3 + sessions.IDLE_TURNS + 1, [])
+    assert not state["items"] and not sessions.has_context(state)
+    state = sessions.transition(state, 20, [("finding", "scar", 0.5)])
+    assert not sessions.has_context(state) and sessions.has_context(state, provisional=0.45)
+    many = sessions.empty_state()
+    many = sessions.transition(many, 1, [("medication", f"m{i}", 0.8 + i / 100) for i in range(6)])
+    assert sessions.context_terms(many) == ["m5", "m4", "m3"]
+
+
+def test_purge_section(spark):
+    lines = ["intro", "# Keep", "a", "# Drop", "b", "## below", "c", "# Keep", "d"]
+    df = spark.createDataFrame([(k, i, x) for k in (1, 2) for i, x in enumerate(lines)], "k int, line_no int, line string")
+    got = [r.line for r in corpus.purge_section(df, "k", "Drop").where("k = 1").orderBy("line_no").collect()]
+    assert got == ["intro", "# Keep", "a", "# Keep", "d"]
