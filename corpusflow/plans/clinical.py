@@ -79,7 +79,7 @@ def anatomy_structures(spark, d):
 @query(f"""WITH f AS ({_FOUND}), b AS (SELECT conv_id, turn, fact, min(structure || fact_no) AS pos FROM f JOIN (VALUES {_VALUES(_FACTS)}) x(structure, fact_no, fact) USING (structure) GROUP BY ALL)
 SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id, turn ORDER BY pos, fact) AS rank, fact FROM b QUALIFY rank <= 3""")
 def anatomy_facts(spark, d):
-    return A.facts(found_in(spark, d), "key", spark.createDataFrame(_FACTS, "structure string, fact_no int, fact string"), 3).select("key.*", "rank", "fact")
+    return A.facts(found_in(spark, d), "key", spark.createDataFrame(_FACTS, "structure string, fact_no int, fact string"), 3).select("key.*", F.col("rank").cast("long").alias("rank"), "fact")
 
 
 @query(rf"""SELECT DISTINCT conv_id, turn, message FROM {_TURNS}, (VALUES {_VALUES(_CONTRA)}) r(id, pattern, exempt, message) WHERE regexp_matches(q, pattern) AND (exempt IS NULL OR NOT regexp_matches(q, exempt))
@@ -107,12 +107,14 @@ def region_vote(spark, d):
 
 
 @query(f"""WITH s AS (SELECT conv_id, role, list(DISTINCT structure) AS s FROM ({_FOUND}) JOIN conversations USING (conv_id, turn) GROUP BY ALL)
-SELECT conv_id, len(u.s) > 0 AND len(a.s) > 0 AND NOT list_has_any(u.s, a.s) AS mismatch, len(list_distinct(u.s || a.s))::INT AS together FROM (SELECT * FROM s WHERE role = 'user') u JOIN (SELECT * FROM s WHERE role = 'assistant') a USING (conv_id)""")
+SELECT conv_id, len(u) > 0 AND len(a) > 0 AND NOT list_has_any(u, a) AS mismatch, len(list_distinct(u || a))::INT AS together
+FROM (SELECT conv_id, coalesce(u.s, []) AS u, coalesce(a.s, []) AS a FROM (SELECT * FROM s WHERE role = 'user') u FULL JOIN (SELECT * FROM s WHERE role = 'assistant') a USING (conv_id))""")
 def anatomy_mismatch(spark, d):
     roles = turns_of(spark, d).select(F.struct("conv_id", "turn").alias("key"), "role")
     sets = found_in(spark, d).join(roles, "key").groupBy("key.conv_id", "role").agg(F.collect_set("structure").alias("s"))
     side = lambda role, name: sets.where(F.col("role") == role).select("conv_id", F.col("s").alias(name))
-    both = side("user", "asked").join(side("assistant", "answered"), "conv_id")
+    both = side("user", "asked").join(side("assistant", "answered"), "conv_id", "full")
+    both = both.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("asked", "answered")})
     return both.select("conv_id", A.mismatch(F.col("asked"), F.col("answered")).alias("mismatch"), F.size(A.keep_first_union(F.col("asked"), F.col("answered"))).alias("together"))
 
 
@@ -217,7 +219,7 @@ def asset_links(spark, d):
 
     own = table(spark, d, "pages").select("page_id", F.explode(F.array_distinct(F.regexp_extract_all("html", F.lit(_HREF)))).alias("link")).where(~F.lower("link").rlike("|".join(_REJECT)))
     w = Window.partitionBy("page_id").orderBy((~F.contains(F.lower("link"), F.lit(".pdf"))).cast("int"), F.length("link"), "link")
-    return own.withColumn("rank", F.row_number().over(w))
+    return own.withColumn("rank", F.row_number().over(w).cast("long"))
 
 
 @query(r"""WITH u AS (SELECT regexp_replace(url, '[?#].*$', '') AS u FROM pages WHERE url IS NOT NULL), p AS (SELECT u, list_filter(string_split(regexp_replace(u, '^[^:]+://[^/]*', ''), '/'), lambda x: x <> '') AS p FROM u) SELECT DISTINCT u AS link, len(p)::INT AS parts FROM p WHERE len(p) >= 2""")
@@ -253,7 +255,7 @@ def source_ranking(spark, d):
 
     held = F.filter(F.array(*[F.lit(k) for k in _KEYS]), lambda k: F.contains(F.lower("text"), k))
     own = table(spark, d, "documents").select("source", F.explode(held).alias("term")).groupBy("source").agg(F.array_sort(F.collect_set("term")).alias("terms"))
-    return own.select("source", F.array_join("terms", ",").alias("terms"), F.row_number().over(Window.orderBy(F.desc(F.size("terms")), "source")).alias("rank"))
+    return own.select("source", F.array_join("terms", ",").alias("terms"), F.row_number().over(Window.orderBy(F.desc(F.size("terms")), "source")).cast("long").alias("rank"))
 
 
 @query("""WITH n AS (SELECT label, unnest(embedding) AS x, generate_subscripts(embedding, 1) AS i, sqrt(list_sum(list_transform(embedding, lambda v: v::DOUBLE * v))) AS l FROM embeddings), m AS (SELECT label, i, avg(x / l) AS x FROM n GROUP BY ALL),
