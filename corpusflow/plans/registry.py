@@ -124,7 +124,7 @@ def two_anchor_merge(spark, d):
     return own.select("item_id", "doc_id", F.row_number().over(w).cast("long").alias("rank"))
 
 
-_KW = f"list_slice(list_sort(list_distinct(list_filter({WORDS.format('text')}, lambda x: length(x) >= 6))), 1, 5)"
+_KW = f"list_sort(list_distinct(list_filter({WORDS.format('text')}, lambda x: length(x) >= 6)))"
 METRICS = f"""{BM25}, kw AS (SELECT item_id, {_KW} AS keywords FROM benchmark),
 h AS (SELECT item_id, rank, keywords, list_filter(keywords, lambda k: contains(lower(text), k)) AS found FROM top JOIN documents USING (doc_id) JOIN kw USING (item_id)),
 pm AS (SELECT item_id, len(list_distinct(flatten(list(found)))) AS n_found, avg((len(found) > 0)::INT) AS p, min(rank) FILTER (len(found) > 0) AS f, count(*) AS returned FROM h GROUP BY item_id),
@@ -134,7 +134,7 @@ m AS (SELECT item_id, CASE WHEN len(keywords) > 0 THEN round(coalesce(n_found, 0
 
 def metrics_of(spark, d):
     b = table(spark, d, "benchmark")
-    keywords = F.slice(F.array_sort(F.array_distinct(F.filter(X.words(F.col("text")), lambda x: F.length(x) >= 6))), 1, 5)
+    keywords = F.array_sort(F.array_distinct(F.filter(X.words(F.col("text")), lambda x: F.length(x) >= 6)))
     return evaluation.retrieval_metrics(retrieval.bm25_top_k(docs_of(spark, d), b), b.select("item_id", keywords.alias("keywords")), docs_of(spark, d))
 
 
@@ -667,4 +667,4 @@ def event_sessions(spark, d):
 
     return own(table(spark, d, "events"))
 
-from . import clinical  # noqa: E402,F401  registers its queries
+from . import clinical, evidence  # noqa: E402,F401  register their queries

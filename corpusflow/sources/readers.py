@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions.text import clean_article
+
 
 def text_files(spark: SparkSession, *paths: str) -> DataFrame:
     """One row a file: source (from the name), path, text."""
@@ -59,3 +61,62 @@ def links(pages: DataFrame) -> DataFrame:
     """Distinct links of each page: page_id, link."""
     own = pages.select("page_id", F.explode(F.regexp_extract_all("html", F.lit(r'(?i)href="([^"#]+)'))).alias("link"))
     return own.where(F.col("link") != "").distinct()
+
+
+ARTICLE = ("pmid", "title", "abstract", "journal", "year", "authors", "source_api")
+
+
+def result_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of JSON answers of a search by cursor: abstracts of 100 characters or more, ids of their own where there is no PMID."""
+    item = "struct<id:string,pmid:string,title:string,abstractText:string,journalTitle:string,pubYear:string,authorString:string>"
+    df = spark.read.schema(f"resultList struct<result:array<{item}>>").option("multiLine", True).json(path).select(F.explode("resultList.result").alias("r")).select("r.*")
+    own = df.select(
+        F.coalesce(F.nullif("pmid", F.lit("")), F.concat(F.lit("EPMC_"), F.coalesce("id", F.lit("unknown")))).alias("pmid"),
+        clean_article(F.coalesce("title", F.lit(""))).alias("title"), clean_article(F.col("abstractText")).alias("abstract"),
+        F.coalesce("journalTitle", F.lit("Unknown Journal")).alias("journal"), F.coalesce("pubYear", F.lit("Unknown")).alias("year"),
+        F.left(F.coalesce("authorString", F.lit("")), F.lit(80)).alias("authors"), F.lit("europepmc").alias("source_api"),
+    )
+    return own.where(F.length("abstract") >= 100).select(*ARTICLE)
+
+
+def paper_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Articles of JSON answers of a search by offset: the id is the PubMed id, else the DOI, else the paper's, prefixed unless all digits."""
+    item = "struct<paperId:string,title:string,abstract:string,year:string,authors:array<struct<name:string>>,journal:struct<name:string>,externalIds:struct<PubMed:string,DOI:string>>"
+    df = spark.read.schema(f"data array<{item}>").option("multiLine", True).json(path).select(F.explode("data").alias("p")).select("p.*")
+    first = lambda *cs: F.coalesce(*[F.nullif(F.col(c), F.lit("")) for c in cs], F.lit("unknown"))
+    number = first("externalIds.PubMed", "externalIds.DOI", "paperId")
+    names = F.filter(F.transform(F.slice(F.coalesce("authors", F.array().cast("array<struct<name:string>>")), 1, 3), lambda a: a["name"]), lambda n: F.coalesce(n, F.lit("")) != "")
+    own = df.select(
+        F.when(number.rlike("^[0-9]+$"), number).otherwise(F.concat(F.lit("S2_"), number)).alias("pmid"),
+        clean_article(F.coalesce("title", F.lit(""))).alias("title"), clean_article(F.col("abstract")).alias("abstract"),
+        F.coalesce("journal.name", F.lit("Unknown Journal")).alias("journal"), F.coalesce("year", F.lit("Unknown")).alias("year"),
+        F.concat(F.array_join(names, ", "), F.when(F.size(names) >= 3, " et al.").otherwise("")).alias("authors"), F.lit("semantic_scholar").alias("source_api"),
+    )
+    return own.where(F.length("abstract") >= 100).select(*ARTICLE)
+
+
+def topics_xml(spark: SparkSession, path: str) -> DataFrame:
+    """title and summary (50 characters or more, without tags) of health topics: documents with named contents."""
+    df = xml(spark, path, "document", "content array<struct<_name:string,_VALUE:string>>")
+    named = lambda n: F.get(F.transform(F.filter("content", lambda c: c["_name"] == n), lambda c: c["_VALUE"]), F.lit(0))
+    bare = F.trim(F.regexp_replace(F.regexp_replace(named("FullSummary"), r"<[^>]+>", ""), r"\s+", " "))
+    return df.select(clean_article(named("title")).alias("title"), bare.alias("summary")).where(F.length(named("FullSummary")) >= 50)
+
+
+def preferred(spark: SparkSession, *bases: str) -> list[str]:
+    """The cleaned-up file of each base path where there is one (``x_sanitized.md`` beside ``x.md``), else the base itself."""
+    jvm = spark.sparkContext._jvm
+    conf = spark.sparkContext._jsc.hadoopConfiguration()
+
+    def choose(base: str) -> str:
+        stem, dot, end = base.rpartition(".")
+        own = jvm.org.apache.hadoop.fs.Path(f"{stem}_sanitized{dot}{end}")
+        return own.toString() if own.getFileSystem(conf).exists(own) else base
+
+    return [choose(b) for b in bases]
+
+
+def settings(spark: SparkSession, path: str, defaults: dict[str, str]) -> dict[str, str]:
+    """The defaults, overridden by the strings of one small JSON object."""
+    row = spark.read.schema(", ".join(f"`{k}` string" for k in defaults)).option("multiLine", True).json(path).first()
+    return defaults | {k: v for k, v in (row.asDict() if row else {}).items() if v is not None}
