@@ -8,9 +8,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.metrics import dot
+from ..functions.notes import let
 from ..functions.text import words
-from ..session import hint_of, small_side
+from ..session import hint_of
+from .nearest import nearest
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
 WEIGHTS, RANK_CONSTANT = {"sparse": 0.4, "dense": 0.6}, 60
@@ -51,11 +52,6 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, stats: DataFram
     return top_k(scored, "item_id", [F.desc("score"), F.asc("doc_id")], k).select("item_id", "doc_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
-def let(value: Column, body) -> Column:
-    """``body(value)`` with the value computed once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 def hashed_vector(text: Column, dim: int = 16) -> Column:
     """A unit vector of token counts by hash bucket: the default embedding where no model is given."""
     buckets = F.transform(words(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
@@ -69,9 +65,8 @@ def hashed_vector(text: Column, dim: int = 16) -> Column:
 
 
 def dense_top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
-    """query_id, id, score: exact cosine of unit vectors; ``queries`` (query_id, qv) is small, ``items`` (id, v) is not."""
-    scored = items.crossJoin(small_side(queries, 20_000)).where(F.col("id") != F.col("query_id")).select("query_id", "id", F.round(dot(F.col("v"), F.col("qv")), 6).alias("score"))
-    return top_k(scored, "query_id", [F.desc("score"), F.asc("id")], k)
+    """query_id, id, score, rank: exact cosine of unit vectors (``items``: id, v; ``queries``: query_id, qv), met in blocks."""
+    return top_k(nearest(items, queries, k), "query_id", [F.desc("score"), F.asc("id")], k)
 
 
 def fuse(ranked: DataFrame, k: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import dot
+from ..session import small_side
 
 
 def centroids(vectors: DataFrame, group: str = "label") -> DataFrame:
@@ -16,8 +17,8 @@ def centroids(vectors: DataFrame, group: str = "label") -> DataFrame:
 
 
 def label_scores(vectors: DataFrame, own: DataFrame, group: str = "label") -> DataFrame:
-    """Inner product of each vector with each centroid; there are as many centroids as labels."""
-    c = F.broadcast(own.select(F.col(group).alias("candidate"), "centroid"))
+    """Inner product of each vector with each centroid; there are as many centroids as labels, broadcast where a count shows them to be few."""
+    c = small_side(own.select(F.col(group).alias("candidate"), "centroid"), 20_000)
     return vectors.crossJoin(c).select("vec_id", group, "candidate", F.round(dot(F.col("embedding"), F.col("centroid")), 6).alias("score"))
 
 
