@@ -57,16 +57,20 @@ def mark(docs: DataFrame, items: DataFrame, size: int = 10, broadcast_rows: int
     small = own.count() <= broadcast_rows
     keys = keyed(own, docs, small)
     row = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"))
-    # one token more than the text has carries the number of words, so that each document keeps a row
-    end = keys.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"), F.lit("").alias("key"), F.lit(0).alias("off"))
     tokens = F.posexplode(F.concat("words", F.array(F.lit("")))).alias("pos", "key")
     if small:
+        # one token more than the text has carries the number of words, so that each document keeps a row
+        end = keys.sparkSession.range(1).select(F.lit(None).cast("array<string>").alias("window"), F.lit(None).cast("array<string>").alias("items"), F.lit("").alias("key"), F.lit(0).alias("off"))
         near = row.select("row", "doc_id", "text_hash", "words", F.lit(0).alias("base"), tokens)
         found = near.join(F.broadcast(keys.unionByName(end)), "key")
     else:
         first = F.greatest(F.col("pos") - (size - 1), F.lit(0))
-        near = row.select("row", "doc_id", "text_hash", "words", tokens).select("row", "doc_id", "text_hash", "pos", "key", F.slice("words", first + 1, 2 * size - 1).alias("words"), first.alias("base"))
-        found = near.join(keys, "key", "left").where(F.col("window").isNotNull() | (F.col("key") == ""))
+        near = row.select("row", "doc_id", "text_hash", "words", F.posexplode("words").alias("pos", "key")).select("row", "doc_id", "text_hash", "pos", "key", F.slice("words", first + 1, 2 * size - 1).alias("words"), first.alias("base"))
+        found = near.join(keys, "key")
+        # a row that meets no window carries the number of words; it is not joined, so no key gathers all documents
+        none = {c: F.lit(None).cast(t) for c, t in (("words", "array<string>"), ("window", "array<string>"), ("items", "array<string>"))}
+        ends = row.select("row", "doc_id", "text_hash", F.size("words").alias("pos"), F.lit("").alias("key"), F.lit(0).alias("base"), F.lit(0).alias("off")).withColumns(none)
+        found = found.unionByName(ends)
     start = F.col("pos") - F.col("off")
     length = F.size("window")
     fits = (start >= F.col("base")) & (start - F.col("base") + length <= F.size("words"))
