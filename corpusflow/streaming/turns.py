@@ -13,9 +13,12 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from ..operators.sessions import SNAPSHOT, empty_state, snapshot, transition
 
 
-def session_states(turns: DataFrame, idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
-    """A snapshot after each turn of a stream (conv_id, turn, entities); the state of a session is kept by Spark's state store until
-    no turn has come for ``idle_ms``."""
+def session_states(turns: DataFrame, ts: str | None = None, late: str = "1 hour", idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
+    """A snapshot after each turn of a stream (conv_id, turn, entities).
+
+    With a time column ``ts`` the state of a session goes once the watermark is ``idle_ms`` past its last turn; without one it
+    stays.  Time is that of the events, since a time-out by the clock never lets a run over the available data end.
+    """
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
@@ -28,10 +31,13 @@ def session_states(turns: DataFrame, idle_ms: int = 6 * 3600 * 1000) -> DataFram
             own = transition(own, int(r.turn), [(e["type"], e["value"], e["confidence"]) for e in r.entities])
             out.append(snapshot(int(key[0]), own))
         state.update((json.dumps(own),))
-        state.setTimeoutDuration(idle_ms)
+        if ts:
+            state.setTimeoutTimestamp(max(int(rows["_ms"].max()), state.getCurrentWatermarkMs()) + idle_ms)
         yield pd.DataFrame(out)
 
-    return turns.groupBy("conv_id").applyInPandasWithState(step, SNAPSHOT, "state string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    own = turns.withWatermark(ts, late).withColumn("_ms", F.unix_millis(ts)) if ts else turns
+    timeout = GroupStateTimeout.EventTimeTimeout if ts else GroupStateTimeout.NoTimeout
+    return own.groupBy("conv_id").applyInPandasWithState(step, SNAPSHOT, "state string", "append", timeout)
 
 
 def timed(events: DataFrame) -> DataFrame:

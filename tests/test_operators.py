@@ -100,6 +100,21 @@ def test_stream_equals_fold(spark, tmp_path):
     assert sorted(map(tuple, spark.table("states").collect())) == want and len(want) == 12
 
 
+def test_stream_with_event_time_ends(spark, tmp_path):
+    """A session that comes back long after the watermark passed it begins anew, and the run ends."""
+    from corpusflow.streaming.turns import session_states
+
+    schema = "conv_id long, turn long, ts timestamp, entities array<struct<type:string,value:string,confidence:double>>"
+    for conv, turn, ts, c in ((1, 1, "2024-01-01 00:00:00", 0.5), (2, 1, "2024-01-03 00:00:00", 0.5), (1, 2, "2024-01-04 00:00:00", 0.7)):
+        entity = f"array(named_struct('type', 'condition', 'value', 'a', 'confidence', {c}D))"
+        spark.sql(f"SELECT {conv}L AS conv_id, {turn}L AS turn, timestamp'{ts}' AS ts, {entity} AS entities").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        stream = session_states(spark.readStream.schema(schema).parquet(str(tmp_path / "in")), "ts")
+        q = stream.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+        assert q.awaitTermination(120)
+    got = {(r["conv_id"], r["turn"]): r["confidence"] for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    assert got == {(1, 1): 0.5, (2, 1): 0.5, (1, 2): 0.7}
+
+
 def test_event_window_stream(spark, sf, tmp_path):
     from corpusflow.streaming.turns import event_windows
 
