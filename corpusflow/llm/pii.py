@@ -5,7 +5,11 @@ calendar, e-mail addresses, access keys and labelled passwords) are permuted by
 equal values give equal pseudonyms in all documents, different values of a format different ones, and a pseudonym passes the same
 validation.  Formatting (spaces, dashes, brackets) is laid over the permuted value again, so two spellings of one number
 stay linked.  Dates keep their separators, widths and the order of day and month, and years of 1900 to 2099 stay among
-themselves.  The key is the caller's: whoever has it can undo the pseudonyms.
+themselves.  Decimal digits of any script are read as 0 to 9, so a number is linked with its spelling in another script; its
+pseudonym has the digits of the script that stood there.  Of e-mail addresses the local part changes (letters and digits of any script,
+each within its block of Unicode and its category), the domain stays in clear.  Every text is searched that holds what all patterns need:
+a digit, an ``@`` or a key word.  A permutation may map a value to itself, by chance once in as many values as the format has.
+The key is the caller's: whoever has it can undo the pseudonyms.
 
 ``pseudonymize`` keeps every row and column, replaces the text column and adds ``pii`` (kind, place in the new text,
 original length) and ``n_pii``; added columns replace those of the same name.  Null texts stay null with no findings, empty
@@ -18,6 +22,7 @@ import functools
 import hashlib
 import re
 import secrets
+import unicodedata
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -44,9 +49,18 @@ def feistel(value: int, left: int, right: int, key: bytes, tweak: str) -> int:
     return a * right + b
 
 
-def permute(chars: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER)) -> str:
-    """Permute a string within its character classes; characters of no class stay."""
-    own = [next((a for a in alphabets if c in a), None) for c in chars]
+@functools.cache
+def block_of(c: str) -> str | None:
+    """All characters of a letter's or digit's block of 256 code points and category; null for other characters."""
+    if not c.isalnum():
+        return None
+    start, kind = ord(c) & ~255, unicodedata.category(c)
+    return "".join(x for x in map(chr, range(start, start + 256)) if x.isalnum() and unicodedata.category(x) == kind)
+
+
+def permute(chars: str, key: bytes, tweak: str, alphabets: tuple[str, ...] = (DIGITS, LOWER, UPPER), other: Callable[[str], str | None] = lambda c: None) -> str:
+    """Permute a string within its character classes; characters of no class, nor of one that ``other`` gives, stay."""
+    own = [next((a for a in alphabets if c in a), None) or other(c) for c in chars]
     value, sizes = 0, [len(a) for a in own if a]
     for c, a in zip(chars, own, strict=True):
         if a:
@@ -87,7 +101,7 @@ def luhn(digits: str) -> bool:
 
 
 def _card(m: str, key: bytes) -> str | None:
-    d = re.sub(r"\D", "", m)
+    d = re.sub(r"[^0-9]", "", m)
     if not 13 <= len(d) <= 19 or not luhn(d) or len(set(d)) == 1:
         return None
     new = d[0] + permute(d[1:-1], key, f"card{d[0]}")
@@ -103,7 +117,7 @@ def _ip(m: str, key: bytes) -> str | None:
 
 
 def _phone(m: str, key: bytes) -> str | None:
-    d = re.sub(r"\D", "", m)
+    d = re.sub(r"[^0-9]", "", m)
     if not 10 <= len(d) <= 15:
         return None
     keep = len(d) - 10 if m.startswith("+") else 0
@@ -178,7 +192,7 @@ def _date(m: str, key: bytes) -> str | None:
 
 def _email(m: str, key: bytes) -> str | None:
     local, _, domain = m.rpartition("@")
-    return f"{permute(local, key, 'mail' + domain.lower())}@{domain}"
+    return f"{permute(local, key, 'mail' + domain.lower(), other=block_of)}@{domain}"
 
 
 def _key(m: str, key: bytes) -> str | None:
@@ -195,17 +209,19 @@ def _secret(m: str, key: bytes) -> str | None:
 KINDS: tuple[tuple[str, str, Callable[[str, bytes], str | None]], ...] = (
     ("secret", r"(?i:\b(?:password|passwd|pwd|token|api_key|apikey|secret)\s{0,2}[:=]\s{0,2}[\"']?)[A-Za-z0-9+/_\-]{8,}", _secret),
     ("key", r"\bA[KS]IA[0-9A-Z]{16}\b", _key),
-    ("email", r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9][A-Za-z0-9._%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
-    ("iban", r"\b[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
-    ("ip", r"(?<![\w.])\d{1,3}(?:\.\d{1,3}){3}(?!\w|\.\d)", _ip),
-    ("date", r"(?<![\w./\-])(?:\d{4}-\d{2}-\d{2}|\d{4}/\d{2}/\d{2}|\d{1,2}[/.]\d{1,2}[/.]\d{4}|\d{1,2}-\d{1,2}-\d{4})(?![\w/]|[.\-]\d)", _date),
-    ("ssn", r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])", _ssn),
-    ("card", r"(?<![\w.+\-])\d(?:[ \-]?\d){12,18}(?![\w\-])", _card),
-    ("phone", r"(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{3}\)|\b\d{3})[ .\-]?\d{3}[ .\-]\d{4}(?!\w|[\-.]\d)|(?<![\w.])\+\d{10,15}(?!\w)", _phone),
+    ("email", r"(?<![\w.%+\-])\w[\w.%+\-]{0,63}@(?:[A-Za-z0-9\-]{1,63}\.){1,8}[A-Za-z]{2,24}", _email),
+    ("iban", r"\b[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]{4}){2,7}(?: ?[A-Z0-9]{1,3})?\b", _iban),
+    ("ip", r"(?<![\w.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\w|\.[0-9])", _ip),
+    ("date", r"(?<![\w./\-])(?:[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{4}/[0-9]{2}/[0-9]{2}|[0-9]{1,2}[/.][0-9]{1,2}[/.][0-9]{4}|[0-9]{1,2}-[0-9]{1,2}-[0-9]{4})(?=T[0-9]{2}:|(?![\w/]|[.\-][0-9]))", _date),
+    ("ssn", r"(?<![\w\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![\w\-])", _ssn),
+    ("card", r"(?<![\w.+\-])[0-9](?:[ \-]?[0-9]){12,18}(?![\w\-])", _card),
+    ("phone", r"(?<![\w.])(?:\+[0-9]{1,3}[ .\-]?)?(?:\([0-9]{3}\)|\b[0-9]{3})[ .\-]?[0-9]{3}[ .\-][0-9]{4}(?!\w|[\-.][0-9])|(?<![\w.])\+[0-9]{10,15}(?!\w)", _phone),
 )
 PATTERNS = [(k, re.compile(p), f) for k, p, f in KINDS]
-#: A text without any of these holds nothing of the kinds above.
-HINT = re.compile(r"\d{2}|@|\bA[KS]IA|(?i:passw|pwd|token|api_?key|secret)")
+#: What each of the patterns needs at least: a text without any of these holds nothing of the kinds above.
+HINT = re.compile(r"[0-9@]|A[KS]IA|(?i:passw|pwd|token|api_?key|secret)")
+#: Decimal digits of other scripts than 0-9.
+OTHER_DIGIT = re.compile(r"(?![0-9])\d")
 
 
 #: Lengths of IBANs by country.
@@ -250,15 +266,25 @@ def matches(text: str, kind: str, pattern: re.Pattern, make: Callable[[str, byte
         m = pattern.search(text, at)
 
 
+def in_script(was: str, new: str) -> str:
+    """``new`` with its digits in the scripts of the digits of ``was``, in order; further ones in that of the last."""
+    zeros = [ord(c) - unicodedata.decimal(c) for c in was if c.isdecimal()]
+    places = iter(zeros)
+    return "".join(chr(next(places, zeros[-1]) + int(c)) if c in DIGITS else c for c in new)
+
+
 def find(text: str, key: bytes) -> list[tuple[int, int, str, str]]:
     """Start, end, kind and pseudonym of each value; earlier kinds win where two overlap."""
-    if not text or not HINT.search(text):
+    own = text if not text or text.isascii() else OTHER_DIGIT.sub(lambda m: str(unicodedata.decimal(m[0])), text)
+    if not own or not HINT.search(own):
         return []
     found: list[tuple[int, int, str, str]] = []
     for kind, pattern, make in PATTERNS:
-        if kind == "email" and "@" not in text:
+        if kind == "email" and "@" not in own:
             continue
-        found += matches(text, kind, pattern, make, key)
+        found += matches(own, kind, pattern, make, key)
+    if own is not text and own != text:
+        found = [(a, b, kind, in_script(text[a:b], new) if own[a:b] != text[a:b] else new) for a, b, kind, new in found]
     rank = {k: i for i, (k, _, _) in enumerate(KINDS)}
     found.sort(key=lambda x: (rank[x[2]], x[0]))
     taken, covered = [], bytearray(len(text))
@@ -304,5 +330,6 @@ def pseudonymize(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
             pairs = [(None, []) if t is None else rewrite(t, secret) for t in batch.to_pylist()]
             yield pa.StructArray.from_arrays([pa.array([p[0] for p in pairs], pa.string()), pa.array([p[1] for p in pairs], spans)], ["text", "pii"])
 
-    out = docs.withColumn("_new", apply(F.col(text)))
-    return out.withColumns({text: F.col("_new.text"), "pii": F.col("_new.pii"), "n_pii": F.size("_new.pii").cast("long")}).drop("_new")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), apply(F.col(text)).alias("new"))
+    own = [(F.col("new.text") if c == text else F.col("row").getField(c)).alias(c) for c in docs.columns if c not in ("pii", "n_pii")]
+    return rows.select(*own, F.col("new.pii").alias("pii"), F.size("new.pii").cast("long").alias("n_pii"))

@@ -4,6 +4,7 @@ import hashlib
 import itertools
 import random
 import re
+import unicodedata
 
 import numpy as np
 import pytest
@@ -262,6 +263,35 @@ def test_feistel_is_a_permutation():
     assert len({pii.permute(c, b"k", "t") for c in "0123456789"}) == 10
 
 
+def test_pii_hint_agrees_with_all_patterns(monkeypatch):
+    """Random texts of digits of three scripts, signs and key words: the hint keeps no value back, and no value stays as it was."""
+    r, key = random.Random(11), b"k" * 32
+    pieces = ["8", "4", "1", "٤", "१", ".", " ", "-", "@", "/", ":", "T", "a", "é", "+", "token=", "AKIA" + "Q" * 16, "x.org", "8.8.8.8", "4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1", "٢٦٤-٥٥٥-١٠١٢", "٠٧٨-٠٥-١١٢٠", "2024-02-29T10:00", "müller.ö@x.org", "иван@mail.ru", "+4915112345678"]
+    texts = ["".join(r.choice(pieces) for _ in range(r.randrange(1, 14))) for _ in range(3000)] + pieces
+    with_hint = [pii.find(t, key) for t in texts]
+    monkeypatch.setattr(pii, "HINT", re.compile(""))
+    assert with_hint == [pii.find(t, key) for t in texts]
+    for t, found in zip(texts, with_hint, strict=True):
+        for a, b, kind, new in found:
+            if len(re.sub(r"\W", "", t[a:b])) > 7:
+                assert new != t[a:b] and (kind in ("ip", "email") or len(new) == b - a), (t, kind)
+    kinds = {t: [x[2] for x in f] for t, f in zip(texts, with_hint, strict=True)}
+    assert all(kinds[t] == [k] for t, k in zip(pieces[-10:], ["email" if "@" in t else None for t in pieces[-10:]], strict=True) if k) and kinds["8.8.8.8"] == ["ip"]
+    assert kinds["٢٦٤-٥٥٥-١٠١٢"] == ["phone"] and kinds["٠٧٨-٠٥-١١٢٠"] == ["ssn"] and kinds["2024-02-29T10:00"] == ["date"] and kinds["4 1 1 1 1 1 1 1 1 1 1 1 1 1 1 1"] == ["card"]
+
+
+def test_pii_scripts_are_linked():
+    key = b"k" * 32
+    latin, arabic = pii.rewrite("call 264-555-1012", key)[0], pii.rewrite("call ٢٦٤-٥٥٥-١٠١٢", key)[0]
+    assert "".join(str(unicodedata.decimal(c)) if c.isdecimal() else c for c in arabic) == latin and not set(arabic) & set("0123456789")
+
+
+def test_pii_keeps_columns(spark):
+    df = spark.createDataFrame([("a@b.org", 1, "x", 2)], "text string, _new int, pii string, row int")
+    got = pii.pseudonymize(df, "k").first()
+    assert got._new == 1 and got.row == 2 and got.n_pii == 1 and got.text.endswith("@b.org")
+
+
 def test_pii_rows(spark, rows):
     got = pii.pseudonymize(frame(spark, [*rows, (50, "mail a.b@c.org"), (51, "or a.b@c.org")]), "a key")
     by = {r.doc_id: r for r in got.collect() if r.doc_id}
