@@ -2,7 +2,7 @@
 
 A window is ``width`` consecutive words of one document.  The first pass counts, in sketches of each partition that are
 merged, the anchors of the windows (see ``_repeats``): the estimate of a window never lies below its count.  The second pass
-groups only the windows estimated to be repeated, by 96 bits of two independent hashes: within a task every window but those of
+groups only the windows estimated to be repeated, by 128 bits of two independent hashes: within a task every window but those of
 the least document is marked at once, so a passage that many documents share leaves each task once for each million of windows;
 what is left meets by hash.  Marked windows return to their documents as spans.
 
@@ -50,7 +50,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int | Non
                 row, place = T.ragged(r.hi - r.lo + 1)
                 start = r.lo[row] + place
                 doc = r.doc[row]
-                second = (hashes(T.span_hashes(own, begin, end, T.CODE2), width)[start] >> T.U64(32)).astype(np.uint32)
+                second = hashes(T.span_hashes(own, begin, end, T.CODE2), width)[start]
                 got.append((hashes(codes, width)[start], second, ids[i:j][doc], th[i:j][doc], start - first[doc], (r.hash[row] % T.U64(parts)).astype(np.int32)))
                 size += len(start)
             if size > 1 << 20:
@@ -71,7 +71,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int | Non
         for b in np.flatnonzero(np.diff(cut)).tolist():
             o = order[cut[b] : cut[b + 1]]
             rows.append(b)
-            blobs.append(R.squeeze(np.stack([wh[o].view(np.int64), doc[o], text_hash[o], pos[o]]).tobytes() + second[o].tobytes()))
+            blobs.append(R.squeeze(np.stack([wh[o].view(np.int64), doc[o], text_hash[o], pos[o], second[o].view(np.int64)]).tobytes()))
         yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.zeros(len(rows), bool))], ["bucket", "spans", "ready"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -82,11 +82,10 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 8, bits: int | Non
                 yield batch.filter(ready).select(["bucket", "spans"])
             for blob in batch.filter(pc.invert(ready)).column(1):
                 b = R.unsqueeze(blob)
-                n = len(b) // 36
-                got.append((*np.frombuffer(b, np.int64, 4 * n).reshape(4, n), np.frombuffer(b, np.uint32, n, 32 * n)))
+                got.append(np.frombuffer(b, np.int64).reshape(5, -1))
         if not got:
             return
-        wh, doc, text_hash, pos, second = (np.concatenate(x) for x in zip(*got, strict=True))
+        wh, doc, text_hash, pos, second = np.concatenate(got, axis=1)
         del got
         later = doc > least_of(wh, second, doc)
         yield R.span_rows(doc[later], text_hash[later], pos[later], pos[later] + width, parts)
