@@ -209,7 +209,7 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
         goes = sent.value.rank(directions(x[asks]), sent.value.probes) if len(asks) else np.zeros((0, 1), np.int64)
         probed = np.zeros((len(asks), n_parts), bool)
         probed[np.arange(len(asks))[:, None], goes] = True
-        big = np.exp2(np.maximum(np.ceil(np.log2(np.abs(x).max(1))) - 300, 0))  # powers of two, 1 for all but huge vectors
+        big = np.exp2(np.floor(np.log2(np.abs(x).max(1))))  # powers of two: the scaled rows' largest components are from 1 to 2
         x = x / big[:, None]
         found, size = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))], 0
         for p in np.unique(part[members]):
@@ -226,16 +226,17 @@ def search(vectors: DataFrame, queries: Column, k: int = 20, recall: float = 0.9
         return pa.table({"row": pa.array(row[i]), "query_id": pa.array(ids[i]), "vec_id": pa.array(ids[j]), "score": pa.array(score)})
 
     def closest(q: np.ndarray, c: np.ndarray, x: np.ndarray, big: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        # equal vectors may differ in the last bit of a block product: choose by rounded values, smaller ids first, and
-        # compute the scores of the chosen one by one
-        d = np.round(x[q] @ x[c].T, 12) * big[c]
+        # equal vectors may differ in the last bits of a block product: choose by values rounded against the vectors' own scale,
+        # smaller ids first, and compute the scores of the chosen one by one
+        with np.errstate(over="ignore", under="ignore"):
+            d = np.round(x[q] @ x[c].T, 12) * big[c] * big[q][:, None]
         d[ids[q][:, None] == ids[c][None, :]] = -np.inf
         most = min(k + 8, len(c))
         least = np.partition(d, len(c) - most, axis=1)[:, len(c) - most, None]
         above, tied = d > least, (d == least) & (d > -np.inf)
         i, j = np.nonzero(above | (tied & (np.cumsum(tied, 1) <= most - above.sum(1, keepdims=True))))
         i, j = q[i], c[j]
-        with np.errstate(over="ignore"):
+        with np.errstate(over="ignore", under="ignore"):
             return i, j, np.einsum("ij,ij->i", x[i], x[j]) * big[i] * big[j]
 
     def best(found, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
