@@ -123,7 +123,8 @@ def best_fit(lengths: np.ndarray, size: int) -> np.ndarray:
 
 
 def pack(items: DataFrame, size: int = 1024, fan_in: int = 8, nearly_full: int = 8, open_bins: int = 256, per_partition: int = 4000) -> DataFrame:
-    """Pieces with ``sequence_id`` and ``offset``; ``nearly_full`` tokens of room make a sequence final."""
+    """Pieces (each with a ``row`` number of its own) with ``sequence_id``, the row number of its first piece, and ``offset``; ``nearly_full``
+    tokens of room make a sequence final."""
     spark = items.sparkSession
     full = items.where(F.col("length") >= size)
     short = items.where(F.col("length") < size)
@@ -178,8 +179,8 @@ def pack(items: DataFrame, size: int = 1024, fan_in: int = 8, nearly_full: int =
         placed = went.join(above, F.col("bin") == F.col("_key"), "left").select("key", F.coalesce("_bin", "bin").alias("bin"), (F.coalesce("at", F.lit(0)) + F.col("offset")).alias("at"))
     out = short.withColumn("key", F.concat_ws(":", "doc_id", "piece", "row")).join(placed, "key")
     columns = [c for c in items.columns if c != "row"]
-    return out.select(*columns, F.xxhash64("bin").alias("sequence_id"), F.col("at").cast("long").alias("offset")).unionByName(
-        full.select(*columns, F.xxhash64(F.concat_ws(":", "doc_id", "piece", "row")).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    return out.select(*columns, F.substring_index("bin", ":", -1).cast("long").alias("sequence_id"), F.col("at").cast("long").alias("offset")).unionByName(
+        full.select(*columns, F.col("row").alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     )
 
 
