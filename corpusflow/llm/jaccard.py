@@ -11,8 +11,10 @@ As rare shingles come first, one that stands in prefixes more often than ``dense
 pairs would be a square, so a task keeps one posting of such a list and sends the others as edges to it; the components of the
 edges are clusters.  A cluster gets a pivot, the shingles of most of 32 of its members.  Jaccard distance is a metric: members
 within half of the allowed distance of the pivot (the core) all link with each other, which needs no comparison and is counted
-by sums.  Only members outside the core are compared, with all of the cluster, in tiles of bounded size: partial overlaps are
-counted for one slice of the order after the other and summed.  Tiles give counts of links and spanning edges, not pairs.
+by sums.  Only members outside the core are compared, with all of the cluster, in tiles of bounded size, and of these only pairs
+that share a shingle of the larger set's prefix and of the smaller one's, which is shorter; documents that share a template but stay below
+the threshold have more rare shingles of their own than that, so they don't meet.  Partial overlaps are counted for one slice of
+the order after the other and summed.  Tiles give counts of links and spanning edges, not pairs.
 Every link is counted in ``n_links``; no list is cut.  The pivot decides what is compared, never what links.
 
 Null and empty texts, and texts without words, have an empty set and are alone.  Repeated rows count as copies.  A null id
@@ -396,12 +398,17 @@ def cluster_links(label: DataFrame, sets: DataFrame, percent: int, tile: int = T
         own = [np.frombuffer(b.as_buffer(), T.U64) for b in blobs]
         by_size = np.argsort(n, kind="stable")
         probe, member = by_size[asks[by_size]], by_size[~asks[by_size]]
+        heads = [postings([own[i] for i in member], f(n[member], percent)) for f in (prefix, smaller_prefix)]
         weight, edges = np.zeros(len(node), np.int64), [np.zeros((2, 0), np.int64)]
         for s in range(0, len(probe), 256):
             q = probe[s : s + 256]
             # sets whose sizes alone forbid a link are left out
             lo, hi = np.searchsorted(n[member], [-(-percent * n[q[0]] // 100), 100 * n[q[-1]] // percent + 1])
-            m = member[lo:hi]
+            met = np.zeros((len(q), len(member)), bool)
+            for f, head in zip((smaller_prefix, prefix), heads, strict=True):
+                meet(met, postings([own[i] for i in q], f(n[q], percent)), head)
+            met = met[:, lo:hi]
+            q, m = q[met.any(1)], member[lo:hi][met.any(0)]
             if not len(m):
                 continue
             shared = overlaps([own[i] for i in q], [own[i] for i in m])
@@ -420,6 +427,30 @@ def cluster_links(label: DataFrame, sets: DataFrame, percent: int, tile: int = T
     return materialize(found.unionByName(certain), "links")
 
 
+def smaller_prefix(n: np.ndarray, percent: int) -> np.ndarray:
+    """Shingles of a set of which one is shared with every set that links with it and is not smaller: the overlap is at least that of
+    two sets of its own size."""
+    return n + (-2 * percent * n // (100 + percent)) + 1
+
+
+def postings(sets: list[np.ndarray], most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The first shingles of each set and their owners, by shingle."""
+    token, owner = np.concatenate([np.zeros(0, T.U64), *(s[:k] for s, k in zip(sets, most.tolist(), strict=True))]), np.repeat(np.arange(len(sets)), most)
+    order = np.argsort(token, kind="stable")
+    return token[order], owner[order]
+
+
+def meet(met: np.ndarray, rows: tuple[np.ndarray, np.ndarray], cols: tuple[np.ndarray, np.ndarray]) -> None:
+    """Mark the pairs that share a posting, in slices that bound the memory."""
+    lo, hi = np.searchsorted(cols[0], rows[0], "left"), np.searchsorted(cols[0], rows[0], "right")
+    has = np.flatnonzero(hi > lo)
+    lo, hi, owner = lo[has], hi[has], rows[1][has]
+    cut = np.searchsorted(np.cumsum(hi - lo), np.arange(0, int((hi - lo).sum()) + 1, 1 << 21))
+    for i, j in zip(cut, [*cut[1:], len(lo)], strict=True):
+        row, k = T.ragged(hi[i:j] - lo[i:j])
+        met[owner[i:j][row], cols[1][lo[i:j][row] + k]] = True
+
+
 def spanning(link: np.ndarray, rows: np.ndarray, cols: np.ndarray) -> np.ndarray:
     """Edges from each linked row and column of a matrix of links to the least node of its component."""
     none = np.iinfo(np.int64).max
