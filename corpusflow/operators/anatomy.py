@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import small_side
-from .dictionary import phrase_pattern
+from .automaton import needle, phrase_hits
 
 #: The room of each structure.
 ROOMS = {
@@ -20,9 +20,8 @@ PRIORITIES = ("routine", "soon", "urgent", "emergency")
 
 def structures(texts: DataFrame, key: str, text: str, aliases: DataFrame) -> DataFrame:
     """Distinct ``key, structure`` of the aliases (``phrase, structure``) that a text holds; lay phrases may name several."""
-    d = small_side(aliases.select("structure", phrase_pattern(F.lower("phrase")).alias("pattern")))
-    own = texts.select(key, F.lower(text).alias("probe")).join(d, F.regexp_like("probe", F.col("pattern")))
-    return own.select(key, "structure").distinct()
+    d = aliases.select("structure", needle("phrase").alias("needle"))
+    return phrase_hits(texts, [key], text, aliases, "phrase").join(small_side(d), "needle").select(key, "structure").distinct()
 
 
 def facts(found: DataFrame, key: str, facts_of: DataFrame, most: int = 8) -> DataFrame:
@@ -38,7 +37,12 @@ def contradictions(texts: DataFrame, key: str, text: str, rules: DataFrame, diff
     broken = own.join(small_side(rules), F.regexp_like("probe", F.col("pattern"))).where(F.col("exempt").isNull() | ~F.regexp_like("probe", F.col("exempt")))
     pair = lambda a, b: F.concat(F.lit(r"\b"), a, F.lit(rf"\b[^.]{{0,40}}{IDENTITY}[^.]{{0,40}}\b"), b, F.lit(r"\b"))
     a, b = F.col("a"), F.col("b")
-    same = own.join(small_side(different), F.regexp_like("probe", F.concat_ws("|", pair(a, b), pair(b, a))))
+    # only texts that hold both names are compared with the pattern of a pair
+    pairs = different.select("a", "b", needle("a").alias("needle"), needle("b").alias("other"))
+    names = pairs.select(F.explode(F.array("needle", "other")).alias("name"))
+    held = phrase_hits(texts, [key], text, names, "name").groupBy(key).agg(F.collect_set("needle").alias("held"))
+    both = held.select(key, "held", F.explode("held").alias("needle")).join(small_side(pairs), "needle").where(F.array_contains("held", F.col("other")))
+    same = both.select(key, "a", "b").join(own, key).where(F.regexp_like("probe", F.concat_ws("|", pair(a, b), pair(b, a))))
     told = F.concat(F.initcap("a"), F.lit(" is anatomically different from "), F.initcap("b"), F.lit("."))
     return broken.select(key, "message").unionByName(same.select(key, told.alias("message"))).distinct()
 

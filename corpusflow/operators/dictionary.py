@@ -9,22 +9,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import small_side
+from .automaton import needle, phrase_hits
 
 #: What stands before a negated entity.
 NEGATIONS = ("no ", "not ", "without ", "denies ", "denied ", "absence of ", "negative for ", "free of ")
 
 
-def phrase_pattern(phrase: Column) -> Column:
-    """The words of a phrase, escaped, between word bounds with any white space between them."""
-    escaped = F.regexp_replace(phrase, r"([.\\+*?\[^\]$(){}=!<>|:\-#&~])", r"\\$1")
-    return F.concat(F.lit(r"\b"), F.regexp_replace(escaped, r"\s+", r"\\s+"), F.lit(r"\b"))
-
-
 def pattern_hits(texts: DataFrame, key: str, text: str, dictionary: DataFrame) -> DataFrame:
-    """Each (key, name, type) with the highest confidence of the patterns found; ``dictionary``: name, type, term, confidence."""
-    d = small_side(dictionary.withColumn("_p", phrase_pattern(F.lower("term"))))
-    own = texts.select(key, F.lower(text).alias("_t")).join(d, F.regexp_like("_t", F.col("_p")))
-    return own.groupBy(key, "name", "type").agg(F.max("confidence").alias("confidence"))
+    """Each (key, name, type) with the highest confidence of the terms found; ``dictionary``: name, type, term, confidence.
+
+    A term is found as whole words with any white space between them, in any case, in one pass over the texts.
+    """
+    d = dictionary.withColumn("needle", needle("term"))
+    hits = phrase_hits(texts, [key], text, d, "term").join(small_side(d.select("needle", "name", "type", "confidence")), "needle")
+    return hits.groupBy(key, "name", "type").agg(F.max("confidence").alias("confidence"))
 
 
 def not_negated(hits: DataFrame, texts: DataFrame, key: str, text: str, term: str = "name") -> DataFrame:
@@ -36,8 +34,8 @@ def not_negated(hits: DataFrame, texts: DataFrame, key: str, text: str, term: st
 
 def first_match(texts: DataFrame, key: str, text: str, dictionary: DataFrame, default: str) -> DataFrame:
     """The first group, by (group_ord, kw_ord), one of whose keywords the text holds; ``default`` where none."""
-    d = small_side(dictionary)
-    hit = texts.select(key, F.lower(text).alias("_t")).join(d, F.contains(F.col("_t"), F.col("keyword")))
+    words = dictionary.select("group", "group_ord", "kw_ord", F.col("keyword").alias("needle"))
+    hit = phrase_hits(texts, [key], text, dictionary, "keyword", words=False).join(small_side(words), "needle")
     best = hit.groupBy(key).agg(F.min_by("group", F.struct("group_ord", "kw_ord")).alias("group"))
     return texts.select(key).join(best, key, "left").withColumn("group", F.coalesce("group", F.lit(default)))
 

@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.rules import ema, recency_score
+from ..functions.metrics import dot
+from ..functions.rules import effective_distance, ema, recency_score, source_bucket, source_weight
+from .corpus import keep_first
 from .retrieval import top_k
 
 #: Types of which a room has one active value.
@@ -60,3 +62,89 @@ def triples(entities: DataFrame) -> DataFrame:
         predicate = F.when(F.col("type") == t, p).otherwise(predicate)
     both = F.array(F.struct(predicate.alias("predicate"), F.col("value").alias("object")), F.struct(F.lit("in_room").alias("predicate"), F.col("room").alias("object")))
     return entities.select("subject", F.explode(both).alias("t")).select("subject", "t.predicate", "t.object").where("object is not null").distinct()
+
+
+LOCUS = "subject string, room string, type string, value string, confidence double, evidence bigint, first_ord bigint, last_ord bigint, superseded_by bigint"
+
+
+def recorded(rows: list[tuple], seen: list[tuple[int, str, float]], exclusive: bool) -> list[tuple]:
+    """The loci (value, confidence, evidence, first_ord, last_ord, superseded_by) of one subject, room and type after further observations
+    (ord, value, confidence) in order; ``superseded_by`` is -1 for active ones."""
+    done = [r for r in rows if r[5] != -1]
+    active = {r[0]: list(r) for r in rows if r[5] == -1}
+    for at, value, c in sorted(seen):
+        old = active.get(value)
+        if old is None:
+            active[value] = [value, max(0.05, min(1.0, c)), 1, at, at, -1]
+        else:
+            alpha = 0.35 if old[2] < 3 else 0.2
+            old[1:3] = max(0.05, min(1.0, (1 - alpha) * old[1] + alpha * c)), min(old[2] + 1, 12)
+            old[4] = at
+        if exclusive:
+            now = active[value]
+            done += [(*r[:5], now[3]) for v, r in active.items() if v != value]
+            active = {value: now}
+    return done + [tuple(r) for r in active.values()]
+
+
+def merged(stored: DataFrame, observations: DataFrame) -> DataFrame:
+    """Stored loci after further observations (subject, room, type, value, confidence, ord), which come after all that is stored.
+
+    The same as ``upsert`` over all observations so far. Only groups of subject, room and type are brought together.
+    """
+    import pandas as pd
+
+    keys = ["subject", "room", "type"]
+    names = [x.split()[0] for x in LOCUS.split(", ")]
+    plain = lambda df, *cols: df.select(F.col("subject").cast("string").alias("subject"), F.coalesce("room", F.lit("")).alias("room"), F.coalesce("type", F.lit("")).alias("type"), *cols)
+
+    def meet(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
+        subject, room, kind = (old if len(old) else new).iloc[0][keys]
+        seen = list(zip(new["ord"].tolist(), new["value"].tolist(), new["confidence"].tolist(), strict=True))
+        rows = recorded(list(old[names[3:]].itertuples(index=False, name=None)), seen, kind in EXCLUSIVE and room != "")
+        out = pd.DataFrame(rows, columns=names[3:])
+        return out.assign(subject=subject, room=room or None, type=kind)[names]
+
+    new = plain(observations.where(F.trim("value") != ""), F.col("value"), F.col("confidence").cast("double").alias("confidence"), F.col("ord").cast("long").alias("ord"))
+    own = plain(stored, *names[3:])
+    return own.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInPandas(meet, LOCUS)
+
+
+def nearest(memory: DataFrame, queries: DataFrame, n: int = 6, penalty: Column | None = None) -> DataFrame:
+    """query_id, rank, room, type, value, distance, effective: the best ``n`` memories of the query's own subject.
+
+    ``memory``: subject, room, type, value, vector, confidence, source, ord; ``queries``: query_id, subject, rooms (none: all), vector.
+    For each room the ``3 n`` nearest by cosine distance (12 at least) are taken, of equal room, type and value the nearest; these are ranked by the
+    distance plus ``penalty`` and what an unsure memory or a weak source adds. Subjects meet by an equal key alone: there is no
+    global search. Rows without a subject, a value or a vector of positive length have no part.
+    """
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    asked = queries.select("query_id", "subject", F.explode_outer("rooms").alias("_asked"), F.col("vector").alias("_q")).withColumn("_qn", length("_q")).where("_qn > 0")
+    held = memory.where(F.trim("value") != "").withColumn("_n", length("vector")).where("_n > 0")
+    both = asked.join(held, "subject").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("room")))
+    distance = F.abs(F.round(1 - dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn")), 6))
+    both = both.select("query_id", F.coalesce("_asked", F.lit("")).alias("_asked"), "room", "type", "value", "confidence", "source", "ord", distance.alias("distance"))
+    near = both.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_asked").orderBy("distance", "ord"))).where(F.col("_r") <= max(3 * n, 12))
+    near = keep_first(near.withColumn("_v", F.lower(F.trim("value"))), ["query_id", "room", "type", "_v"], ["distance", "ord"])
+    weight = source_weight(source_bucket(F.col("source")))
+    far = effective_distance(F.col("distance"), penalty if penalty is not None else F.lit(0.0), F.col("confidence"), weight)
+    best = top_k(near.withColumn("effective", F.round(far, 6)), "query_id", [F.asc("effective"), F.asc("distance"), F.asc("ord")], n)
+    return best.select("query_id", F.col("rank").cast("long").alias("rank"), "room", "type", "value", "ord", "distance", "effective")
+
+
+def bucket_of(subject: Column | str, buckets: int) -> Column:
+    return F.pmod(F.xxhash64(F.col(subject).cast("string") if isinstance(subject, str) else subject.cast("string")), F.lit(buckets)).cast("int")
+
+
+def keep_vectors(memory: DataFrame, path: str, buckets: int = 256) -> None:
+    """Memory with vectors in folders by the hash of the subject, and within by room, so that a query reads its own bucket."""
+    own = memory.withColumn("bucket", bucket_of("subject", buckets))
+    own.repartition("bucket", F.pmod(F.xxhash64("subject", "ord"), F.lit(8))).sortWithinPartitions("bucket", "subject", "room").write.mode("overwrite").partitionBy("bucket").parquet(path)
+
+
+def kept_vectors(spark, path: str, queries: DataFrame, buckets: int = 256) -> DataFrame:
+    """The rows of the buckets of the queries' subjects: one scan, pruned by its folders, and by room where all queries name rooms."""
+    asked = [r[0] for r in queries.select(bucket_of("subject", buckets)).distinct().collect()]  # as many as there are buckets at most
+    rows = spark.read.parquet(path).where(F.col("bucket").isin(asked))
+    rooms = queries.agg(F.collect_set(F.when(F.size("rooms") > 0, F.lit(1)).otherwise(0)).alias("named"), F.array_sort(F.array_distinct(F.flatten(F.collect_set("rooms")))).alias("rooms")).first()
+    return (rows.where(F.col("room").isin(rooms.rooms)) if rooms.named == [1] else rows).drop("bucket")

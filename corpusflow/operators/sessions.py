@@ -25,10 +25,16 @@ IDLE_TURNS, FAINT = 15, 0.2
 FROM_IMAGE = ("finding",)
 TERMS = {"condition": 3, "finding": 4, "symptom": 4, "medication": 3, "procedure": 3}
 SLOTS = ("anatomy", "condition")
+#: The margin by which another condition must exceed the first, how many others are kept, and how sure one seen once must stay.
+CONDITION_MARGIN, OTHERS, LONE = 0.2, 5, 0.5
+#: What an image says is admitted from here on; a region needs this sum of confidences.
+ADMIT_VISUAL, REGION_LEAST = 0.05, 0.5
+#: Priorities from the least to the most urgent.
+PRIORITY_ORDER = ("routine", "C", "B", "A")
 
 
 def empty_state() -> dict:
-    return {"turn": 0, "active": 0, "slots": {}, "items": {}, "pending": {}, "history": [], "drift": False}
+    return {"turn": 0, "active": 0, "slots": {}, "others": [], "shift": {}, "items": {}, "pending": {}, "history": [], "drift": False, "region": None, "priority": "routine"}
 
 
 def reinforce(s: dict, confidence: float, turn: int) -> None:
@@ -51,30 +57,99 @@ def sight(pending: dict, key: str, confidence: float, turn: int) -> dict:
     return p
 
 
-def transition(state: dict, turn: int, entities: list[tuple[str, str, float]]) -> dict:
-    """The state after the entities (type, value, confidence) of a turn; one of type ``image`` is a new image."""
+def confirmed(state: dict, slot: str, value: str, confidence: float, turn: int, margin: float) -> bool:
+    """Whether another value may take a slot: surer by the margin and ``SURE`` at once, or by the margin on its second sighting.
+
+    One value waits for each slot; another one, or one that is more than two turns old, begins anew.
+    """
+    p = state["shift"].get(slot)
+    if p and p["value"] == value and turn - p["last"] <= PENDING_TURNS:
+        p["c"], p["hits"], p["last"] = 0.7 * p["c"] + 0.3 * confidence, p["hits"] + 1, turn
+    else:
+        p = state["shift"][slot] = {"value": value, "c": confidence, "hits": 1, "last": turn}
+    cur = state["slots"][slot]
+    now = fade(cur["c"], turn - cur["last"])
+    if confidence >= now + (margin + SURE) or (p["hits"] >= HITS and p["c"] >= now + margin):
+        del state["shift"][slot]
+        return True
+    return False
+
+
+def fresh(value: str, confidence: float, turn: int) -> dict:
+    return {"value": value, "c": confidence, "n": 2 if confidence >= 0.6 else 1, "last": turn}
+
+
+def see_anatomy(state: dict, value: str, c: float, turn: int) -> None:
+    cur = state["slots"].get("anatomy")
+    if cur is None:
+        state["slots"]["anatomy"] = fresh(value, c, turn)
+    elif cur["value"] == value:
+        reinforce(cur, c, turn)
+        state["shift"].pop("anatomy", None)
+    elif confirmed(state, "anatomy", value, c, turn, MARGIN):
+        state["slots"]["anatomy"] = {"value": value, "c": c, "n": 2, "last": turn}
+        state["drift"] = True
+
+
+def see_condition(state: dict, value: str, c: float, turn: int) -> None:
+    """The first condition is reinforced; another one waits among the last ``OTHERS`` until it may take the first one's place."""
+    cur, others = state["slots"].get("condition"), state["others"]
+    if cur and cur["value"] == value:
+        reinforce(cur, c, turn)
+        state["shift"].pop("condition", None)
+        return
+    own = next((o for o in others if o["value"] == value), None)
+    if own:
+        reinforce(own, c, turn)
+        if cur and confirmed(state, "condition", value, own["c"], turn, CONDITION_MARGIN):
+            state["others"] = [*(o for o in others if o["value"] != value), cur]
+            state["slots"]["condition"] = own
+        return
+    new = fresh(value, c, turn)
+    if cur is None or confirmed(state, "condition", value, c, turn, CONDITION_MARGIN):
+        state["slots"]["condition"] = new
+        others += [cur] if cur else []
+    else:
+        others.append(new)
+    state["others"] = others[-OTHERS:]
+
+
+def see_imaging(state: dict, value: str, c: float, turn: int) -> None:
+    """Another kind of image takes the slot at once; short names are written in capitals."""
+    value = value.upper() if len(value) <= 5 else value.lower()
+    cur = state["slots"].get("imaging")
+    if cur and cur["value"] == value:
+        reinforce(cur, c, turn)
+    else:
+        state["slots"]["imaging"] = {"value": value, "c": c, "n": 1, "last": turn}
+
+
+SEEN = {"anatomy": see_anatomy, "condition": see_condition, "imaging": see_imaging}
+
+
+def transition(state: dict, turn: int, entities: list[tuple]) -> dict:
+    """The state after the entities of a turn: type, value, confidence, and where known source, region and priority.
+
+    One of type ``image`` is a new image. What an image says (source ``visual``) is admitted from ``ADMIT_VISUAL`` on, all else from ``ADMIT``.
+    """
     if should_reset(state, turn):
         state = empty_state()
     state["turn"] = turn
-    for kind, value, c in entities:
+    votes: dict[str, float] = {}
+    for kind, value, c, *more in entities:
+        source, region, priority = (*more, None, None, None)[:3]
+        if region and region != "unspecified":
+            votes[region] = votes.get(region, 0.0) + c
+        if priority in PRIORITY_ORDER and PRIORITY_ORDER.index(priority) > PRIORITY_ORDER.index(state["priority"]):
+            state["priority"] = priority
         if kind == "image":
             reset_for_image(state)
             state["active"] = turn
-        if c < ADMIT or kind == "image":
+        if kind == "image" or c < (ADMIT_VISUAL if source == "visual" else ADMIT):
             continue
         state["active"] = turn
-        if kind in SLOTS:
-            cur = state["slots"].get(kind)
-            if cur is None:
-                state["slots"][kind] = {"value": value, "c": c, "n": 2 if c >= 0.6 else 1, "last": turn}
-            elif cur["value"] == value:
-                reinforce(cur, c, turn)
-            else:
-                p = sight(state["pending"], f"{kind}:{value}", c, turn)
-                now = fade(cur["c"], turn - cur["last"])
-                if c >= now + MARGIN + SURE or (p["hits"] >= HITS and p["c"] >= now + MARGIN):
-                    state["slots"][kind] = {"value": value, "c": max(c, p["c"]), "n": p["hits"], "last": turn}
-                    del state["pending"][f"{kind}:{value}"]
+        if kind in SEEN:
+            SEEN[kind](state, value, c, turn)
         else:
             key = f"{kind}:{value}"
             if key in state["items"]:
@@ -92,7 +167,14 @@ def transition(state: dict, turn: int, entities: list[tuple[str, str, float]]) -
             s["c"] = fade(s["c"], turn - s["last"])
             if s["c"] < DROP or (box == "items" and s["n"] < 2 and s["c"] < 0.55):
                 del state[box][key]
-    state["pending"] = {k: p for k, p in state["pending"].items() if turn - p["last"] <= KEEP_PENDING}
+    for o in state["others"]:
+        o["c"] = fade(o["c"], turn - o["last"])
+    state["others"] = [o for o in state["others"] if o["c"] >= DROP and (o["n"] >= 2 or o["c"] >= LONE)]
+    for box in ("pending", "shift"):
+        state[box] = {k: p for k, p in state[box].items() if turn - p["last"] <= KEEP_PENDING}
+    best = max(sorted(votes), key=votes.get, default=None)
+    if best is not None and votes[best] > REGION_LEAST:
+        state["region"] = best
     topic = state["slots"].get("condition", state["slots"].get("anatomy"))
     if topic:
         if state["history"] and state["history"][-1] != topic["value"]:
@@ -105,13 +187,13 @@ def should_reset(state: dict, turn: int) -> bool:
     """Idle for too long, or all that is known of the slots is faint."""
     if not state["turn"]:
         return False
-    slots = list(state["slots"].values())
+    slots = [state["slots"][k] for k in SLOTS if k in state["slots"]]
     return turn - state["active"] > IDLE_TURNS or (len(slots) == len(SLOTS) and all(s["c"] < FAINT for s in slots))
 
 
 def reset_for_image(state: dict) -> None:
     """Forget what an earlier image gave; what the patient reported stays."""
-    state["slots"], state["drift"] = {}, False
+    state["slots"], state["others"], state["shift"], state["drift"] = {}, [], {}, False
     for box in ("items", "pending"):
         state[box] = {k: v for k, v in state[box].items() if k.split(":", 1)[0] not in (*FROM_IMAGE, *SLOTS)}
 
@@ -135,19 +217,27 @@ def context_terms(state: dict) -> list[str]:
     return list(dict.fromkeys(out))
 
 
-SNAPSHOT = "conv_id bigint, turn bigint, topic string, confidence double, items bigint, pending bigint, drift boolean"
+SNAPSHOT = "conv_id bigint, turn bigint, topic string, confidence double, items bigint, pending bigint, drift boolean, others string, imaging string, region string, priority string"
 
 
 def snapshot(conv_id: int, state: dict) -> dict:
     s = state["slots"].get("condition", state["slots"].get("anatomy"))
     return {
         "conv_id": conv_id, "turn": state["turn"], "topic": s["value"] if s else None, "confidence": round(s["c"], 6) if s else None,
-        "items": len(state["items"]), "pending": len(state["pending"]), "drift": state["drift"],
+        "items": len(state["items"]), "pending": len(state["pending"]), "drift": state["drift"], "others": ",".join(o["value"] for o in state["others"]),
+        "imaging": state["slots"]["imaging"]["value"] if "imaging" in state["slots"] else None, "region": state["region"], "priority": state["priority"],
     }
 
 
+def said(e) -> tuple:
+    """An entity (type, value, confidence, and where the table has them source, region, priority) as ``transition`` takes it."""
+    e = e if isinstance(e, dict) else e.asDict()
+    return (e["type"], e["value"], e["confidence"], *(e.get(k) for k in ("source", "region", "priority")))
+
+
 def fold(turns: DataFrame) -> DataFrame:
-    """A snapshot after each turn of rows (conv_id, turn, entities array<struct<type,value,confidence>>); tasks stream sorted turns."""
+    """A snapshot after each turn of rows (conv_id, turn, entities array<struct<type,value,confidence>>, whose structs may have source, region and
+    priority); tasks stream sorted turns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state = None, empty_state()
@@ -156,7 +246,7 @@ def fold(turns: DataFrame) -> DataFrame:
             for r in b.itertuples(index=False):
                 if r.conv_id != conv:
                     conv, state = r.conv_id, empty_state()
-                state = transition(state, int(r.turn), [(e["type"], e["value"], e["confidence"]) for e in r.entities])
+                state = transition(state, int(r.turn), [said(e) for e in r.entities])
                 out.append(snapshot(conv, state))
             yield pd.DataFrame(out)
 

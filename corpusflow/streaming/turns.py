@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sessions import SNAPSHOT, empty_state, snapshot, transition
+from ..operators.sessions import SNAPSHOT, empty_state, said, snapshot, transition
 
 
 def session_states(turns: DataFrame, ts: str | None = None, late: str = "1 hour", idle_ms: int = 6 * 3600 * 1000) -> DataFrame:
@@ -28,7 +28,7 @@ def session_states(turns: DataFrame, ts: str | None = None, late: str = "1 hour"
         rows = pd.concat(list(frames)).sort_values("turn")
         out = []
         for r in rows.itertuples(index=False):
-            own = transition(own, int(r.turn), [(e["type"], e["value"], e["confidence"]) for e in r.entities])
+            own = transition(own, int(r.turn), [said(e) for e in r.entities])
             out.append(snapshot(int(key[0]), own))
         state.update((json.dumps(own),))
         if ts:
