@@ -104,7 +104,7 @@ def split_sentences(c: Column) -> Column:
 
 
 def collapse_repeats(c: Column) -> Column:
-    """A sentence of 8 characters or more before its mark that follows itself, or a sentence that ends in it, stands once."""
+    """A sentence that begins with a capital, has 26 characters or more before its mark and follows itself, or a sentence that ends in it, stands once."""
 
     @F.pandas_udf("string")
     def apply(texts: pd.Series) -> pd.Series:
@@ -118,7 +118,7 @@ def without_repeats(text: str) -> str:
     kept = [""]
     for s in re.findall(r"[^.!?]*[.!?]|[^.!?]+$", text):
         body = s.lstrip()
-        if not (8 < len(body) < len(s) and body[-1] in ".!?" and kept[-1].endswith(body)):
+        if not (26 < len(body) < len(s) and "A" <= body[0] <= "Z" and body[-1] in ".!?" and kept[-1].endswith(body)):
             kept.append(s)
     return "".join(kept)
 

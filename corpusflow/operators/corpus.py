@@ -60,15 +60,39 @@ def sections(docs: DataFrame, least: int = 60) -> DataFrame:
     )
 
 
+# A heading, and a line of metadata below it.
+HEADING = r"^(#{1,6})\s+(.+)$"
+METADATA = r"(?i)^\*(source|url|metadata)\*\s*:"
+
+
+def plausible_record(title: Column) -> Column:
+    """Whether a heading of level 2 may begin a record: short, no address, no metadata, not sentences."""
+    t = F.trim(title)
+    marks = F.length(t) - F.length(F.translate(t, ".!?;", ""))
+    fits = F.length(t).between(1, 140) & (F.size(F.split(t, r"\s+")) <= 20) & (marks < 3)
+    return fits & ~t.rlike(r"(?i)https?://|www\.") & ~t.rlike(METADATA) & ~t.rlike(r"[.!?]\s+[A-Z]")
+
+
 def sanitized_lines(docs: DataFrame, allowed: list[str]) -> DataFrame:
-    """Lines in which a heading inside a record (below a structural heading of level 2) is neutralised by a backslash."""
+    """Lines in which a heading inside a record is neutralised by a backslash, with the state in which each line stands.
+
+    A heading of level 1 whose title is ``allowed`` (in any case) ends a record, a plausible one of level 2 begins one. A line is
+    ``outside`` of records, or within one in its ``metadata`` (blank lines and lines of metadata right below the heading) or its ``body``, which
+    the first other line begins. The states are windows over the last structural line; no line waits for the one before.
+    """
     lines = lines_of(docs, F.col("text"))
-    title = F.trim(F.regexp_replace("line", r"^#+ ", ""))
-    structural = F.when(F.col("line").rlike(r"^# \S") & title.isin(allowed), 1).when(F.col("line").rlike(r"^## \S") & plausible_heading(title), 2)
-    w = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, -1)
-    lines = lines.withColumn("structural", structural).withColumn("above", F.last("structural", ignorenulls=True).over(w))
-    heading = F.col("line").rlike(r"^#+ ") & F.col("structural").isNull() & (F.col("above") == 2)
-    return lines.select("doc_id", "line_no", F.when(heading, F.concat(F.lit("\\"), F.col("line"))).otherwise(F.col("line")).alias("line"), F.coalesce(heading, F.lit(False)).alias("neutralised"))
+    level, title = F.length(F.regexp_extract("line", HEADING, 1)), F.trim(F.regexp_extract("line", HEADING, 2))
+    structural = F.when((level == 1) & F.lower(title).isin([a.lower() for a in allowed]), 1).when((level == 2) & plausible_record(title), 2)
+    by_line = Window.partitionBy("doc_id").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumns({"level": level, "structural": structural})
+    lines = lines.withColumns({"island": F.count("structural").over(by_line), "below": F.last("structural", ignorenulls=True).over(by_line)})
+    begins = F.col("structural").isNull() & ~((F.col("level") == 0) & ((F.trim("line") == "") | F.trim("line").rlike(METADATA)))
+    within = Window.partitionBy("doc_id", "island").orderBy("line_no").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    lines = lines.withColumn("begun", F.max(begins).over(within))
+    inside = F.coalesce(F.col("below") == 2, F.lit(False))
+    heading = inside & (F.col("level") > 0) & F.col("structural").isNull()
+    state = F.when(~inside, "outside").when(F.col("begun"), "body").otherwise("metadata")
+    return lines.select("doc_id", "line_no", F.when(heading, F.concat(F.lit("\\"), F.col("line"))).otherwise(F.col("line")).alias("line"), heading.alias("neutralised"), state.alias("state"))
 
 
 def sentences(docs: DataFrame) -> DataFrame:

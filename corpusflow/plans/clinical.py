@@ -296,12 +296,12 @@ def lexicon_terms(spark, d):
     return own.select(S.lexicon_term(F.col("line")).alias("term")).where("term is not null").distinct()
 
 
-@query("""SELECT 'item_' || lpad(item_id::VARCHAR, 4, '0') AS id, text AS question, '' AS answer, length(text) > 60 AND (contains(lower(text), 'the') OR contains(lower(text), 'hein')) AS chosen FROM benchmark""")
+@query("""SELECT 'item_' || lpad(item_id::VARCHAR, greatest(length(item_id::VARCHAR), 4)::INTEGER, '0') AS id, text AS question, '' AS answer, length(text) > 60 AND (contains(lower(text), 'the') OR contains(lower(text), 'hein')) AS chosen FROM benchmark""")
 def eval_items(spark, d):
     """Items in the one schema of evaluation sets, with a zero-padded id, and whether a keyword chooses them."""
     t = F.col("text")
     chosen = (F.length(t) > 60) & F.exists(F.array(F.lit("the"), F.lit("hein")), lambda k: F.contains(F.lower(t), k))
-    padded = F.when(F.length(F.col("item_id").cast("string")) < 4, F.lpad(F.col("item_id").cast("string"), 4, "0")).otherwise(F.substring(F.col("item_id").cast("string"), 1, 4))
+    padded = F.lpad(F.col("item_id").cast("string"), F.greatest(F.length(F.col("item_id").cast("string")), F.lit(4)), F.lit("0"))
     return table(spark, d, "benchmark").select(F.concat(F.lit("item_"), padded).alias("id"), t.alias("question"), F.lit("").alias("answer"), chosen.alias("chosen"))
 
 

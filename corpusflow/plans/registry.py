@@ -33,10 +33,10 @@ WORDS = r"list_filter(string_split_regex(lower({}), '\s+'), lambda x: x <> '')"
 NORM = r"trim(regexp_replace(regexp_replace(lower({}), '[^a-z0-9\s]', ' ', 'g'), '\s+', ' ', 'g'))"
 SENT = r"string_split(regexp_replace(trim({}), '([.!?])\s+([A-Z])', '\1' || chr(1) || '\2', 'g'), chr(1))"
 BM25 = f"""
-w AS (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
-tf AS (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY ALL),
+w AS MATERIALIZED (SELECT doc_id, {WORDS.format("text")} AS w FROM documents),
+tf AS MATERIALIZED (SELECT doc_id, len(w) AS dl, term, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM w) GROUP BY ALL),
 st AS (SELECT (SELECT count(*) FROM documents) AS n, (SELECT avg(len(w)) FROM w) AS avgdl),
-i0 AS (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM tf, st GROUP BY term),
+i0 AS MATERIALIZED (SELECT term, count(*) AS df, ln(any_value(n) - count(*) + 0.5::DOUBLE) - ln(count(*) + 0.5::DOUBLE) AS idf FROM tf, st GROUP BY term),
 i AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM i0) ELSE idf END AS idf FROM i0),
 q AS (SELECT item_id, term, count(*) AS times FROM (SELECT item_id, unnest({WORDS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 s AS (SELECT item_id, doc_id, round(sum(times * idf * tf * 2.5::DOUBLE / (tf + 1.5::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score
@@ -249,14 +249,33 @@ def pages_markdown(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("doc_id"), F.col("url").alias("source"), F.regexp_replace(t, r"(?s)<[^>]+>", "\n").alias("text"))
 
 
-@query()
+_MARKDOWN = r"""p AS (SELECT page_id AS doc_id, url AS source, regexp_replace(regexp_replace(regexp_replace(html, '(?i)<h1[^>]*>(.*?)</h1>', chr(10) || '# \1' || chr(10), 'g'), '(?i)<h2[^>]*>(.*?)</h2>', chr(10) || '## \1' || chr(10), 'g'), '(?s)<[^>]+>', chr(10), 'g') AS text FROM pages)"""
+_PLAUSIBLE = r"length(h) > 0 AND length(h) <= 120 AND len(string_split_regex(h, '\s+')) <= 18 AND NOT regexp_matches(h, 'https?://') AND length(h) - length(translate(h, '.!?;', '')) < 3 AND NOT regexp_matches(h, '[.!?]\s+[a-z]')"
+
+
+@query(rf"""WITH {_MARKDOWN}, c AS (SELECT doc_id, source, regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '\n{{3,}}', chr(10) || chr(10), 'g'), '[ \t]{{2,}}', ' ', 'g'), '(?m)[ \t]+$', '', 'g'), '^\s+|\s+$', '', 'g') AS t FROM p),
+l AS (SELECT doc_id, source, unnest(string_split(t, chr(10))) AS line, unnest(range(0, len(string_split(t, chr(10))))) AS line_no FROM c),
+h AS (SELECT *, trim(regexp_replace(line, '^#{{1,2}} ', '')) AS h FROM l),
+v AS (SELECT *, CASE WHEN NOT ({_PLAUSIBLE}) THEN NULL WHEN regexp_matches(line, '^# \S') THEN 1 WHEN regexp_matches(line, '^## \S') THEN 2 END AS level FROM h),
+i AS (SELECT *, count(level) OVER w AS island, count(*) FILTER (level = 1) OVER w AS h1s, coalesce(last_value(CASE WHEN level = 1 THEN h END IGNORE NULLS) OVER w, source) AS chapter FROM v WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+s AS (SELECT *, last_value(CASE WHEN level = 2 THEN h END IGNORE NULLS) OVER (PARTITION BY doc_id, h1s ORDER BY line_no) AS section FROM i),
+b AS (SELECT doc_id, island, arg_min(chapter, line_no) AS chapter, arg_min(coalesce(section, chr(0)), line_no) AS section, regexp_replace(string_agg(line, chr(10) ORDER BY line_no) FILTER (level IS NULL), '^\s+|\s+$', '', 'g') AS body FROM s GROUP BY ALL)
+SELECT doc_id, island AS section_no, chapter, CASE WHEN section = chr(0) THEN chapter ELSE section END AS section, CASE WHEN section <> chr(0) AND section <> chapter THEN chapter || ' > ' || section ELSE chapter END AS path, length(body) AS chars FROM b WHERE length(body) >= 20""")
 def section_islands(spark, d):
     return corpus.sections(pages_markdown(spark, d), 20).select("doc_id", "section_no", "chapter", "section", "path", F.length("body").cast("long").alias("chars"))
 
 
-@query()
+@query(rf"""WITH {_MARKDOWN}, l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS line_no FROM p),
+v AS (SELECT *, length(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 1)) AS level, trim(regexp_extract(line, '^(#{{1,6}})\s+(.+)$', 2)) AS h FROM l),
+s AS (SELECT *, CASE WHEN level = 1 AND lower(h) = 'contents' THEN 1 WHEN level = 2 AND length(h) BETWEEN 1 AND 140 AND len(string_split_regex(h, '\s+')) <= 20 AND length(h) - length(translate(h, '.!?;', '')) < 3
+    AND NOT regexp_matches(h, '(?i)https?://|www\.') AND NOT regexp_matches(h, '(?i)^\*(source|url|metadata)\*\s*:') AND NOT regexp_matches(h, '[.!?]\s+[A-Z]') THEN 2 END AS structural FROM v),
+i AS (SELECT *, count(structural) OVER w AS island, coalesce(last_value(structural IGNORE NULLS) OVER w, 0) = 2 AS inside FROM s WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+b AS (SELECT *, bool_or(structural IS NULL AND NOT (level = 0 AND (trim(line) = '' OR regexp_matches(trim(line), '(?i)^\*(source|url|metadata)\*\s*:')))) OVER (PARTITION BY doc_id, island ORDER BY line_no) AS begun FROM i)
+SELECT doc_id, count(*) FILTER (inside AND level > 0 AND structural IS NULL) AS neutralised, count(*) FILTER (NOT inside) AS outside, count(*) FILTER (inside AND NOT begun) AS metadata, count(*) FILTER (inside AND begun) AS body, count(*) AS lines FROM b GROUP BY doc_id""")
 def sanitize_headings(spark, d):
-    return corpus.sanitized_lines(pages_markdown(spark, d), ["Contents"]).groupBy("doc_id").agg(F.count_if("neutralised").alias("neutralised"), F.count(F.lit(1)).alias("lines"))
+    own = corpus.sanitized_lines(pages_markdown(spark, d), ["Contents"])
+    states = [F.count_if(F.col("state") == s).alias(s) for s in ("outside", "metadata", "body")]
+    return own.groupBy("doc_id").agg(F.count_if("neutralised").alias("neutralised"), *states, F.count(F.lit(1)).alias("lines"))
 
 
 _UN = "html"
@@ -454,7 +473,8 @@ def negation_filter(spark, d):
     return dictionary.not_negated(hits, own, "key", "text", "term").select("key.conv_id", "key.turn", "term")
 
 
-@query()
+@query(rf"""WITH h AS ({_HITS}), e AS (SELECT conv_id, name, list(struct_pack(type := type, c := confidence) ORDER BY turn, type, confidence) AS es FROM h GROUP BY ALL)
+SELECT conv_id, name, round((list_reduce(es, lambda a, x: struct_pack(type := x.type, c := CASE WHEN x.type = 'symptom' THEN x.c WHEN x.type = 'finding' AND a.c > 0.7 THEN least(a.c + 0.05, 1) ELSE least(0.6 * greatest(a.c, x.c) + 0.4 * least(a.c, x.c), 1) END)))['c'], 6) AS confidence FROM e""")
 def entity_fold(spark, d):
     """Confidence of each entity of a conversation after its mentions were folded in turn order."""
     own = entities_of(spark, d).groupBy("conv_id", "name").agg(F.array_sort(F.collect_list(F.struct("turn", "type", "confidence"))).alias("e"))
