@@ -5,15 +5,24 @@ Everything is keyed by query, so one job answers all queries; the query side is
 
 from __future__ import annotations
 
+import hashlib
+import math
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.notes import let
 from ..functions.text import words
 from ..session import hint_of
 from .nearest import nearest
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
+#: Terms that a query table may ask for to be looked up in each task; more are joined.
+ASKED = 200_000
+#: Terms that a task counts before it sends them on.
+COUNTED = 1 << 20
 WEIGHTS, RANK_CONSTANT = {"sparse": 0.4, "dense": 0.6}, 60
 
 
@@ -25,22 +34,58 @@ def top_k(df: DataFrame, key: str, order: list[Column], k: int, rank: str = "ran
 
 def term_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """term, df and idf (floored at a quarter of the mean where negative)."""
-    df = docs.select(F.explode(F.array_distinct(words(F.col(text)))).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The documents of a task that hold each term, summed before they are exchanged."""
+        seen: Counter = Counter()
+        for batch in batches:
+            for t in batch.column(0).to_pylist():
+                seen.update(set((t or "").encode().split()))
+            if len(seen) > COUNTED:
+                yield sums(seen)
+                seen.clear()
+        if seen:
+            yield sums(seen)
+
+    def sums(seen: Counter) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.binary()).cast(pa.string()), pa.array(seen.values(), pa.int64())], ["term", "df"])
+
+    # bytes are split at the white space that ``words`` splits at
+    df = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = df.crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean"))  # one row
     return idf.crossJoin(F.broadcast(mean)).select("term", "df", F.when(F.col("idf") < 0, IDF_FLOOR * F.col("mean")).otherwise(F.col("idf")).alias("idf"))
 
 
+def term_counts(docs: DataFrame, asked: DataFrame) -> DataFrame:
+    """doc_id, dl (the text's words), term, tf of the terms asked for; others don't leave the scan, and counts need no exchange."""
+    terms = [r.term for r in asked.limit(ASKED + 1).collect()]
+    if len(terms) > ASKED:
+        own = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term"))
+        return own.join(asked, "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    sent = docs.sparkSession.sparkContext.broadcast({t.encode() for t in terms})
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at, size, term, n = [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                own = (t or "").encode().split()
+                for w, k in Counter(w for w in own if w in sent.value).items():
+                    at.append(i)
+                    size.append(len(own))
+                    term.append(w)
+                    n.append(k)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int32()), pa.array(term, pa.binary()).cast(pa.string()), pa.array(n, pa.int64())], ["doc_id", "dl", "term", "tf"])
+
+    return docs.select("doc_id", F.lower("text").alias("t")).mapInArrow(count, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, dl int, term string, tf bigint")
+
+
 def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, stats: DataFrame | None = None) -> DataFrame:
     """item_id, doc_id, score (6 places) and rank.  Terms count with their multiplicity in the query."""
     asked = queries.select("item_id", F.explode(words(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
-    own = docs.select("doc_id", words(F.col("text")).alias("w"))
-    mean = own.agg(F.avg(F.size("w")).alias("avgdl"))
-    hint = hint_of(asked)
-    vocabulary = hint(asked.select("term").distinct())
-    # only terms that are asked for leave the scan
-    tf = own.select("doc_id", F.size("w").alias("dl"), F.explode("w").alias("term")).join(vocabulary, "term").groupBy("doc_id", "dl", "term").agg(F.count(F.lit(1)).alias("tf"))
+    mean = docs.agg(F.avg(F.size(words(F.col("text")))).alias("avgdl"))
+    hint, tf = hint_of(asked), term_counts(docs, asked.select("term").distinct())
     stats = stats if stats is not None else term_statistics(docs)
     scored = (
         tf.join(hint(stats.join(hint(asked), "term")), "term")
@@ -54,14 +99,25 @@ def bm25_top_k(docs: DataFrame, queries: DataFrame, k: int = 10, stats: DataFram
 
 def hashed_vector(text: Column, dim: int = 16) -> Column:
     """A unit vector of token counts by hash bucket: the default embedding where no model is given."""
-    buckets = F.transform(words(text), lambda t: F.conv(F.substring(F.md5(t), 1, 8), 16, 10).cast("long") % dim)
-    counts = let(buckets, lambda own: F.transform(F.sequence(F.lit(0), F.lit(dim - 1)), lambda i: F.size(F.filter(own, lambda b: b == i)).cast("double")))
 
-    def unit(v):
-        norm = F.sqrt(F.aggregate(v, F.lit(0.0), lambda s, x: s + x * x))
-        return let(norm, lambda n: F.transform(v, lambda x: F.when(n > 0, x / n).otherwise(x)))
+    @F.arrow_udf("array<double>")
+    def apply(batch: pa.Array) -> pa.Array:
+        place: dict[bytes, int] = {}
+        return pa.array([None if t is None else unit(counts(t.encode().split(), place)) for t in batch.to_pylist()], pa.list_(pa.float64()))
+
+    def counts(own: list[bytes], place: dict[bytes, int]) -> list[float]:
+        out = [0.0] * dim
+        for w, n in Counter(own).items():
+            if w not in place:
+                place[w] = int(hashlib.md5(w, usedforsecurity=False).hexdigest()[:8], 16) % dim
+            out[place[w]] += n
+        return out
+
+    def unit(v: list[float]) -> list[float]:
+        norm = math.sqrt(sum(x * x for x in v))
+        return [x / norm for x in v] if norm > 0 else v
 
-    return let(counts, unit)
+    return apply(F.lower(text))
 
 
 def dense_top_k(items: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
