@@ -6,10 +6,10 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators import entities, memory
+from ..operators import answers, entities, memory, retrieval
 from ..session import table
 from ..streaming import recorder
-from .registry import _DOT, ORACLES, WORDS, observations, query
+from .registry import _DOT, ORACLES, WORDS, answers_of, observations, query
 
 # Entities: a vocabulary of the words and pairs of words of the benchmark
 
@@ -134,3 +134,43 @@ def memory_vectors(spark, d):
         ((i % 90 + 10) / 100).alias("confidence"), F.get(F.array(*[F.lit(s) for s in ("visual", "patient", "rule", "answer", "x")]), (i % 5).cast("int")).alias("source"), "vector")
     q = v.where((i % 20 == 0) | (i % 25 == 0)).select(i.alias("query_id"), F.col("label").alias("subject"), F.when(i % 2 == 0, F.array(F.lit("hall"), F.lit("study"))).alias("rooms"), "vector")
     return memory.nearest(m, q)
+
+
+# Answers
+
+_AGAIN = f"""WITH t AS (SELECT conv_id, turn, role, text, coalesce(lag(text) OVER (PARTITION BY conv_id ORDER BY turn), '') AS context FROM conversations),
+w AS (SELECT *, list_distinct({WORDS.format("text")}) AS a, {WORDS.format("context")} AS c FROM t WHERE role = 'assistant'),
+f AS (SELECT *, round(len(list_intersect(a, list_distinct(c))) / greatest(len(a), 1), 6) < 0.2 AS failed FROM w),
+s AS (SELECT *, failed AND length(context) % 2 = 0 AS mended, context = '' AS empty FROM f)
+SELECT conv_id, turn, md5(CASE WHEN mended THEN context ELSE text END) AS answer, CASE WHEN failed AND (NOT mended OR empty) THEN 'FAIL' ELSE 'PASS' END AS verdict, CASE WHEN failed THEN 1 ELSE 0 END::BIGINT AS retries FROM s"""
+
+
+@query(_AGAIN)
+def answers_again(spark, d):
+    """Turns of assistants as answers, judged by the words they share with the turn before; half of those that fail are mended by it."""
+
+    def answer(rows):
+        mended = F.col("correction").isNotNull() & (F.length("context") % 2 == 0)
+        return rows.withColumn("answer", F.when(mended, F.col("context")).otherwise(F.col("text")))
+
+    def judge(rows):
+        share = retrieval.overlap_score(F.col("answer"), F.col("context"))
+        return rows.withColumns({"verdict": F.when(share < 0.2, "FAIL").otherwise("PASS"), "flagged": F.array("answer")})
+
+    own = answers.answered(answers_of(spark, d), "key", answer, judge)
+    return own.select("key.conv_id", "key.turn", F.md5("answer").alias("answer"), "verdict", "retries")
+
+
+_OPTIONS = "['A. ' || p_name, 'B. ' || lower(p_type) || ' ring', 'ring', 'D. none of these', 'E.  ' || p_brand]"
+
+
+@query(f"""WITH o AS (SELECT p_partkey, 'It is ' || CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN lower(p_type) ELSE 'unclear' END AS answer, {_OPTIONS} AS options FROM part),
+s AS (SELECT p_partkey, list_transform(list_transform(options, lambda x: trim(CASE WHEN regexp_matches(x, '^[A-E]\\.') THEN substr(x, 4) ELSE x END)),
+    lambda x: len(list_intersect(list_distinct({WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")}), {WORDS.format("answer").replace("lambda x: x <>", "lambda y: y <>")})) / greatest(len(list_distinct({WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")})), 1)) AS s FROM o)
+SELECT p_partkey, CASE WHEN list_max(s) > 0.4 THEN list_position(s, list_max(s)) - 1 END AS pick FROM s""")
+def option_picks(spark, d):
+    """The option that a sentence on each part chooses, if any."""
+    said = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.lower("p_type")).otherwise("unclear")
+    lit = F.lit
+    options = F.array(F.concat(lit("A. "), "p_name"), F.concat(lit("B. "), F.lower("p_type"), lit(" ring")), lit("ring"), lit("D. none of these"), F.concat(lit("E.  "), "p_brand"))
+    return table(spark, d, "part").select("p_partkey", answers.picked(F.concat(lit("It is "), said), options).alias("pick"))

@@ -33,3 +33,11 @@ def hint_of(df: DataFrame, rows: int = 200_000):
 def small_side(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """The side of a join to broadcast, if a count shows that it has at most ``rows`` rows; else Spark chooses."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` written to the shared folder of checkpoints and read from there: it is computed once, and a lost executor costs no recomputation."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or df.sparkSession.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
+    return df.checkpoint()
