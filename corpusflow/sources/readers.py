@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,10 +46,35 @@ def labels(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path).select(F.trim("value").alias("label")).where((F.col("label") != "") & ~F.col("label").startswith("#"))
 
 
+def listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern, by name; nothing is opened."""
+    jvm = spark.sparkContext._jvm
+    path = jvm.org.apache.hadoop.fs.Path(pattern)
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted((f.getPath().toString() for f in found), key=lambda p: p.rsplit("/", 1)[-1])
+
+
 def latest(spark: SparkSession, pattern: str, schema: str) -> DataFrame:
-    """Rows of the file whose name sorts last."""
-    df = spark.read.schema(schema).option("multiLine", True).json(pattern).withColumn("_file", F.col("_metadata.file_name"))
-    return df.join(F.broadcast(df.agg(F.max("_file").alias("_file"))), "_file").drop("_file")
+    """Rows of the file whose name sorts last: names are listed first, and that file alone is opened. No file: no rows."""
+    names = listed(spark, pattern)
+    return spark.read.schema(schema).option("multiLine", True).json(names[-1]) if names else spark.createDataFrame([], schema)
+
+
+def cached(spark: SparkSession, path: str, parts: list[Callable[[], DataFrame]], reload: bool = False) -> DataFrame:
+    """The union by name of what ``parts`` make, with nulls for columns that one lacks; made and written to ``path`` once.
+
+    What was written whole before is read, and no part is made; ``reload`` makes and writes it anew. A run that was killed while it wrote left
+    no whole table, so the next makes it again.
+    """
+    if reload or not listed(spark, f"{path}/_SUCCESS"):
+        whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), [make() for make in parts])
+        whole.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
+def missing_pages(spark: SparkSession, path: str, wanted: DataFrame, key: str) -> DataFrame:
+    """Rows of ``wanted`` whose key no page below ``path`` holds yet: what is still to be fetched."""
+    return wanted.join(spark.read.parquet(path).select(key).distinct(), key, "left_anti") if listed(spark, f"{path}/_SUCCESS") else wanted
 
 
 def bytes_of(spark: SparkSession, path: str) -> DataFrame:

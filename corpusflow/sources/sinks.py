@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut
+from .readers import missing_pages
+
 
 def render_metadata(m: Column) -> Column:
     """``k=v; k=v`` in the order of keys."""
@@ -18,24 +21,18 @@ def markdown(records: DataFrame, path: str) -> None:
 
 
 def append_new(records: DataFrame, path: str, key: str) -> DataFrame:
-    """Append what is not yet at ``path``; gives the rows appended."""
+    """Append what is not yet at ``path``; gives the rows appended. Of rows of one key the first in the order of their JSON counts; null keys don't."""
     spark = records.sparkSession
-    try:
-        seen = spark.read.parquet(path).select(key)
-        new = records.join(seen, key, "left_anti")
-    except Exception as e:  # nothing was written yet
-        if "PATH_NOT_FOUND" not in str(e):
-            raise
-        new = records
-    new = new.dropDuplicates([key])
+    new = missing_pages(spark, path, records.where(F.col(key).isNotNull()), key)
+    row = F.struct(*records.columns)
+    new = cut(new.groupBy(key).agg(F.min_by(row, F.to_json(row)).alias("row")).select("row.*"))
     new.write.mode("append").parquet(path)
     return new
 
 
 def export_json(df: DataFrame, path: str, by: str) -> None:
-    """JSON files in a folder for each value of ``by``, with a name that is safe in paths."""
-    safe = F.regexp_replace(F.col(by).cast("string"), r"[^A-Za-z0-9_\-]", "_")
-    df.withColumn("_safe", safe).write.mode("overwrite").partitionBy("_safe").json(path)
+    """JSON files in a folder for each value of ``by``; Spark escapes what paths can't hold, so different values have different folders."""
+    df.withColumn("_safe", F.col(by).cast("string")).write.mode("overwrite").partitionBy("_safe").json(path)
 
 
 def vector_table(chunks: DataFrame, path: str) -> None:

@@ -170,8 +170,9 @@ def test_readers_and_sinks(spark, tmp_path):
     records = spark.createDataFrame([("g", "T", {"b": "2", "a": "1"}, "text", 1), ("g", "U", {}, "more", 2)], "source_group string, title string, metadata map<string,string>, content string, id int")
     sinks.markdown(records, str(tmp_path / "md"))
     assert "*a=1; b=2*" in "\n".join(r.value for r in spark.read.text(str(tmp_path / "md")).collect())
-    assert sinks.append_new(records.limit(1), str(tmp_path / "inc"), "id").count() >= 0
-    sinks.append_new(records, str(tmp_path / "inc"), "id")
+    assert sinks.append_new(records.limit(1), str(tmp_path / "inc"), "id").count() == 1
+    assert sinks.append_new(records.unionByName(records), str(tmp_path / "inc"), "id").count() == records.count() - 1
+    assert sinks.append_new(records, str(tmp_path / "inc"), "id").count() == 0
     assert sorted(r.id for r in spark.read.parquet(str(tmp_path / "inc")).collect()) == [1, 2]
 
 
