@@ -218,3 +218,68 @@ def test_periodic_query(spark, sf, tmp_path):
         assert x.n_runs == len(runs) and x.runs_sha256 == hashlib.sha256("".join(f"{s},{m},{p}\n" for s, m, p in runs).encode()).hexdigest()
         assert x.collapsed_sha256 == hashlib.sha256(b" ".join(v for k, v in enumerate(w) if k not in gone)).hexdigest()
     assert n > 5
+
+
+@pytest.mark.parametrize("scale", [1.0, 1e-8, 1e-30, None])
+def test_small_vectors_are_not_ranked_by_id(spark, scale):
+    """All of 200 vectors are in one part, so the search is exact: at any scale, and where scales are mixed."""
+    from corpusflow.llm import ann
+
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(200, 8)) * (scale if scale else np.exp2(-rng.integers(0, 60, (200, 1)).astype(np.float64)))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got: dict = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0, k=10).orderBy("query_id", "rank").collect():
+        got.setdefault(r.query_id, []).append(r.vec_id)
+    for q, found in got.items():
+        d = x @ x[q]
+        d[q] = -np.inf
+        assert found == sorted(range(200), key=lambda i: (-d[i], i))[:10]
+    assert len(got) == 10
+
+
+def test_best_fit_is_best_fit():
+    from corpusflow.llm import packing
+
+    r = random.Random(6)
+    for _ in range(60):
+        lengths, size = [r.randrange(1, 41) for _ in range(r.randrange(1, 60))], 40
+        rooms, want = [], {}
+        for i in sorted(range(len(lengths)), key=lambda i: -lengths[i]):
+            fits = [b for b, room in enumerate(rooms) if room >= lengths[i]]
+            if not fits:
+                rooms.append(size)
+                fits = [len(rooms) - 1]
+            b = min(fits, key=lambda b: rooms[b])
+            rooms[b] -= lengths[i]
+            want[i] = b
+        got = packing.best_fit(np.array(lengths), size)
+        # bins of equal room are alike: the fill of the bins decides
+        assert sorted(np.bincount(got, weights=lengths).tolist()) == sorted(float(size - room) for room in rooms)
+
+
+def test_pairs_of_a_template_do_not_meet():
+    """Sets of one template with shingles of their own, below the threshold: none is a candidate; near copies all are."""
+    from corpusflow.llm import jaccard
+
+    def sets(own, n):
+        return [np.sort(np.concatenate([np.arange(own, dtype=np.uint64) + np.uint64(1000 * i), np.arange(160, dtype=np.uint64) + np.uint64(10**9)])) for i in range(n)]
+
+    for own, meets in ((44, False), (10, True)):
+        s = sets(own, 50)
+        n = np.array([len(x) for x in s])
+        met = np.zeros((50, 50), bool)
+        for f, g in ((jaccard.smaller_prefix, jaccard.prefix), (jaccard.prefix, jaccard.smaller_prefix)):
+            jaccard.meet(met, jaccard.postings(s, f(n, 75)), jaccard.postings(s, g(n, 75)))
+        np.fill_diagonal(met, False)
+        assert met.any() == meets and (not meets or met.sum() == 50 * 49)
+    r = np.random.default_rng(2)
+    s = [np.unique(r.integers(0, 30, r.integers(5, 25)).astype(np.uint64)) for _ in range(150)]
+    n = np.array([len(x) for x in s])
+    met = np.zeros((150, 150), bool)
+    for f, g in ((jaccard.smaller_prefix, jaccard.prefix), (jaccard.prefix, jaccard.smaller_prefix)):
+        jaccard.meet(met, jaccard.postings(s, f(n, 75)), jaccard.postings(s, g(n, 75)))
+    for i in range(150):
+        for j in range(150):
+            both = len(np.intersect1d(s[i], s[j]))
+            assert met[i, j] or 100 * both < 75 * (n[i] + n[j] - both)
