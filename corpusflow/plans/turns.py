@@ -167,10 +167,10 @@ _OPTIONS = "['A. ' || p_name, 'B. ' || lower(p_type) || ' ring', 'ring', 'D. non
 @query(f"""WITH o AS (SELECT p_partkey, 'It is ' || CASE WHEN p_size % 3 = 0 THEN p_name WHEN p_size % 3 = 1 THEN lower(p_type) ELSE 'unclear' END AS answer, {_OPTIONS} AS options FROM part),
 s AS (SELECT p_partkey, list_transform(list_transform(options, lambda x: trim(CASE WHEN regexp_matches(x, '^[A-E]\\.') THEN substr(x, 4) ELSE x END)),
     lambda x: len(list_intersect(list_distinct({WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")}), {WORDS.format("answer").replace("lambda x: x <>", "lambda y: y <>")})) / greatest(len(list_distinct({WORDS.format("x").replace("lambda x: x <>", "lambda y: y <>")})), 1)) AS s FROM o)
-SELECT p_partkey, CASE WHEN list_max(s) > 0.4 THEN list_position(s, list_max(s)) - 1 END AS pick FROM s""")
+SELECT p_partkey, CASE WHEN list_max(s) > 0.4 THEN list_position(s, list_max(s)) - 1 ELSE -1 END::BIGINT AS pick FROM s""")
 def option_picks(spark, d):
-    """The option that a sentence on each part chooses, if any."""
+    """The option that a sentence on each part chooses; -1 for none."""
     said = F.when(F.col("p_size") % 3 == 0, F.col("p_name")).when(F.col("p_size") % 3 == 1, F.lower("p_type")).otherwise("unclear")
     lit = F.lit
     options = F.array(F.concat(lit("A. "), "p_name"), F.concat(lit("B. "), F.lower("p_type"), lit(" ring")), lit("ring"), lit("D. none of these"), F.concat(lit("E.  "), "p_brand"))
-    return table(spark, d, "part").select("p_partkey", answers.picked(F.concat(lit("It is "), said), options).alias("pick"))
+    return table(spark, d, "part").select("p_partkey", F.coalesce(answers.picked(F.concat(lit("It is "), said), options), lit(-1)).cast("long").alias("pick"))
