@@ -125,6 +125,25 @@ def refined_query(raw: Column, rewrite: Column | None = None) -> Column:
     return F.when(own["high_risk"], mapped_query(raw, F.lit(REFINED_RISK), 15)).when(own["surface_spot"], mapped_query(raw, F.lit(SEED_SPOT), 15)).otherwise(mapped_query(raw, base, 13))
 
 
+def rewrite_input(question: Column, context: Column, probable: Column, translations: Column, facts: Column, memory: Column, history: Column) -> Column:
+    """What a model is given to make a question stand alone: the session's context, probable findings of an image (array), what lay words
+    mean and facts of structures (arrays), memory, and questions before (array; the question itself is left out). Nulls and empty parts are left out."""
+    text = lambda c: F.coalesce(F.trim(c), F.lit(""))
+    part = lambda before, a, sep, after="": F.when(F.size(a) > 0, F.concat(F.lit(before), F.array_join(a, sep), F.lit(after))).otherwise("")
+    earlier = F.filter(history, lambda q: q != question)
+    said = F.when(text(memory) != "", F.concat(F.lit("\nPatient Memory:\n"), text(memory))).otherwise("")
+    return F.concat(
+        F.lit("Context:"), F.coalesce(context, F.lit("")), part(" [Image: ", probable, ", ", "]"), part("\nAnatomy Translation: ", translations, "; "),
+        part("\nAnatomy Facts: ", F.slice(facts, 1, 2), " "), said, part("\nPrior Questions: ", earlier, " → "), F.lit("\nPatient: "), question,
+    )
+
+
+def rewritten_query(question: Column, answer: Column, terms: int = 12) -> Column:
+    """A model's rewriting as a query of at most ``terms`` words, with the terms of the question's signs; the question where it is too short or null."""
+    model = normalize_query(F.coalesce(answer, F.lit("")), CANONICAL, NOISE, (), ACRONYMS, terms)
+    return mapped_query(question, F.when(F.length(model) >= 5, model).otherwise(question), terms)
+
+
 def token_set(c: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit(r"([a-z0-9]+)")))
 

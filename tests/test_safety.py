@@ -77,3 +77,15 @@ def test_purge_section(spark):
     df = spark.createDataFrame([(k, i, x) for k in (1, 2) for i, x in enumerate(lines)], "k int, line_no int, line string")
     got = [r.line for r in corpus.purge_section(df, "k", "Drop").where("k = 1").orderBy("line_no").collect()]
     assert got == ["intro", "# Keep", "a", "# Keep", "d"]
+
+
+def test_question_is_rewritten(spark):
+    rows = [
+        (1, "What to do now?", "[condition:drusen]", ["drusen"], ["'front of eye' -> cornea"], ["f1", "f2", "f3"], " past ", ["What is it?", "What to do now?"], "drusen monitoring treatment options"),
+        (2, "Is it bad?", None, None, [], None, " ", None, "x"),
+    ]
+    df = spark.createDataFrame(rows, "i int, q string, c string, p array<string>, t array<string>, f array<string>, m string, h array<string>, a string")
+    got = {r.i: r for r in df.select("i", S.rewrite_input(*[F.col(c) for c in "qcptfmh"]).alias("given"), S.rewritten_query(F.col("q"), F.col("a")).alias("query")).collect()}
+    assert got[1].given == "Context:[condition:drusen] [Image: drusen]\nAnatomy Translation: 'front of eye' -> cornea\nAnatomy Facts: f1 f2\nPatient Memory:\npast\nPrior Questions: What is it?\nPatient: What to do now?"
+    assert got[2].given == "Context:\nPatient: Is it bad?"
+    assert "drusen" in got[1].query and "monitoring" in got[1].query and "bad" in got[2].query.lower()
