@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import words
-from ..session import hint_of
+from ..session import cut, hint_of
 from .nearest import nearest
 
 K1, B, IDF_FLOOR = 1.5, 0.75, 0.25
@@ -52,6 +52,7 @@ def term_statistics(docs: DataFrame, doc_id: str = "doc_id", text: str = "text")
 
     # bytes are split at the white space that ``words`` splits at
     df = docs.select(F.lower(F.col(text)).alias("t")).mapInArrow(count, "term string, df bigint").groupBy("term").agg(F.sum("df").alias("df"))
+    df = cut(df)  # the mean and the rows both read it
     n = docs.agg(F.count(F.lit(1)).alias("n"))
     idf = df.crossJoin(F.broadcast(n)).withColumn("idf", F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5))
     mean = idf.agg(F.avg("idf").alias("mean"))  # one row
