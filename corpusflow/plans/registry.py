@@ -687,4 +687,4 @@ def event_sessions(spark, d):
 
     return own(table(spark, d, "events"))
 
-from . import clinical, evidence, turns  # noqa: E402,F401  register their queries
+from . import clinical, evidence, runs, turns  # noqa: E402,F401  register their queries
