@@ -186,7 +186,7 @@ def with_disclaimer(answer: Column, verdict: Column, contradicted: Column, notic
 def split_response(c: Column, mark: str = "---DETAILS---") -> tuple[Column, Column]:
     """What stands before and after the mark, without labels of the parts."""
     label = r"(?i)^\s*\**(?:summary|details|answer)\**\s*:\s*\**\s*"
-    part = lambda i: F.trim(F.regexp_replace(F.split_part(c, F.lit(mark), F.lit(i)), label, ""))
+    part = lambda i: F.regexp_replace(F.regexp_replace(F.split_part(c, F.lit(mark), F.lit(i)), label, ""), r"^\s+|\s+$", "")
     return part(1), part(2)
 
 

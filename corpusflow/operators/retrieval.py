@@ -135,9 +135,9 @@ def fuse(ranked: DataFrame, k: int) -> DataFrame:
     return top_k(fused, "item_id", [F.desc("score"), F.asc("doc_id")], k)
 
 
-def hybrid_top_k(docs: DataFrame, queries: DataFrame, each: int = 10, k: int = 12) -> DataFrame:
+def hybrid_top_k(docs: DataFrame, queries: DataFrame, each: int = 10, k: int = 12, stats: DataFrame | None = None) -> DataFrame:
     """Sparse and dense top lists of each query, fused."""
-    sparse = bm25_top_k(docs, queries, each).select("item_id", "doc_id", "rank", F.lit("sparse").alias("kind"))
+    sparse = bm25_top_k(docs, queries, each, stats).select("item_id", "doc_id", "rank", F.lit("sparse").alias("kind"))
     items = docs.select(F.col("doc_id").alias("id"), hashed_vector(F.col("text")).alias("v"))
     asked = queries.select((-F.col("item_id") - 1).alias("query_id"), hashed_vector(F.col("text")).alias("qv"))
     dense = dense_top_k(items, asked, each).select((-F.col("query_id") - 1).alias("item_id"), F.col("id").alias("doc_id"), F.col("rank").cast("long").alias("rank"), F.lit("dense").alias("kind"))

@@ -6,7 +6,7 @@ value must be confirmed by a second sighting or a clear margin; what is not seen
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator, Mapping
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -217,6 +217,40 @@ def context_terms(state: dict) -> list[str]:
     return list(dict.fromkeys(out))
 
 
+def provisional(state: dict, least: float = 0.55, most: int = 3) -> dict[str, list[str]]:
+    """What waits and may already be used, surest first: of each kind of item ``most``, and what waits for an empty slot."""
+    ready = lambda p: p["c"] >= least
+    out: dict[str, list[str]] = {k: [state["shift"][k]["value"]] for k in SLOTS if k not in state["slots"] and k in state["shift"] and ready(state["shift"][k])}
+    for kind in ("finding", "symptom", "medication", "procedure"):
+        own = sorted(((p["c"], p["hits"], p["last"], k.split(":", 1)[1]) for k, p in state["pending"].items() if k.split(":", 1)[0] == kind and ready(p)), key=lambda p: p[:3], reverse=True)
+        if own:
+            out[kind] = [p[3] for p in own[:most]]
+    return out
+
+
+def generation_context(state: dict, facts: Mapping[str, str] = {}, least: float | None = 0.45) -> str:
+    """The state as lines for a model, surest facts of the slots last; ``least`` is the confidence from which waiting values are told, None for none.
+
+    ``facts``: a sentence for a name in lower case with underscores. Empty where nothing is known.
+    """
+    slots, sure = state["slots"], lambda s: f"{s['value']} ({s['c']:.2f})"
+    slot = lambda k, title: [f"{title}: {slots[k]['value']} (confidence: {slots[k]['c']:.2f})"] if k in slots else []
+    line = lambda title, values: [f"{title}: {', '.join(values)}"] if values else []
+    items = lambda kind, show: [show(s) for k, s in state["items"].items() if k.split(":", 1)[0] == kind and stable(s, 0.4)]
+    own = line("Region of the eye", [state["region"]] if state["region"] else []) + line("Priority", [state["priority"].upper()] if state["priority"] != "routine" else [])
+    own += slot("anatomy", "Part of the eye") + slot("condition", "Main condition") + line("Other conditions", [sure(o) for o in state["others"] if o["c"] > 0.4])
+    own += line("Symptoms", items("symptom", sure)) + line("Findings", items("finding", sure))
+    own += line("Medications", items("medication", lambda s: s["value"])) + line("Procedures", items("procedure", lambda s: s["value"]))
+    own += line("Imaging", [slots["imaging"]["value"]] if "imaging" in slots else [])
+    if least is not None:
+        waiting = provisional(state, least)
+        for kind in (*SLOTS, "finding", "symptom", "medication", "procedure"):
+            own += line(f"Possible {kind}", waiting.get(kind, []))
+    own += ["The topic has changed."] if state["drift"] else []
+    known = [facts.get(slots[k]["value"].replace(" ", "_").lower()) for k in SLOTS if k in slots and slots[k]["c"] > 0.6]
+    return "\n".join(own + ([f"Facts: {' '.join(list(dict.fromkeys(f for f in known if f))[:2])}"] if any(known) else []))
+
+
 SNAPSHOT = "conv_id bigint, turn bigint, topic string, confidence double, items bigint, pending bigint, drift boolean, others string, imaging string, region string, priority string"
 
 
@@ -235,9 +269,9 @@ def said(e) -> tuple:
     return (e["type"], e["value"], e["confidence"], *(e.get(k) for k in ("source", "region", "priority")))
 
 
-def fold(turns: DataFrame) -> DataFrame:
-    """A snapshot after each turn of rows (conv_id, turn, entities array<struct<type,value,confidence>>, whose structs may have source, region and
-    priority); tasks stream sorted turns."""
+def fold(turns: DataFrame, shown: Callable[[int, dict], dict] = snapshot, schema: str = SNAPSHOT) -> DataFrame:
+    """What ``shown`` makes of the state after each turn of rows (conv_id, turn, entities array<struct<type,value,confidence>>, whose structs may have
+    source, region and priority); tasks stream sorted turns."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         conv, state = None, empty_state()
@@ -247,11 +281,17 @@ def fold(turns: DataFrame) -> DataFrame:
                 if r.conv_id != conv:
                     conv, state = r.conv_id, empty_state()
                 state = transition(state, int(r.turn), [said(e) for e in r.entities])
-                out.append(snapshot(conv, state))
+                out.append(shown(conv, state))
             yield pd.DataFrame(out)
 
     own = turns.select("conv_id", "turn", "entities").repartition("conv_id").sortWithinPartitions("conv_id", "turn")
-    return own.mapInPandas(run, SNAPSHOT)
+    return own.mapInPandas(run, schema)
+
+
+def contexts(turns: DataFrame, facts: Mapping[str, str] = {}) -> DataFrame:
+    """conv_id, turn, context: the state after each turn as lines for a model."""
+    show = lambda conv, state: {"conv_id": conv, "turn": state["turn"], "context": generation_context(state, facts)}
+    return fold(turns, show, "conv_id bigint, turn bigint, context string")
 
 
 def history(turns: DataFrame, light: Column) -> DataFrame:

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import prompts
 from ..functions import safety as S
 from ..functions import text as X
-from ..operators import grounding, runs
+from ..operators import ask, grounding, runs
 from ..session import table
 from .clinical import _PROFILE, _TURNS, _mapped
 from .registry import _CLAIMS, _DOT, _KW, _UNIT, _VEC, RERANK, SENT, WORDS, docs_of, query
@@ -115,3 +116,26 @@ _MEANS = ", ".join(f"round(avg({m}), 4) AS mean_{m}" for m in runs.MEASURES)
 def evaluation_compare(spark, d):
     """The seven configurations compared."""
     return runs.summarised(runs_of(spark, d))
+
+
+@query(f"""SELECT conv_id, turn, array_to_string(list_filter([1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, CASE WHEN NOT fundus_context THEN 12 END, CASE WHEN spot AND surface_location AND NOT fundus_context THEN 13 END,
+    CASE WHEN high_risk THEN 14 END, CASE WHEN high_risk THEN 15 END, CASE WHEN conv_id % 4 = 0 THEN 17 END, 18], lambda x: x IS NOT NULL), ',') AS rules FROM ({_PROFILE}) WHERE role = 'user'""")
+def prompt_rules(spark, d):
+    """The rules that a model is given for each turn of a user; every fourth conversation asks for another language."""
+    own = table(spark, d, "conversations").where("role = 'user'")
+    numbers = prompts.applied_rules(F.col("text"), language=F.when(F.col("conv_id") % 4 == 0, "Hindi"))
+    return own.select("conv_id", "turn", F.array_join(F.transform(numbers, lambda n: n.cast("string")), ",").alias("rules"))
+
+
+@query()
+def ask_run(spark, d):
+    """Each item of the benchmark, every seventh with a red flag, answered from windows of all documents; where that fails, from the sources alone."""
+    i = F.col("item_id")
+    asked = table(spark, d, "benchmark").select("item_id", F.when(i % 7 == 0, F.concat("text", F.lit(" A chemical burn."))).otherwise(F.col("text")).alias("question"), F.when(i % 2 == 0, F.array(F.lit("cornea"))).alias("terms"))
+    parents = docs_of(spark, d).select(F.col("doc_id").alias("parent_id"), "source", F.col("lang").alias("path"), "text")
+
+    def answer(rows):
+        source = F.split_part("user", F.lit("SOURCES:\n\n"), F.lit(2))
+        return rows.withColumn("answer", F.when(F.col("correction").isNull() & (F.col("item_id") % 3 == 0), F.reverse("question")).otherwise(F.left(source, F.lit(400))))
+
+    return ask.ask(asked, chunks_of(spark, d), parents, answer)
