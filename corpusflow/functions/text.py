@@ -3,20 +3,44 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from html.entities import name2codepoint
 
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Entities that are decoded, in this order (the ampersand last).
-ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&amp;", "&"))
+NAMED = {name: chr(code) for name, code in name2codepoint.items()} | {"apos": "'"}
+#: What browsers read numbers from 128 to 159 as, where Windows-1252 has a character.
+C1 = {n: t for n in range(0x80, 0xA0) if (t := bytes([n]).decode("cp1252", "ignore"))}
 #: Closing tags that end a line.
 LINE_TAGS = ("p", "div", "li", "ul", "ol", "section", "article", "h1", "h2", "h3", "h4", "h5", "h6", "tr", "table")
 
 
 def unescape(c: Column) -> Column:
-    return reduce(lambda x, e: F.replace(x, F.lit(e[0]), F.lit(e[1])), ENTITIES, c)
+    """Entities of HTML decoded once: the named ones of HTML 4 and ``&apos;``, decimal and hexadecimal ones; each needs its semicolon.
+
+    Numbers of the C1 range are read as Windows-1252, as browsers do; what is no character becomes U+FFFD. Unknown names stay. The no-break
+    space becomes a blank.
+    """
+    names = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
+    windows = F.create_map(*[F.lit(x) for kv in C1.items() for x in kv])
+
+    def decoded(piece: Column) -> Column:
+        head = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
+        digits = F.regexp_replace(head, r"^#[xX]?0*", "")
+        code = number(head, digits)
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        char = F.when(~valid, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+        text = F.when(head.startswith("#"), char).otherwise(F.try_element_at(names, head))
+        return F.coalesce(F.concat(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.substr(piece, F.length(head) + 2)), F.concat(F.lit("&"), piece))
+
+    def number(head: Column, digits: Column) -> Column:
+        own = F.when(digits == "", "0").otherwise(digits)
+        read = F.when(head.rlike("^#[xX]"), F.conv(own, 16, 10)).otherwise(own).try_cast("long")
+        return F.when(F.length(digits) > 8, -1).otherwise(read)  # more digits are no character
+
+    pieces = F.transform(F.split(c, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(decoded(x)))
+    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
 
 
 def clean_text(c: Column) -> Column:

@@ -14,6 +14,9 @@ from ..operators import corpus, dictionary, evaluation, grounding, memory, retri
 from ..session import small_side, table
 from ..sources import readers, sinks
 
+# The entities that the given tables may hold, the ampersand last.
+_ENTITIES = (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"), ("&apos;", "'"), ("&copy;", "©"), ("&middot;", "·"), ("&amp;", "&"))
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -279,12 +282,12 @@ def sanitize_headings(spark, d):
 
 
 _UN = "html"
-for _a, _b in X.ENTITIES:
+for _a, _b in _ENTITIES:
     _UN = f"replace({_UN}, '{_a.replace(chr(39), chr(39) * 2)}', '{_b.replace(chr(39), chr(39) * 2)}')"
 
 
 def _sql_clean(x: str) -> str:
-    for a, b in X.ENTITIES:
+    for a, b in _ENTITIES:
         x = f"replace({x}, '{a}', '{b.replace(chr(39), chr(39) * 2)}')"
     for p, n in ((" ", "' '"), (r"\r\n?", "chr(10)"), (r"\t", "' '"), (r"\n{3,}", "chr(10) || chr(10)"), (" {2,}", "' '"), (r"^\s+|\s+$", "''")):
         x = f"regexp_replace({x}, '{p}', {n}, 'g')"
