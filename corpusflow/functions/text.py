@@ -25,22 +25,27 @@ def unescape(c: Column) -> Column:
     names = F.create_map(*[F.lit(x) for kv in NAMED.items() for x in kv])
     windows = F.create_map(*[F.lit(x) for kv in C1.items() for x in kv])
 
+    def once(value: Column, body) -> Column:
+        return F.get(F.transform(F.array(value), body), F.lit(0))
+
     def decoded(piece: Column) -> Column:
-        head = F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);", 1)
-        digits = F.regexp_replace(head, r"^#[xX]?0*", "")
-        code = number(head, digits)
-        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
-        char = F.when(~valid, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
-        text = F.when(head.startswith("#"), char).otherwise(F.try_element_at(names, head))
+        return once(F.regexp_extract(piece, r"^(#[xX][0-9a-fA-F]+|#[0-9]+|[a-zA-Z][a-zA-Z0-9]*);", 1), lambda head: replaced(piece, head))
+
+    def replaced(piece: Column, head: Column) -> Column:
+        text = F.when(head.startswith("#"), once(number(head, F.regexp_replace(head, r"^#[xX]?0*", "")), char)).otherwise(F.try_element_at(names, head))
         return F.coalesce(F.concat(F.replace(text, F.lit("\u00a0"), F.lit(" ")), F.substr(piece, F.length(head) + 2)), F.concat(F.lit("&"), piece))
 
+    def char(code: Column) -> Column:
+        valid = code.between(1, 0x10FFFF) & ~code.between(0xD800, 0xDFFF)
+        return F.when(~valid, "\ufffd").otherwise(F.coalesce(F.try_element_at(windows, code), F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")))
+
     def number(head: Column, digits: Column) -> Column:
         own = F.when(digits == "", "0").otherwise(digits)
         read = F.when(head.rlike("^#[xX]"), F.conv(own, 16, 10)).otherwise(own).try_cast("long")
         return F.when(F.length(digits) > 8, -1).otherwise(read)  # more digits are no character
 
-    pieces = F.transform(F.split(c, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(decoded(x)))
-    return F.when(F.contains(c, F.lit("&")), F.array_join(pieces, "")).otherwise(c)
+    # the text stands here once, so that what made it is not computed again for each use
+    return F.array_join(F.transform(F.split(c, "&", -1), lambda x, i: F.when(i == 0, x).otherwise(decoded(x))), "")
 
 
 def clean_text(c: Column) -> Column:
@@ -105,9 +110,10 @@ def sanitize_heading(c: Column) -> Column:
 
 
 def strip_wikitext(c: Column) -> Column:
-    """Templates, tables, files, references, links, headings and emphasis, in that order."""
+    """Templates (up to five within each other, innermost first), tables, files, references, links, headings and emphasis, in that order."""
     for pattern, new in (
-        (r"(?s)\{\{[^{}]*\}\}", ""),
+        *[(r"(?s)\{\{[^{}]*\}\}", "")] * 5,
+        (r"(?s)\{\{.*?\}\}", ""),  # deeper ones, and those with single braces
         (r"(?s)\{\|.*?\|\}", ""),
         (r"(?is)\[\[(?:File|Image):[^\]]*\]\]", ""),
         (r"(?is)<ref[^>]*/>|<ref[^>]*>.*?</ref>", ""),

@@ -28,6 +28,7 @@ def one(spark, value, column):
         (text.sanitize_heading, "..: Title; ", "Title"),
         (text.sanitize_heading, ".. ", "Untitled"),
         (text.strip_wikitext, "{{x}}'''Bold''' [[a|b]] [[c]]<ref>r</ref>", "Bold b c"),
+        (text.strip_wikitext, "{{a|{{b|{{c}}}}|d}}Kept{{x|{y}z}} too", "Kept too"),
         (text.collapse_repeats, "This is said. This is said. Then that.", "This is said. This is said. Then that."),
         (text.collapse_repeats, "This is said again and again here. This is said again and again here. Then that.", "This is said again and again here. Then that."),
         (text.collapse_repeats, f"{LONG} {LONG}\n{LONG} End", f"{LONG} End"),
