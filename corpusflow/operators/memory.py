@@ -90,24 +90,30 @@ def recorded(rows: list[tuple], seen: list[tuple[int, str, float]], exclusive: b
 def merged(stored: DataFrame, observations: DataFrame) -> DataFrame:
     """Stored loci after further observations (subject, room, type, value, confidence, ord), which come after all that is stored.
 
-    The same as ``upsert`` over all observations so far. Only groups of subject, room and type are brought together.
+    The same as ``upsert`` over all observations so far, and as ``recorded`` for each subject, room and type: an active locus begins the run
+    of its slot, and windows and sums say the rest, so groups may be as many or as large as Spark sorts.
     """
-    import pandas as pd
-
     keys = ["subject", "room", "type"]
     names = [x.split()[0] for x in LOCUS.split(", ")]
     plain = lambda df, *cols: df.select(F.col("subject").cast("string").alias("subject"), F.coalesce("room", F.lit("")).alias("room"), F.coalesce("type", F.lit("")).alias("type"), *cols)
-
-    def meet(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        subject, room, kind = (old if len(old) else new).iloc[0][keys]
-        seen = list(zip(new["ord"].tolist(), new["value"].tolist(), new["confidence"].tolist(), strict=True))
-        rows = recorded(list(old[names[3:]].itertuples(index=False, name=None)), seen, kind in EXCLUSIVE and room != "")
-        out = pd.DataFrame(rows, columns=names[3:])
-        return out.assign(subject=subject, room=room or None, type=kind)[names]
-
-    new = plain(observations.where(F.trim("value") != ""), F.col("value"), F.col("confidence").cast("double").alias("confidence"), F.col("ord").cast("long").alias("ord"))
-    own = plain(stored, *names[3:])
-    return own.groupBy(*keys).cogroup(new.groupBy(*keys)).applyInPandas(meet, LOCUS)
+    own, none = plain(stored, *names[3:]), F.lit(None)
+    held = F.struct(F.col("confidence").alias("c"), F.col("evidence").cast("int").alias("n"), "first_ord", "last_ord")
+    old = own.where("superseded_by = -1").select(*keys, "value", held.alias("held"), none.cast("long").alias("ord"), none.cast("double").alias("confidence"))
+    new = plain(observations.where(F.trim("value") != ""), "value", none.cast(old.schema["held"].dataType).alias("held"), F.col("ord").cast("long").alias("ord"), F.col("confidence").cast("double").alias("confidence"))
+    exclusive = F.col("type").isin(*EXCLUSIVE) & (F.col("room") != "")
+    rows = old.unionByName(new).withColumn("slot", F.when(exclusive, F.lit("")).otherwise(F.col("value")))
+    # what is stored has no ord and comes first
+    order = Window.partitionBy(*keys, "slot").orderBy(F.asc_nulls_first("ord"), "value", "confidence")
+    rows = rows.withColumn("_new", F.when(F.lag("value").over(order).eqNullSafe(F.col("value")), 0).otherwise(1))
+    rows = rows.withColumn("run", F.sum("_new").over(order))
+    seen = F.array_sort(F.collect_list(F.when(F.col("held").isNull(), F.struct("ord", "confidence"))))
+    runs = rows.groupBy(*keys, "slot", "run", "value").agg(F.max("held").alias("held"), seen.alias("seen"))
+    ords = F.transform("seen", lambda x: x["ord"])
+    after = Window.partitionBy(*keys, "slot").orderBy("run")
+    moved = ema(F.transform("seen", lambda x: x["confidence"]), F.col("held"))
+    runs = runs.select(*keys, "slot", "run", "value", moved.alias("e"), F.coalesce("held.first_ord", F.array_min(ords)).alias("first_ord"), F.coalesce(F.array_max(ords), "held.last_ord").alias("last_ord"))
+    runs = runs.select(*keys, "value", F.col("e.c").alias("confidence"), F.col("e.n").cast("long").alias("evidence"), "first_ord", "last_ord", F.coalesce(F.lead("first_ord").over(after), F.lit(-1)).cast("long").alias("superseded_by"))
+    return runs.unionByName(own.where("superseded_by != -1")).withColumn("room", F.nullif("room", F.lit(""))).select(*names)
 
 
 def nearest(memory: DataFrame, queries: DataFrame, n: int = 6, penalty: Column | None = None) -> DataFrame:

@@ -195,3 +195,18 @@ def test_memory_by_vectors(spark, tmp_path):
     one = asked.where("query_id = 2")
     plan = memory.nearest(memory.kept_vectors(spark, str(tmp_path / "v"), one, buckets=8), one)._jdf.queryExecution().executedPlan().toString()
     assert len(re.findall(r"FileScan parquet", plan)) == 1 and re.search(r"PartitionFilters: \[[^]]*bucket", plan) and re.search(r"PushedFilters: \[[^]]*room", plan)
+
+
+def test_merging_is_recording_without_python_groups(spark):
+    rng = random.Random(5)
+    made = lambda start, n: [(rng.choice("ab"), rng.choice(["hall", "study", None, ""]), rng.choice(["condition", "symptom", None]), rng.choice("xyz"), rng.randrange(5, 100) / 100, start + i) for i in range(n)]
+    held, want = spark.createDataFrame([], memory.LOCUS), {}
+    for rows in (made(0, 90), made(90, 60), made(150, 1)):
+        out = memory.merged(held, spark.createDataFrame(rows, OBSERVED))
+        assert "InPandas" not in out._jdf.queryExecution().toString()
+        for s, room, kind, value, c, at in rows:
+            key = s, room or "", kind or ""
+            want[key] = memory.recorded(want.get(key, []), [(at, value, c)], key[2] in memory.EXCLUSIVE and key[1] != "")
+        got = sorted((x.subject, x.room or "", x.type, x.value, round(x.confidence, 9), *x[5:]) for x in out.collect())
+        assert got == sorted((*k, r[0], round(r[1], 9), *r[2:]) for k, v in want.items() for r in v)
+        held = spark.createDataFrame(out.collect(), memory.LOCUS)
