@@ -9,8 +9,8 @@ two letters there is scored too, as bigrams always like one letter better.  A se
 likeliest words of the labelled rows, and what they don't know is left to the bigrams.  The restored words are scored by their
 word starts and whole words under a log-linear model learned from labelled rows.  Texts of any length are read whole.
 
-Fitting reads at most ``max_rows`` labelled rows, chosen by the hash of their id (a documented bound on the classifier's
-sample); the language model counts all words of all documents.  Nulls and empty texts get the score of no evidence; an empty
+Fitting reads all labelled rows that are not held out, and their lattices once; the language model counts all words of all
+documents.  Nulls and empty texts get the score of no evidence; an empty
 table gives an empty one; repeated rows score alike; columns are kept, those of the added names are replaced.
 """
 
@@ -18,17 +18,17 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._store import materialize, text_batches
+from ._store import materialize, small_side, text_batches
 
 #: Letters that a sign may stand for.
 LEET = {"0": "o", "1": "il", "2": "z", "3": "e", "4": "a", "5": "s", "6": "bg", "7": "t", "8": "b", "9": "g", "@": "a", "$": "s", "!": "il", "|": "il", "+": "t", "(": "c", "€": "e", "£": "l", "*": "aeiou", "#": "h"}
@@ -163,29 +163,56 @@ def segment(letters: str, model: Chars, words: dict[str, float], longest: int) -
     return out
 
 
+#: Base of the hash of words, modulo 2^64.
+BASE = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sums_of(letters: str) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hashes of the prefixes of ``letters``, and the powers of the base."""
+    codes = np.frombuffer(letters.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64) + np.uint64(1)
+    powers = np.cumprod(np.append(np.uint64(1), np.full(len(codes), BASE)), dtype=np.uint64)
+    # the hash of a prefix, times a power that all its characters share, is a sum; an odd base has an inverse
+    inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
+    down = np.cumprod(np.append(np.uint64(1), np.full(len(codes), inverse)), dtype=np.uint64)
+    return np.append(np.uint64(0), np.cumsum(codes * down[:-1], dtype=np.uint64)), powers
+
+
+def hashes(words: list[str]) -> list[int]:
+    out = []
+    for w in words:
+        sums, _ = sums_of(w)
+        out.append(int(sums[-1]))
+    return out
+
+
 @dataclass
 class Words:
-    """Log-probabilities of the words of labelled rows."""
+    """Log-probabilities of the words of labelled rows, by their sorted hashes: some bytes a word, however many there are."""
 
-    logs: dict[str, float]
+    keys: np.ndarray
+    logs: np.ndarray
     longest: int
 
+    def within(self, letters: str) -> dict[str, float]:
+        """The known words among the substrings of ``letters``."""
+        out: dict[str, float] = {}
+        if not len(self.keys):
+            return out
+        sums, powers = sums_of(letters)
+        for size in range(1, min(self.longest, len(letters)) + 1):
+            own = (sums[size:] - sums[:-size]) * powers[: len(letters) - size + 1]
+            at = np.minimum(np.searchsorted(self.keys, own), len(self.keys) - 1)
+            for i in np.flatnonzero(self.keys[at] == own):
+                out[letters[i : i + size]] = float(self.logs[at[i]])
+        return out
 
-NO_WORDS = Words({}, 0)
 
+NO_WORDS = Words(np.zeros(0, np.uint64), np.zeros(0), 0)
 
-def lattice_words(text: str, model: Chars, cache: dict[str, str], words: Words | None = NO_WORDS) -> set[str]:
-    """The distinct restored words of a text; without ``words`` runs of single characters are passed over."""
-    low = text.lower()
+
+def token_words(low: str, model: Chars, cache: dict[str, str]) -> set[str]:
+    """The distinct restored words of the tokens of a lower-cased text."""
     out: set[str] = set()
-    if words is not None:
-        for m in _SPACED.finditer(low):
-            # letters set apart one by one are read together too; what a wider gap sets apart, by itself as well
-            for run in {m[0], *re.split(r"[ ._\-*~]{2}", m[0])}:
-                if sum(c.isalpha() for c in run) >= 2:
-                    for path in decode(run, model):
-                        out.update(path.split())
-                        out.update(segment("".join(c for c in path if not c.isspace()), model, words.logs, words.longest))
     for token in set(low.split()):
         known = cache.get(token)
         if known is None:
@@ -198,6 +225,33 @@ def lattice_words(text: str, model: Chars, cache: dict[str, str], words: Words |
     return out
 
 
+def spaced_paths(low: str, model: Chars) -> list[str]:
+    """The likeliest readings of the runs of single characters of a lower-cased text."""
+    out: dict[str, None] = {}
+    for m in _SPACED.finditer(low):
+        # letters set apart one by one are read together too; what a wider gap sets apart, by itself as well
+        for run in {m[0], *re.split(r"[ ._\-*~]{2}", m[0])}:
+            if sum(c.isalpha() for c in run) >= 2:
+                out.update(dict.fromkeys(decode(run, model)))
+    return list(out)
+
+
+def spaced_words(paths: list[str], model: Chars, words: Words) -> set[str]:
+    """The words of readings, and the likeliest words that their letters consist of."""
+    out: set[str] = set()
+    for path in paths:
+        letters = "".join(c for c in path if not c.isspace())
+        out.update(path.split())
+        out.update(segment(letters, model, words.within(letters), words.longest))
+    return out
+
+
+def lattice_words(text: str, model: Chars, cache: dict[str, str], words: Words = NO_WORDS) -> set[str]:
+    """The distinct restored words of a text."""
+    low = text.lower()
+    return token_words(low, model, cache) | spaced_words(spaced_paths(low, model), model, words)
+
+
 def restore(token: str, model: Chars) -> str:
     """Words that a token without white space may stand for, joined by spaces."""
     out = _PLAIN.findall(token)
@@ -210,7 +264,7 @@ def restore(token: str, model: Chars) -> str:
     return " ".join(dict.fromkeys(out))
 
 
-def features(words: set[str]) -> np.ndarray:
+def features(words: Iterable[str]) -> np.ndarray:
     """Buckets of whole words and of word starts of 4 to 6 letters."""
     names = set()
     for w in words:
@@ -261,35 +315,66 @@ def fit_chars(docs: DataFrame, text: str = "text") -> Chars:
     return log_model(out)
 
 
+LATTICES = "words array<string>, at array<int>, paths array<string>, label int"
+
+
+def lattices(labelled: DataFrame, chars: Chars, text: str, label: str) -> DataFrame:
+    """Of each labelled text the words of its tokens, their buckets, and the readings of its runs of single characters."""
+    sent = labelled.sparkSession.sparkContext.broadcast(chars)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cache: dict[str, str] = {}
+        for batch in batches:
+            words, at, paths = [], [], []
+            for t in batch.column(0).to_pylist():
+                low = t.lower()
+                words.append(list(token_words(low, sent.value, cache)))
+                at.append(np.unique(features(words[-1])))
+                paths.append(spaced_paths(low, sent.value))
+            kinds = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())
+            columns = [pa.array(c, kind) for c, kind in zip((words, at, paths), kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["words", "at", "paths", "label"])
+
+    return labelled.select(text, (F.col(label) > 0).cast("int").alias("label")).mapInArrow(run, LATTICES)
+
+
+def buckets_of(batch: pa.RecordBatch, chars: Chars, words: Words) -> Iterator[tuple[np.ndarray, int]]:
+    """The buckets and the label of each row (at, paths, label) of lattices."""
+    for at, paths, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        own = np.asarray(at, np.int64)
+        yield (np.union1d(own, features(spaced_words(paths, chars, words))) if paths else own), y
+
+
 def fit(labelled: DataFrame, chars: Chars, most: int = 4096, text: str = "text", label: str = "toxic") -> Model:
-    """Learn from the labelled texts of a bounded sample (see ``train``).  Copies count once.
+    """Learn from all labelled texts.  Copies count once.
 
     Words that stand in two rows or more cut joined runs.  Tasks count in how many rows of either label a bucket occurs; the ``most`` buckets that stand out most in label 1 get
-    weights by L1 logistic regression, which leaves a bucket out that others explain.
+    weights by L1 logistic regression, which leaves a bucket out that others explain. Rows that hold the same of these buckets are one with a weight.
     """
     spark = labelled.sparkSession
-    sample = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("_h")).agg(F.any_value(text).alias(text), F.max(F.col(label).cast("int")).alias(label))
-    sample = materialize(sample, "labelled")
-    words = fit_words(sample, chars, text)
+    text_batches(spark)
+    own = labelled.where(F.col(label).isNotNull() & F.col(text).isNotNull()).groupBy(F.sha2(text, 256).alias("_h")).agg(F.any_value(text).alias(text), F.max(F.col(label).cast("int")).alias(label))
+    own = materialize(lattices(own, chars, text, label), "lattices")
+    words = fit_words(own)
     sent = spark.sparkContext.broadcast((chars, words))
+    own = own.select("at", "paths", "label")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        both, n, cache = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64), {}
+        both, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for t, y in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                y = int(y > 0)
+            for at, y in buckets_of(batch, *sent.value):
                 n[y] += 1
-                both[y, np.unique(features(lattice_words(t, sent.value[0], cache, sent.value[1])))] += 1
+                both[y, at] += 1
         for y in (0, 1):
             i = np.flatnonzero(both[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.full(len(i) + 1, y)), pa.array(np.append(both[y, i], n[y]))], ["bucket", "label", "n"])
 
-    rows = sample.select(text, label).mapInArrow(count, "bucket bigint, label bigint, n bigint").groupBy("bucket", "label").agg(F.sum("n").alias("n")).toPandas()
+    rows = own.mapInArrow(count, "bucket bigint, label bigint, n bigint").groupBy("bucket", "label").agg(F.sum("n").alias("n")).toPandas()
     counts, total = np.zeros((2, BUCKETS)), np.zeros(2)
     for y in (0, 1):
-        own = rows[rows.label == y]
-        counts[y, own.bucket[own.bucket >= 0].to_numpy(int)] = own.n[own.bucket >= 0]
-        total[y] = own.n[own.bucket < 0].sum()
+        of = rows[rows.label == y]
+        counts[y, of.bucket[of.bucket >= 0].to_numpy(int)] = of.n[of.bucket >= 0]
+        total[y] = of.n[of.bucket < 0].sum()
     chosen = standouts(counts, total, most)
     if not len(chosen):
         return Model(chars, np.zeros(BUCKETS, np.float32), -3.0 if total[0] else 0.0, 1.0, words)
@@ -297,33 +382,33 @@ def fit(labelled: DataFrame, chars: Chars, most: int = 4096, text: str = "text",
     place[chosen] = np.arange(len(chosen))
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
         for batch in batches:
-            texts, labels = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            at = [place[np.unique(features(lattice_words(t, sent.value[0], cache, sent.value[1])))] for t in texts]
-            yield pa.RecordBatch.from_arrays([pa.array([a[a >= 0] for a in at], pa.list_(pa.int32())), pa.array([int(y > 0) for y in labels], pa.int32())], ["at", "label"])
+            got = list(buckets_of(batch, *sent.value))
+            at = [np.sort(place[a][place[a] >= 0]) for a, _ in got]
+            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array([y for _, y in got], pa.int32())], ["at", "label"])
 
-    found = sample.select(text, label).mapInArrow(occurrences, "at array<int>, label int").toPandas()
-    weights, bias = regress([np.asarray(a) for a in found["at"]], found["label"].to_numpy(float), len(chosen))
+    found = materialize(own.mapInArrow(occurrences, "at array<int>, label int").groupBy("at", "label").agg(F.count(F.lit(1)).alias("n")), "occurrences")
+    weights, bias = regress(found, len(chosen), total)
     out = np.zeros(BUCKETS, np.float32)
     out[chosen] = weights
     return Model(chars, out, bias, 1.0, words)
 
 
-def fit_words(sample: DataFrame, chars: Chars, text: str = "text") -> Words:
-    """The words that stand in two rows or more of a bounded sample, outside of joined runs."""
-    sent = sample.sparkSession.sparkContext.broadcast(chars)
+def fit_words(own: DataFrame) -> Words:
+    """The words that stand in two rows or more of lattices, outside of joined runs; their hashes come to the driver."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n, cache = Counter(), {}
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                n.update(lattice_words(t, sent.value, cache, None))
-        yield pa.RecordBatch.from_arrays([pa.array(n.keys(), pa.string()), pa.array(n.values(), pa.int64())], ["word", "n"])
+            keys = np.array(hashes(batch.column(0).to_pylist()), np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(keys), batch.column(1), batch.column(2)], ["key", "n", "size"])
 
-    rows = sample.select(text).mapInArrow(count, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n")).where("n > 1").toPandas()
-    logs = np.log(rows["n"] / max(1, rows["n"].sum()))
-    return Words(dict(zip(rows["word"], logs.tolist(), strict=True)), int(rows["word"].str.len().max()) if len(rows) else 0)
+    rows = own.select(F.explode("words").alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    rows = rows.select("word", "n", F.length("word").alias("size")).mapInArrow(hashed, "key bigint, n bigint, size int").toArrow()
+    if not rows.num_rows:
+        return NO_WORDS
+    keys, n = rows["key"].to_numpy().view(np.uint64), rows["n"].to_numpy()
+    order = np.argsort(keys)
+    return Words(keys[order], np.log(n[order] / n.sum()), int(rows["size"].to_numpy().max()))
 
 
 def standouts(counts: np.ndarray, total: np.ndarray, most: int) -> np.ndarray:
@@ -338,21 +423,67 @@ def standouts(counts: np.ndarray, total: np.ndarray, most: int) -> np.ndarray:
     return good[np.argsort(-z[good], kind="stable")[:most]]
 
 
-def regress(rows: list[np.ndarray], y: np.ndarray, width: int, steps: int = 400, l1: float = 2.0) -> tuple[np.ndarray, float]:
-    """Logistic regression with non-negative weights under an L1 penalty, by accelerated proximal steps."""
-    col = np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    w, b = np.zeros(width), float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+#: Occurrences that the driver may hold for the regression; more stay in tasks.
+HELD = 8_000_000
+
+
+@dataclass
+class Rows:
+    """Rows of equal buckets, as columns of their occurrences."""
+
+    row: np.ndarray
+    col: np.ndarray
+    y: np.ndarray
+    n: np.ndarray
+
+    @staticmethod
+    def of(at: list, y: np.ndarray, n: np.ndarray) -> Rows:
+        col = np.concatenate([*(np.asarray(a, np.int32) for a in at), np.zeros(0, np.int32)])
+        return Rows(np.repeat(np.arange(len(at), dtype=np.int32), [len(a) for a in at]), col, y.astype(float), n.astype(float))
+
+    def gradient(self, z: np.ndarray, b: float) -> np.ndarray:
+        """The sums of the errors for each bucket, and of all."""
+        p = 1 / (1 + np.exp(-np.clip(b + np.bincount(self.row, weights=z[self.col], minlength=len(self.y)), -30, 30)))
+        error = (p - self.y) * self.n
+        return np.append(np.bincount(self.col, weights=error[self.row], minlength=len(z)), error.sum())
+
+
+def regress(found: DataFrame, width: int, total: np.ndarray, steps: int = 400, l1: float = 2.0) -> tuple[np.ndarray, float]:
+    """Logistic regression of rows (at, label, n) with non-negative weights under an L1 penalty, by accelerated proximal steps.
+
+    Up to ``HELD`` occurrences of distinct rows are summed by the driver; more stay in tasks, of which each step adds up the gradients.
+    """
+    size = F.size("at")
+    seen, most = found.agg(F.coalesce(F.sum(size), F.lit(0)), F.coalesce(F.max(size), F.lit(0))).first()
+    degree = np.zeros(width)
+    for at, n in found.select(F.explode("at").alias("at"), "n").groupBy("at").agg(F.sum("n")).collect():  # as many as there are chosen buckets
+        degree[at] = n
+    packed = None
+    if seen <= HELD:
+        held = found.toPandas()
+        gradient = Rows.of(list(held["at"]), held["label"].to_numpy(), held["n"].to_numpy()).gradient
+    else:
+
+        def pack(rows: Iterator) -> Iterator[Rows]:
+            rows = list(rows)
+            yield Rows.of([r.at for r in rows], np.array([r.label for r in rows]), np.array([r.n for r in rows]))
+
+        packed = found.rdd.mapPartitions(pack).persist(StorageLevel.MEMORY_AND_DISK)
+        gradient = lambda z, b: packed.map(lambda r: r.gradient(z, b)).treeReduce(np.add)
+    rows = total.sum()
+    w, b = np.zeros(width), float(np.log((total[1] + 0.5) / (total[0] + 0.5)))
     # a bound of the curvature for each coordinate block
-    step = 4.0 / max(1.0, np.bincount(row, minlength=1).max()) / np.maximum(np.bincount(col, minlength=width), 1)
+    step = 4.0 / max(1.0, most) / np.maximum(degree, 1)
     z, zb, t = w.copy(), b, 1.0
     for _ in range(steps):
-        p = 1 / (1 + np.exp(-np.clip(zb + np.bincount(row, weights=z[col], minlength=len(y)), -30, 30)))
-        new = np.maximum(0.0, z - step * (np.bincount(col, weights=(p - y)[row], minlength=width) + l1))
-        nb = zb - 2.0 * float((p - y).mean())
+        g = gradient(z, zb)
+        new = np.maximum(0.0, z - step * (g[:-1] + l1))
+        nb = zb - 2.0 * float(g[-1] / rows)
         s = (1 + np.sqrt(1 + 4 * t * t)) / 2
         z, zb = new + (t - 1) / s * (new - w), nb + (t - 1) / s * (nb - b)
         w, b, t = new, nb, s
+    if packed is not None:
+        packed.unpersist()
     return w, b
 
 
@@ -370,12 +501,10 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
     return docs.withColumn("score", apply(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_rows: int = 20_000) -> Model:
-    """Both models.  Labels of held-out rows (crc32 of the id mod 4 is 2) are not read; of the others, the ``max_rows`` whose
-    ids hash lowest are the classifier's sample, which is small enough to be broadcast.  Conflicting labels of one id: the highest."""
+def train(docs: DataFrame, labels: DataFrame) -> Model:
+    """Both models.  Labels of held-out rows (crc32 of the id mod 4 is 2) are not read; all others are.  Conflicting labels of one id: the highest."""
     own = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    sample = own.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
-    return fit(docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), fit_chars(docs))
+    return fit(docs.select("doc_id", "text").join(small_side(own), "doc_id"), fit_chars(docs))
 
 
 def held_out(doc_id):

@@ -413,6 +413,37 @@ def test_toxicity_spaced_words(spark):
     assert {t[:60]: got[i] for i, t in enumerate(toxic + clean)} == {t[:60]: int(t in toxic) for t in toxic + clean}
 
 
+def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
+    """All labelled rows are read: words that a few of more than 20,000 rows hold are learned; gradients of tasks give what the driver's give."""
+    docs = spark.range(28_000).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.concat(F.lit("quiet row "), "id"), F.when(F.col("id") % 700 == 3, F.concat(F.lit("moron"), F.lit(" v"), "id"))).alias("text"))
+    labels = docs.select("doc_id", F.when(F.col("doc_id") % 700 == 3, 1).otherwise(0).alias("toxic"))
+    seen = []
+    real = toxicity.regress
+
+    def regress(found, width, total, **more):
+        seen.append((found.agg(F.sum("n")).first()[0], total.sum()))
+        return real(found, width, total, **more)
+
+    monkeypatch.setattr(toxicity, "regress", regress)
+    toxicity.train(docs, labels)
+    want = labels.where(~toxicity.held_out(F.col("doc_id"))).count()
+    assert want > 20_000 and seen == [(want, want)]
+    found = spark.createDataFrame([([0, 2], 1, 5), ([1], 0, 7), ([0], 1, 2), ([2], 0, 1), ([], 0, 9)], "at array<int>, label int, n long")
+    one, bias = real(found, 3, np.array([17, 7]), steps=8)
+    monkeypatch.setattr(toxicity, "HELD", 0)
+    two, again = real(found, 3, np.array([17, 7]), steps=8)
+    assert np.allclose(one, two) and abs(bias - again) < 1e-9 and one[0] > one[1] == 0
+
+
+def test_words_are_found_by_hash():
+    words = ["moron", "idiot", "a", "\u00e9a", "\U0001d4b3y", "x" * 40]
+    keys = np.array(toxicity.hashes(words), np.uint64)
+    order = np.argsort(keys)
+    own = toxicity.Words(keys[order], np.arange(6.0)[order], 40)
+    text = "xamoron\u00e9a\U0001d4b3yidio" + "x" * 41
+    assert own.within(text) == {w: float(i) for i, w in enumerate(words) if w in text}
+
+
 def test_urls(spark):
     urls = [None, "", "nope", "http://Example.COM/en/x", "https://www.example.com/en/", "http://a.net/es/q?x", "http://com", "http://x.org/porn", "http://x.org/casino-poker", "http://x.org/cheapcasino", "http://x.org/xxxl", "a://b://c/d#e"]
     df = spark.createDataFrame([(i, u, "h") for i, u in enumerate(urls)], "page_id long, url string, host string")
