@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpusflow.functions import metrics, rules, text
-from corpusflow.operators import corpus, dictionary, grounding, memory, sessions
+from corpusflow.operators import corpus, dictionary, grounding, memory, retrieval, sessions
 from corpusflow.sources import readers, sinks
 
 
@@ -180,3 +180,33 @@ def test_readers_and_sinks(spark, tmp_path):
 def test_normalize_query(spark):
     got = one(spark, "```The OD [pain] pain in THEE eye```", lambda c: rules.normalize_query(c, {"thee": "the"}, ("the",), (), ("od",)))
     assert got == "od pain eye"
+
+
+def test_bm25_of_tasks_is_that_of_joins(spark, monkeypatch):
+    """What tasks keep is what all joined scores give: in small slices, with words in most documents, null and empty texts; questions don't meet documents by a join."""
+    r = random.Random(3)
+    text = lambda n: " ".join(r.choice(["the", "the", "The", *"abcdefgh"]) for _ in range(n))
+    docs = spark.createDataFrame([(i, [None, "", text(5 + i % 7)][min(i % 9, 2)]) for i in range(300)], "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(i, text(6) if i else None) for i in range(20)] + [(99, "zz")], "item_id long, text string")
+    pairs = asked.select("item_id", F.explode(retrieval.words(F.col("text"))).alias("term")).groupBy("item_id", "term").agg(F.count(F.lit(1)).alias("times"))
+    want = retrieval.top_k(retrieval.joined_scores(docs, pairs), "item_id", [F.desc("score"), F.asc("doc_id")], 4)
+    want = sorted((x.item_id, x.rank, x.doc_id, x.score) for x in want.collect())
+    for size in (1 << 20, 50):
+        monkeypatch.setattr(retrieval, "SCORES", size)
+        got = retrieval.bm25_top_k(docs, asked, 4)
+        assert "Join" not in got._jdf.queryExecution().executedPlan().toString()
+        assert sorted((x.item_id, x.rank, x.doc_id, x.score) for x in got.collect()) == want and len(want) == 76
+    stored = retrieval.term_statistics(docs).where("term != 'a'").withColumn("idf", F.col("idf") + 1)
+    want = retrieval.top_k(retrieval.joined_scores(docs, pairs, stored), "item_id", [F.desc("score"), F.asc("doc_id")], 4).collect()
+    assert sorted(map(str, retrieval.bm25_top_k(docs, asked, 4, stored).collect())) == sorted(str(x) for x in retrieval.top_k(spark.createDataFrame(want).drop("rank"), "item_id", [F.desc("score"), F.asc("doc_id")], 4).withColumn("rank", F.col("rank").cast("long")).collect())
+    assert retrieval.bm25_top_k(docs.limit(0), asked).count() == 0 == retrieval.bm25_top_k(docs, asked.limit(0)).count()
+
+
+def test_term_statistics_in_small_tasks(spark, monkeypatch):
+    """Few terms are held at a time, and the counts are the same."""
+    docs = spark.createDataFrame([(i, f"w{i} w{i % 7} x") for i in range(400)], "doc_id long, text string")
+    want = {x.term: (x.df, round(x.idf, 9)) for x in retrieval.term_statistics(docs).collect()}
+    assert retrieval.COUNTED <= 1 << 17 and want["x"][0] == 400
+    monkeypatch.setattr(retrieval, "COUNTED", 5)
+    assert {x.term: (x.df, round(x.idf, 9)) for x in retrieval.term_statistics(docs).collect()} == want
+    assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) == 1000
