@@ -14,6 +14,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..session import text_batches
+
 BLANKS = re.compile(r"[ \t\n\x0b\f\r]+")
 
 
@@ -77,6 +79,7 @@ def phrase_hits(texts: DataFrame, keys: list[str], text: str, phrases: DataFrame
     occurrence counts. Null texts and empty phrases have no hits; hits of one phrase may overlap; equal phrases are one.
     """
     spark = texts.sparkSession
+    text_batches(spark)
     own = phrases.select(needle(phrase, words).alias("needle")).where("needle != '' AND needle != '*'").distinct()
     shares = max(1, -(-own.count() // most))
     held = texts.select(*keys, F.lower(text).alias("_text")).where("_text IS NOT NULL")

@@ -210,3 +210,11 @@ def test_merging_is_recording_without_python_groups(spark):
         got = sorted((x.subject, x.room or "", x.type, x.value, round(x.confidence, 9), *x[5:]) for x in out.collect())
         assert got == sorted((*k, r[0], round(r[1], 9), *r[2:]) for k, v in want.items() for r in v)
         held = spark.createDataFrame(out.collect(), memory.LOCUS)
+
+
+def test_phrases_take_small_batches(spark):
+    """Texts come to the automaton in batches of a bounded size, whatever a session had set."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+    texts, words = spark.createDataFrame([(1, "a b"), (2, None)], "key long, text string"), spark.createDataFrame([("b",)], "phrase string")
+    assert [x.key for x in automaton.phrase_hits(texts, ["key"], "text", words, "phrase").collect()] == [1]
+    assert spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "1000" and spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch") == str(4 << 20)
