@@ -40,7 +40,10 @@ EDGE = SIZE - 1
 NOISE, ITSELF, TWICE, APART = -2.0, -4.0, -2.5, -0.2
 UNKNOWN = -4.6  # log-probability of a word that the labelled rows don't hold twice
 BUCKETS = 1 << 18
+STARTS = (4, 5, 6)  # letters of word starts
 _SPACED = re.compile(r"(?<![^\W_])(?:[^\W_]|[@$!|+(*#€£])(?:[ ._\-*~]{1,2}(?:[^\W_]|[@$!|+(*#€£])){3,}(?![^\W_])")
+#: What every match of ``_SPACED`` holds, which most texts lack and which is found sooner.
+_SOME_SPACED = re.compile(r"[ ._\-*~](?:[^\W_]|[@$!|+(*#€£])[ ._\-*~]{1,2}(?:[^\W_]|[@$!|+(*#€£])[ ._\-*~]")
 _WORD = re.compile(r"[^\W_](?:[^\s]*[^\W_@$!|+(*#€£])?|[@$!|+(*#€£][^\s]*[^\W_]")
 _NOISY = re.compile(r"[0-9@$!|+(*#€£._\-~]")
 _LONG = re.compile(r"(.)\1{2,}|(?:(\w)\2){2}")
@@ -48,6 +51,10 @@ _LONG = re.compile(r"(.)\1{2,}|(?:(\w)\2){2}")
 _RUN = re.compile(r"([^\s._\-~*])(?:[\s._\-~*]{0,2}\1)*|.", re.S)
 _APART = re.compile(r"[\s._\-~]")
 _PLAIN = re.compile(r"[^\W\d_]+")
+#: Signs after a word that say nothing of it.
+_MARKS = ".,;:!?$*)]}'\""
+#: Tokens that a task remembers.
+REMEMBERED = 200_000
 
 
 def char_counts(words: list[str]) -> np.ndarray:
@@ -210,24 +217,83 @@ class Words:
 NO_WORDS = Words(np.zeros(0, np.uint64), np.zeros(0), 0)
 
 
-def token_words(low: str, model: Chars, cache: dict[str, str]) -> set[str]:
+def pieces(texts: Iterable[str], most: int = 1 << 20) -> Iterator[list[str]]:
+    """Texts in lists of about ``most`` characters, whose new tokens are handled at once."""
+    held, size = [], 0
+    for t in texts:
+        held.append(t)
+        size += len(t)
+        if size >= most:
+            yield held
+            held, size = [], 0
+    if held:
+        yield held
+
+
+def restored(tokens: list[str], model: Chars) -> list[str]:
+    """``restore`` of each token; those of letters alone that no lattice reads otherwise, which most are, are found together."""
+    cores = [t.rstrip(_MARKS) for t in tokens]
+    codes = np.frombuffer("\n".join(cores).encode("utf-32-le", "surrogatepass"), np.uint32)
+    same = np.append(codes[1:] == codes[:-1], [False, False, False])
+    # three in a row, or two doubled ones next to each other: at least what _LONG finds
+    at = np.flatnonzero(same[:-2] & (same[1:-1] | same[2:]))
+    first = np.cumsum([0, *(len(c) + 1 for c in cores)])
+    long = set((np.searchsorted(first, at, "right") - 1).tolist())
+    return [c if c.isalpha() and i not in long else restore(t, model) for i, (t, c) in enumerate(zip(tokens, cores, strict=True))]
+
+
+def token_buckets(tokens: list[str], model: Chars) -> tuple[list[str], np.ndarray, np.ndarray]:
+    """The restored words of each token, and the number of the token and the bucket of each bucket of these words."""
+    own = restored(tokens, model)
+    owner = np.repeat(np.arange(len(own)), [r.count(" ") + 1 if r else 0 for r in own])
+    word, bucket = word_buckets(" ".join(own).split())
+    return own, owner[word], bucket
+
+
+class Tokens:
+    """What a task remembers of tokens: their restored words, joined by spaces, and the buckets of these, end to end in one array."""
+
+    def __init__(self, model: Chars):
+        self.model = model
+        self.clear()
+
+    def clear(self) -> None:
+        self.place: dict[str, int] = {}
+        self.words: list[str] = []
+        self.first, self.buckets = np.zeros(1, np.int64), np.zeros(0, np.int32)
+
+    def add(self, tokens: list[str]) -> None:
+        own, owner, bucket = token_buckets(tokens, self.model)
+        self.place.update(zip(tokens, range(len(self.words), len(self.words) + len(tokens)), strict=True))
+        self.words += own
+        self.first = np.append(self.first, self.first[-1] + np.cumsum(np.bincount(owner, minlength=len(tokens))))
+        self.buckets = np.append(self.buckets, bucket[np.argsort(owner, kind="stable")].astype(np.int32))
+
+    def of(self, lows: list[str]) -> Iterator[tuple[list[str], np.ndarray]]:
+        """The distinct restored words of the tokens of lower-cased texts, and their buckets in order."""
+        if len(self.words) > REMEMBERED:
+            self.clear()
+        sets = [set(low.split()) for low in lows]
+        if new := set().union(*(own.difference(self.place) for own in sets)):
+            self.add(list(new))
+        for own in sets:
+            at = np.fromiter(map(self.place.__getitem__, own), np.int64, len(own))
+            first, n = self.first[at], self.first[at + 1] - self.first[at]
+            # the ranges of all tokens: a number for each bucket, which starts anew with each token
+            ranges = np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())
+            yield list(set(" ".join([self.words[i] for i in at.tolist()]).split())), np.unique(self.buckets[ranges])
+
+
+def token_words(low: str, model: Chars) -> set[str]:
     """The distinct restored words of the tokens of a lower-cased text."""
-    out: set[str] = set()
-    for token in set(low.split()):
-        known = cache.get(token)
-        if known is None:
-            known = restore(token, model)
-            if len(cache) > 200_000:
-                cache.clear()
-            cache[token] = known
-        if known:
-            out.update(known.split(" "))
-    return out
+    return {w for token in set(low.split()) for w in restore(token, model).split()}
 
 
 def spaced_paths(low: str, model: Chars) -> list[str]:
     """The likeliest readings of the runs of single characters of a lower-cased text."""
     out: dict[str, None] = {}
+    if not _SOME_SPACED.search(low):
+        return []
     for m in _SPACED.finditer(low):
         # letters set apart one by one are read together too; what a wider gap sets apart, by itself as well
         for run in {m[0], *re.split(r"[ ._\-*~]{2}", m[0])}:
@@ -246,10 +312,10 @@ def spaced_words(paths: list[str], model: Chars, words: Words) -> set[str]:
     return out
 
 
-def lattice_words(text: str, model: Chars, cache: dict[str, str], words: Words = NO_WORDS) -> set[str]:
+def lattice_words(text: str, model: Chars, words: Words = NO_WORDS) -> set[str]:
     """The distinct restored words of a text."""
     low = text.lower()
-    return token_words(low, model, cache) | spaced_words(spaced_paths(low, model), model, words)
+    return token_words(low, model) | spaced_words(spaced_paths(low, model), model, words)
 
 
 def restore(token: str, model: Chars) -> str:
@@ -264,15 +330,63 @@ def restore(token: str, model: Chars) -> str:
     return " ".join(dict.fromkeys(out))
 
 
-def features(words: Iterable[str]) -> np.ndarray:
+def buckets(words: Iterable[str]) -> set[int]:
     """Buckets of whole words and of word starts of 4 to 6 letters."""
     names = set()
     for w in words:
         names.add("=" + w)
-        for k in (4, 5, 6):
+        for k in STARTS:
             if len(w) > k:
                 names.add(w[:k])
-    return np.fromiter((zlib.crc32(n.encode()) % BUCKETS for n in names), np.int64, len(names))
+    return {zlib.crc32(n.encode()) % BUCKETS for n in names}
+
+
+def crc_table() -> np.ndarray:
+    out = np.arange(256, dtype=np.uint32)
+    for _ in range(8):
+        out = np.where(out & 1, (out >> 1) ^ np.uint32(0xEDB88320), out >> 1)
+    return out
+
+
+CRC = crc_table()
+
+
+def word_buckets(words: list[str], most: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """The number of the word and the bucket of each of the ``buckets`` of each word: the CRC-32 of all words goes on byte by byte.
+
+    Words of more than ``most`` bytes are taken one by one.
+    """
+    column = pa.array(words, pa.string())
+    if not len(column) or column.buffers()[2] is None:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    ends, data = np.frombuffer(column.buffers()[1], np.int32)[: len(words) + 1], np.frombuffer(column.buffers()[2], np.uint8)
+    size = np.diff(ends)
+    long = np.flatnonzero(size > most)
+    at = np.argsort(-size, kind="stable")[long.size :]
+    first, size = ends[at], size[at]
+    step = lambda state, byte: CRC[(state ^ byte) & 0xFF] ^ (state >> 8)
+    start = np.full(at.size, 0xFFFFFFFF, np.uint32)
+    whole, letters = step(start, np.uint32(ord("="))), np.zeros(at.size, np.int64)
+    out = []
+    for j in range(int(size.max(initial=0))):
+        n = int(np.searchsorted(-size, -j, "left"))  # words of more than j bytes
+        byte = data[first[:n] + j].astype(np.uint32)
+        begins = (byte & 0xC0) != 0x80
+        for k in STARTS:
+            if j >= k and (own := np.flatnonzero(begins & (letters[:n] == k))).size:
+                out.append((at[own], start[own]))
+        letters[:n] += begins
+        whole[:n], start[:n] = step(whole[:n], byte), step(start[:n], byte)
+    out.append((at, whole))
+    by_one = [(i, b) for i in long.tolist() for b in buckets([words[i]])]
+    word = np.concatenate([*(o for o, _ in out), np.array([i for i, _ in by_one], np.int64)])
+    return word, np.concatenate([*(~c % np.uint32(BUCKETS) for _, c in out), np.array([b for _, b in by_one], np.uint32)]).astype(np.int64)
+
+
+def features(words: Iterable[str]) -> np.ndarray:
+    """The buckets of words, as an array."""
+    own = buckets(words)
+    return np.fromiter(own, np.int64, len(own))
 
 
 @dataclass
@@ -283,26 +397,55 @@ class Model:
     scale: float
     words: Words
 
-    def score(self, text: str | None, cache: dict) -> float:
-        total = 0.0
-        if text:
-            f = features(lattice_words(text, self.chars, cache, self.words))
-            total = float(self.weights[np.unique(f)].sum())
-        return float(1 / (1 + np.exp(-np.clip(self.bias + self.scale * total, -30, 30))))
+    def evidence(self, batches: Iterable[Iterable[str | None]]) -> Iterator[np.ndarray]:
+        """The sums of the weights of the buckets of each text, by batch.
+
+        Most tokens have no bucket with a weight: they are kept as a set, so that one difference leaves the few tokens of a text that speak or are new.
+        """
+        silent: set[str] = set()
+        speak: dict[str, list[int]] = {}
+        for texts in batches:
+            totals = []
+            for own in pieces(t or "" for t in texts):
+                if len(silent) + len(speak) > REMEMBERED:
+                    silent.clear()
+                    speak.clear()
+                lows = [t.lower() for t in own]
+                sets = [set(low.split()) - silent for low in lows]
+                new = list(set().union(*sets).difference(speak))
+                _, owner, bucket = token_buckets(new, self.chars)
+                weighted = self.weights[bucket] != 0
+                for i, b in zip(owner[weighted].tolist(), bucket[weighted].tolist(), strict=True):
+                    speak.setdefault(new[i], []).append(b)
+                silent.update(set(new).difference(speak))
+                for low, tokens in zip(lows, sets, strict=True):
+                    found = {b for t in tokens - silent for b in speak[t]}
+                    if paths := spaced_paths(low, self.chars):
+                        found |= buckets(spaced_words(paths, self.chars, self.words))
+                    totals.append(self.weights[sorted(found)].sum(dtype=np.float64) if found else 0.0)
+            yield np.array(totals, np.float64)
+
+
+def byte_pairs(texts: list[bytes], piece: int = 1 << 20) -> np.ndarray:
+    """How often each byte (256 times the first and the second) follows another within a text: all texts are counted as one, in pieces, less the pairs across texts."""
+    total = np.zeros(65536, np.int64)
+    b = np.frombuffer(b"".join(texts), np.uint8)
+    for at in range(0, max(0, b.size - 1), piece):
+        own = b[at : at + piece + 1].astype(np.uint16)
+        total += np.bincount((own[:-1] << 8) | own[1:], minlength=65536)
+    ends = np.cumsum([len(t) for t in texts if t], dtype=np.int64)[:-1]
+    return total - np.bincount((b[ends - 1].astype(np.int64) << 8) | b[ends], minlength=65536) if ends.size else total
 
 
 def fit_chars(docs: DataFrame, text: str = "text") -> Chars:
     """The character model from all words of all documents: each task sums its bigrams, Spark adds the sums."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((256, 256), np.int64)
+        total = np.zeros(65536, np.int64)
         for batch in batches:
-            for t in batch.column(0).to_pylist():
-                if t:
-                    b = np.frombuffer(t.lower().encode(), np.uint8)
-                    total += np.bincount((b[:-1].astype(np.int64) << 8) | b[1:], minlength=65536).reshape(256, 256)
-        i, j = np.nonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(i * 256 + j), pa.array(total[i, j])], ["pair", "n"])
+            total += byte_pairs([t.lower().encode() for t in batch.column(0).to_pylist() if t])
+        own = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(own), pa.array(total[own])], ["pair", "n"])
 
     rows = docs.select(text).mapInArrow(count, "pair bigint, n bigint").groupBy("pair").agg(F.sum("n").alias("n")).collect()  # 65,536 rows at most
     out = np.zeros((SIZE, SIZE), np.int64)
@@ -323,14 +466,15 @@ def lattices(labelled: DataFrame, chars: Chars, text: str, label: str) -> DataFr
     sent = labelled.sparkSession.sparkContext.broadcast(chars)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache: dict[str, str] = {}
+        tokens = Tokens(sent.value)
         for batch in batches:
             words, at, paths = [], [], []
-            for t in batch.column(0).to_pylist():
-                low = t.lower()
-                words.append(list(token_words(low, sent.value, cache)))
-                at.append(np.unique(features(words[-1])))
-                paths.append(spaced_paths(low, sent.value))
+            for texts in pieces(batch.column(0).to_pylist()):
+                lows = [t.lower() for t in texts]
+                for own, buckets_of_own in tokens.of(lows):
+                    words.append(own)
+                    at.append(buckets_of_own)
+                paths += [spaced_paths(low, sent.value) for low in lows]
             kinds = pa.list_(pa.string()), pa.list_(pa.int32()), pa.list_(pa.string())
             columns = [pa.array(c, kind) for c, kind in zip((words, at, paths), kinds, strict=True)]
             yield pa.RecordBatch.from_arrays([*columns, batch.column(1)], ["words", "at", "paths", "label"])
@@ -338,11 +482,16 @@ def lattices(labelled: DataFrame, chars: Chars, text: str, label: str) -> DataFr
     return labelled.select(text, (F.col(label) > 0).cast("int").alias("label")).mapInArrow(run, LATTICES)
 
 
-def buckets_of(batch: pa.RecordBatch, chars: Chars, words: Words) -> Iterator[tuple[np.ndarray, int]]:
-    """The buckets and the label of each row (at, paths, label) of lattices."""
-    for at, paths, y in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-        own = np.asarray(at, np.int64)
-        yield (np.union1d(own, features(spaced_words(paths, chars, words))) if paths else own), y
+def buckets_of(batch: pa.RecordBatch, chars: Chars, words: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows (at, paths, label) of lattices the number in the batch and the bucket of each occurrence, and the labels of all."""
+    at, paths = batch.column(0), batch.column(1)
+    row, own = np.repeat(np.arange(batch.num_rows), at.value_lengths().to_numpy(zero_copy_only=False)), at.flatten().to_numpy().astype(np.int64)
+    more_rows, more = [], []
+    for i in np.flatnonzero(paths.value_lengths().to_numpy(zero_copy_only=False)):  # few rows have spaced runs
+        new = np.setdiff1d(features(spaced_words(paths[int(i)].as_py(), chars, words)), own[row == i])
+        more.append(new)
+        more_rows.append(np.full(new.size, i))
+    return np.concatenate([row, *more_rows]), np.concatenate([own, *more]), batch.column(2).to_numpy()
 
 
 def fit(labelled: DataFrame, chars: Chars, most: int = 4096, text: str = "text", label: str = "toxic") -> Model:
@@ -362,9 +511,9 @@ def fit(labelled: DataFrame, chars: Chars, most: int = 4096, text: str = "text",
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both, n = np.zeros((2, BUCKETS), np.int64), np.zeros(2, np.int64)
         for batch in batches:
-            for at, y in buckets_of(batch, *sent.value):
-                n[y] += 1
-                both[y, at] += 1
+            row, at, label = buckets_of(batch, *sent.value)
+            n += np.bincount(label, minlength=2)
+            both += np.bincount(label[row] * np.int64(BUCKETS) + at, minlength=2 * BUCKETS).reshape(2, BUCKETS)
         for y in (0, 1):
             i = np.flatnonzero(both[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.append(i, -1)), pa.array(np.full(len(i) + 1, y)), pa.array(np.append(both[y, i], n[y]))], ["bucket", "label", "n"])
@@ -383,9 +532,12 @@ def fit(labelled: DataFrame, chars: Chars, most: int = 4096, text: str = "text",
 
     def occurrences(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got = list(buckets_of(batch, *sent.value))
-            at = [np.sort(place[a][place[a] >= 0]) for a, _ in got]
-            yield pa.RecordBatch.from_arrays([pa.array(at, pa.list_(pa.int32())), pa.array([y for _, y in got], pa.int32())], ["at", "label"])
+            row, at, label = buckets_of(batch, *sent.value)
+            row, at = row[place[at] >= 0], place[at][place[at] >= 0]
+            order = np.lexsort((at, row))
+            ends = np.append(0, np.cumsum(np.bincount(row, minlength=batch.num_rows)))
+            own = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(at[order], pa.int32()))
+            yield pa.RecordBatch.from_arrays([own, pa.array(label, pa.int32())], ["at", "label"])
 
     found = materialize(own.mapInArrow(occurrences, "at array<int>, label int").groupBy("at", "label").agg(F.count(F.lit(1)).alias("n")), "occurrences")
     weights, bias = regress(found, len(chosen), total)
@@ -494,9 +646,9 @@ def score(docs: DataFrame, model: Model, text: str = "text", threshold: float =
 
     @F.pandas_udf("double")
     def apply(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        own, cache = sent.value, {}
-        for texts in batches:
-            yield pd.Series([own.score(t, cache) for t in texts], dtype="float64")
+        own = sent.value
+        for total in own.evidence(batches):
+            yield pd.Series(1 / (1 + np.exp(-np.clip(own.bias + own.scale * total, -30, 30))), dtype="float64")
 
     return docs.withColumn("score", apply(F.col(text))).withColumn("predicted", (F.col("score") >= threshold).cast("int"))
 

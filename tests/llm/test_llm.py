@@ -435,6 +435,44 @@ def test_toxicity_learns_from_every_labelled_row(spark, monkeypatch):
     assert np.allclose(one, two) and abs(bias - again) < 1e-9 and one[0] > one[1] == 0
 
 
+def test_toxicity_handles_tokens_together(monkeypatch):
+    """Words and buckets of many tokens at once are those of each by itself; a token is restored once a task, copies of it are looked up."""
+    r = random.Random(8)
+    model = toxicity.log_model(toxicity.char_counts(["the", "idiot", "moron", "cold"]))
+    tokens = list({"".join(r.choice("abo\u00e9\u00df\u00b20_.,!$*-\u597d\U0001d4b3\"") for _ in range(r.randrange(1, 12))) for _ in range(3000)}) + ["moron,", "x" * 200, "idiooot", "aabb", "!!!", ""]
+    assert toxicity.restored(tokens, model) == [toxicity.restore(t, model) for t in tokens]
+    own, owner, bucket = toxicity.token_buckets(tokens, model)
+    assert [set(bucket[owner == i].tolist()) for i in range(len(tokens))] == [toxicity.buckets(w.split()) for w in own]
+    texts = [" ".join(r.choices(tokens, k=40)) for _ in range(60)] + [""]
+    want = [toxicity.token_words(t, model) for t in texts]
+    monkeypatch.setattr(toxicity, "REMEMBERED", 100)
+    kept = toxicity.Tokens(model)
+    got = [x for some in toxicity.pieces(texts, 500) for x in kept.of(some)]
+    assert [set(w) for w, _ in got] == want and all(b.tolist() == sorted(toxicity.buckets(w)) for (_, b), w in zip(got, want))
+    seen, real = [], toxicity.restore
+    monkeypatch.setattr(toxicity, "restore", lambda t, m: seen.append(t) or real(t, m))
+    monkeypatch.setattr(toxicity, "REMEMBERED", 200_000)
+    weights = np.where(np.arange(toxicity.BUCKETS) % 3 == 0, 0.5, 0).astype(np.float32)
+    scored = np.concatenate(list(toxicity.Model(model, weights, -3.0, 1.0, toxicity.NO_WORDS).evidence([texts * 2, [None, "moron, " * 9]])))
+    single = [float(weights[sorted(toxicity.buckets(toxicity.lattice_words(t, model)))].sum()) for t in texts]
+    assert np.allclose(scored, [*single * 2, 0.0, weights[sorted(toxicity.buckets(["moron"]))].sum()])
+    # what is left of a text after its known tokens was seen once; letters alone never came so far
+    tokens_restored = seen[: len(seen) - sum(len(set(t.split())) for t in texts)]
+    assert len(tokens_restored) == len(set(tokens_restored)) and "moron," not in tokens_restored
+
+
+def test_toxicity_byte_pairs_stay_within_texts():
+    texts = ["ab", "", "bca", "\u00e9a", "q"]
+    want = np.zeros(65536, int)
+    for t in texts:
+        b = t.encode()
+        for x, y in zip(b, b[1:]):
+            want[256 * x + y] += 1
+    for piece in (1, 3, 1 << 20):
+        assert (toxicity.byte_pairs([t.encode() for t in texts], piece) == want).all()
+    assert toxicity.byte_pairs([]).sum() == toxicity.byte_pairs([b"", b"a"]).sum() == 0
+
+
 def test_words_are_found_by_hash():
     words = ["moron", "idiot", "a", "\u00e9a", "\U0001d4b3y", "x" * 40]
     keys = np.array(toxicity.hashes(words), np.uint64)
