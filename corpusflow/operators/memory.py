@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.metrics import dot
 from ..functions.rules import effective_distance, ema, recency_score, source_bucket, source_weight
+from ..session import small_side
 from .corpus import keep_first
+from .nearest import matrix
 from .retrieval import top_k
 
 #: Types of which a room has one active value.
@@ -116,20 +121,97 @@ def merged(stored: DataFrame, observations: DataFrame) -> DataFrame:
     return runs.unionByName(own.where("superseded_by != -1")).withColumn("room", F.nullif("room", F.lit(""))).select(*names)
 
 
+#: Memories and queries of a group that meet in one call, and queries multiplied at a time.
+TILE, ASKED, BLOCK = 8192, 16_384, 256
+#: What a product of matrices may differ from the sum in order, in units of the sixth place; vectors of less than a million components stay far below.
+SLACK = 1e-3
+
+
+def near_pairs(v: np.ndarray, n: np.ndarray, q: np.ndarray, qn: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows (place of query, place of memory, 1 - cosine) that hold each query's ``k`` first by that distance to six places and the place of the memory.
+
+    Products of matrices find them, with the few more that their last digits leave in doubt; of these the products are summed in order, as Spark does it.
+    """
+    out = []
+    place = np.arange(n.size, dtype=np.float64)
+    for at in range(0, qn.size, BLOCK):
+        with np.errstate(all="ignore"):
+            x = np.abs(1 - (q[at : at + BLOCK] @ v.T) / (qn[at : at + BLOCK, None] * n)) * 1e6 + 0.5
+        x[~np.isfinite(x)] = 4e6  # NaN comes last
+        low = np.floor(x - SLACK) * n.size + place
+        if n.size > k:
+            high = np.floor(x + SLACK) * n.size + place
+            a, b = np.nonzero(low <= np.partition(high, k - 1, axis=1)[:, k - 1 : k])
+        else:
+            a, b = np.nonzero(np.ones_like(low))
+        a += at
+        for part in range(0, a.size, 1 << 16):
+            i, m = a[part : part + (1 << 16)], b[part : part + (1 << 16)]
+            total = np.zeros(i.size)
+            with np.errstate(all="ignore"):
+                for c in range(v.shape[1]):
+                    total += v[m, c] * q[i, c]
+                out.append((i, m, 1 - total / (n[m] * qn[i])))
+    return tuple(np.concatenate(p) for p in zip(*out)) if out else (np.zeros(0, int), np.zeros(0, int), np.zeros(0))
+
+
+def near_candidates(held: DataFrame, asked: DataFrame, k: int) -> DataFrame:
+    """Of each query (query_id, subject, _asked, _q, _qn) its ``k`` nearest memories (with _n, the length of the vector) of the subject and room and some more: as ``held`` without the
+    vector, with ``distance``.
+
+    Memories and queries of a subject and room (or of all rooms) meet tile by tile, so a task holds one tile of either side however large a group is, and about
+    ``k`` rows a query and tile leave it. Every pair of a group is compared: that is the exact search.
+    """
+    spark = held.sparkSession
+    kept = [c for c in held.columns if c not in ("subject", "vector", "_n")]
+    group = ["subject", "_every", "_room"]
+    every = lambda n: F.explode(F.sequence(F.lit(0), n - 1))
+    asked = asked.where("subject is not null").withColumns({"subject": F.col("subject").cast(held.schema["subject"].dataType), "_every": F.col("_asked").isNull(), "_room": F.coalesce("_asked", F.lit(""))})
+    rooms = F.array(F.struct(F.lit(True).alias("e"), F.lit("").alias("r")), F.struct(F.lit(False).alias("e"), F.col("room").alias("r")))
+    items = held.withColumn("_g", F.explode(rooms)).where("_g.r is not null").withColumns({"_every": F.col("_g.e"), "_room": F.col("_g.r")}).drop("_g")
+    # only groups that are asked travel; those of more than a tile, at most one a tile of rows, are counted before
+    groups = small_side(asked.groupBy(*group).agg(F.ceil(F.count(F.lit(1)) / ASKED).cast("int").alias("_blocks")))
+    counted = items.join(groups.select(*group), group, "left_semi").groupBy(*group).count().where(F.col("count") > TILE)
+    large = spark.createDataFrame(counted.select(*group, F.ceil(F.col("count") / TILE).cast("int").alias("_tiles")).toArrow())
+    large = small_side(large.select(*(F.col(c).cast(items.schema[c].dataType).alias(c) for c in group), F.col("_tiles").cast("int").alias("_tiles")))
+    deal = lambda c, n: F.pmod(F.xxhash64(c), F.coalesce(F.col(n), F.lit(1))).cast("int")
+    left = items.join(groups, group).join(large, group, "left").withColumn("_tile", deal("ord", "_tiles")).withColumn("_block", every(F.col("_blocks"))).drop("_tiles", "_blocks")
+    right = asked.join(large, group, "left").join(groups, group).withColumn("_block", deal("query_id", "_blocks")).withColumn("_tile", every(F.coalesce("_tiles", F.lit(1)))).drop("_tiles", "_blocks")
+    # vectors of different lengths do not compare
+    left, right = left.withColumn("_dim", F.size("vector")), right.withColumn("_dim", F.size("_q"))
+    types = {"query_id": asked.schema["query_id"].dataType, "_asked": asked.schema["_asked"].dataType} | {c: held.schema[c].dataType for c in kept}
+
+    def pair(own: pa.Table, other: pa.Table) -> pa.Table:
+        # places follow ord, nulls first, as Spark sorts
+        own = own.take(pc.sort_indices(own, sort_keys=[("ord", "ascending")], null_placement="at_start")).combine_chunks()
+        other = other.combine_chunks()
+        i, m, x = np.zeros(0, int), np.zeros(0, int), np.zeros(0)
+        if own.num_rows and other.num_rows:
+            dim = own["_dim"][0].as_py()
+            (v, n), (q, qn) = ((matrix(t[a].combine_chunks(), dim), t[b].to_numpy()) for t, a, b in ((own, "vector", "_n"), (other, "_q", "_qn")))
+            i, m, x = near_pairs(v, n, q, qn, k)
+        queries, memories = other.select(["query_id", "_asked"]).take(pa.array(i)), own.select(kept).take(pa.array(m))
+        return pa.table([*queries.columns, *memories.columns, pa.array(x)], names=["query_id", "_asked", *kept, "distance"])
+
+    by = [*group, "_tile", "_block", "_dim"]
+    schema = ", ".join(f"`{c}` {t.simpleString()}" for c, t in types.items()) + ", distance double"
+    return left.groupBy(*by).cogroup(right.groupBy(*by)).applyInArrow(pair, schema)
+
+
 def nearest(memory: DataFrame, queries: DataFrame, n: int = 6, penalty: Column | None = None) -> DataFrame:
     """query_id, rank, room, type, value, distance, effective: the best ``n`` memories of the query's own subject.
 
     ``memory``: subject, room, type, value, vector, confidence, source, ord; ``queries``: query_id, subject, rooms (none: all), vector.
     For each room the ``3 n`` nearest by cosine distance (12 at least) are taken, of equal room, type and value the nearest; these are ranked by the
     distance plus ``penalty`` and what an unsure memory or a weak source adds. Subjects meet by an equal key alone: there is no
-    global search. Rows without a subject, a value or a vector of positive length have no part.
+    global search. Rows without a subject, a value or a vector of positive length have no part, nor have pairs of vectors of unequal numbers of components.
     """
     length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
     asked = queries.select("query_id", "subject", F.explode_outer("rooms").alias("_asked"), F.col("vector").alias("_q")).withColumn("_qn", length("_q")).where("_qn > 0")
     held = memory.where(F.trim("value") != "").withColumn("_n", length("vector")).where("_n > 0")
-    both = asked.join(held, "subject").where(F.col("_asked").isNull() | (F.col("_asked") == F.col("room")))
-    distance = F.abs(F.round(1 - dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn")), 6))
-    both = both.select("query_id", F.coalesce("_asked", F.lit("")).alias("_asked"), "room", "type", "value", "confidence", "source", "ord", distance.alias("distance"))
+    held = held.select("subject", "room", "type", "value", "confidence", "source", "ord", F.col("vector").cast("array<double>").alias("vector"), "_n")
+    asked = asked.withColumn("_q", F.col("_q").cast("array<double>"))
+    both = near_candidates(held, asked, max(3 * n, 12)).withColumns({"_asked": F.coalesce("_asked", F.lit("")), "distance": F.abs(F.round("distance", 6))})
     near = both.withColumn("_r", F.row_number().over(Window.partitionBy("query_id", "_asked").orderBy("distance", "ord"))).where(F.col("_r") <= max(3 * n, 12))
     near = keep_first(near.withColumn("_v", F.lower(F.trim("value"))), ["query_id", "room", "type", "_v"], ["distance", "ord"])
     weight = source_weight(source_bucket(F.col("source")))

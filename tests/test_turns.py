@@ -4,8 +4,10 @@ import random
 import re
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from corpusflow.functions.metrics import dot
 from corpusflow.operators import automaton, dictionary, entities, memory, sessions
 from corpusflow.streaming import recorder
 
@@ -197,6 +199,35 @@ def test_memory_by_vectors(spark, tmp_path):
     assert len(re.findall(r"FileScan parquet", plan)) == 1 and re.search(r"PartitionFilters: \[[^]]*bucket", plan) and re.search(r"PushedFilters: \[[^]]*room", plan)
 
 
+def test_memory_by_vectors_meets_in_tiles(spark, monkeypatch):
+    """What leaves the tiles is what a join of all pairs ranks first, with ties, copies, missing rooms and vectors that are no numbers or of another length, and little more."""
+    for name, n in (("TILE", 11), ("ASKED", 5), ("BLOCK", 3)):
+        monkeypatch.setattr(memory, name, n)
+    rng = random.Random(3)
+    vector = lambda: [rng.choice([0.1, 0.7, -0.3, 1.0]) for _ in range(3)]
+    rows = [(rng.choice("sssst"), rng.choice(["hall", "study", None]), "symptom", str(i % 7), vector(), 0.5, "patient", i) for i in range(150)]
+    rows += [("s", "hall", "symptom", "nan", [float("nan"), 1.0, 0.0], 0.5, "patient", 900), ("s", "hall", "symptom", "long", [1.0] * 4, 0.5, "patient", 901), ("s", "hall", "symptom", "missing", [1.0, None, 0.0], 0.5, "patient", 902)]
+    rows += [("s", "hall", "symptom", "copy", [0.3, 0.2, 0.9], 0.5, "patient", 1000 + i) for i in range(30)] + [(None, "hall", "symptom", "nobody", [1.0, 0.0, 0.0], 0.5, "patient", 903)]
+    held = spark.createDataFrame(rows, "subject string, room string, type string, value string, vector array<double>, confidence double, source string, ord long")
+    queries = [(i, rng.choice(["s", "s", "t", "u", None]), rng.choice([None, ["hall", "study"], ["study"]]), vector()) for i in range(25)] + [(99, "s", None, [0.3, 0.2, 0.9])]
+    asked = spark.createDataFrame(queries, "query_id long, subject string, rooms array<string>, vector array<double>")
+    length = lambda c: F.sqrt(dot(F.col(c), F.col(c)))
+    own = asked.select("query_id", "subject", F.explode_outer("rooms").alias("_asked"), F.col("vector").alias("_q")).withColumn("_qn", length("_q")).where("_qn > 0")
+    some = held.withColumn("_n", length("vector")).where("_n > 0")
+    order = Window.partitionBy("query_id", "_asked").orderBy("distance", "ord")
+
+    def first(pairs):
+        pairs = pairs.withColumn("distance", F.abs(F.round("distance", 6)))
+        return sorted((x.query_id, x._asked or "", x.r, x.ord, x.value, repr(x.distance)) for x in pairs.withColumn("r", F.row_number().over(order)).where("r <= 18").collect())
+
+    joined = own.join(some, "subject").where("(_asked is null or _asked = room) and size(vector) = size(_q)").withColumn("distance", 1 - dot(F.col("vector"), F.col("_q")) / (F.col("_n") * F.col("_qn")))
+    tiled = memory.near_candidates(some, own, 18)
+    assert first(tiled) == first(joined) and len({x[0] for x in first(tiled)}) > 10
+    few = memory.near_candidates(some, own, 2)
+    assert few.count() < joined.count() / 2 and "CoGroups" in few._jdf.queryExecution().executedPlan().toString()
+    assert memory.nearest(held, asked.limit(0)).count() == memory.nearest(held.limit(0), asked).count() == 0
+
+
 def test_merging_is_recording_without_python_groups(spark):
     rng = random.Random(5)
     made = lambda start, n: [(rng.choice("ab"), rng.choice(["hall", "study", None, ""]), rng.choice(["condition", "symptom", None]), rng.choice("xyz"), rng.randrange(5, 100) / 100, start + i) for i in range(n)]
