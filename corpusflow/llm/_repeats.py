@@ -1,8 +1,11 @@
-"""What the two operators on repeated windows share: anchors, their count-min sketch, and the way back to the texts.
+"""What the two operators on repeated windows share: anchors, which of them repeat, and the way back to the texts.
 
 Each window of ``width`` items (words or bytes) is represented by its anchor, the k-gram of least hash in it, which depends
 on the window's content alone: equal windows have equal anchors at the same place, and the count of a window is at most the
 count of its anchor.  Neighbouring windows share an anchor, so there are about ``2 / (width - k)`` anchors an item.
+
+Words have few anchors, and a count-min sketch of them is broadcast.  Bytes have many: their counts stay spread over the
+tasks, which answer to the buckets of documents that asked (``shared_anchors``), and texts meet the answers there.
 """
 
 from __future__ import annotations
@@ -12,6 +15,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -152,6 +156,161 @@ def likely(sketch: np.ndarray, h: np.ndarray, bits: int) -> np.ndarray:
     return out
 
 
+def homes(doc: np.ndarray, text_hash: np.ndarray, parts: int) -> np.ndarray:
+    """The bucket in which a document's text meets the answers to its anchors."""
+    return (T.mix(doc.view(T.U64) ^ T.mix(text_hash.view(T.U64))) % T.U64(parts)).astype(np.int64)
+
+
+def shares(h: np.ndarray, parts: int) -> np.ndarray:
+    """Of each hash the share that counts it, and below that 32 bits more: as many cells as the corpus has shares, times ``2**32``."""
+    return (h % T.U64(parts)) << T.U64(32) | h >> T.U64(32)
+
+
+def planes(x: np.ndarray) -> bytes:
+    """Numbers by planes of their bytes, of which the upper ones shrink well."""
+    return x.view(np.uint8).reshape(len(x), x.itemsize).T.tobytes()
+
+
+def from_planes(raw: memoryview, kind: type) -> np.ndarray:
+    size = np.dtype(kind).itemsize
+    return np.ascontiguousarray(np.frombuffer(raw, np.uint8).reshape(size, -1).T).view(kind).ravel()
+
+
+def answers(home: np.ndarray, cell: np.ndarray) -> pa.RecordBatch:
+    """One blob of distinct cells for each bucket of documents."""
+    order = np.lexsort((cell, home))
+    home, cell = home[order], cell[order]
+    new = np.r_[True, (home[1:] != home[:-1]) | (cell[1:] != cell[:-1])][: len(cell)]
+    home, cell = home[new], cell[new]
+    at = np.flatnonzero(np.r_[True, home[1:] != home[:-1]][: len(home)])
+    blobs = [squeeze(planes(np.diff(cell[i:j], prepend=T.U64(0)))) for i, j in zip(at, np.r_[at[1:], len(cell)], strict=True)] if len(at) else []
+    return pa.RecordBatch.from_arrays([pa.array(home[at], pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.ones(len(at), bool))], ["bucket", "blob", "ready"])
+
+
+def shared_anchors(docs: DataFrame, by_words: bool, width: int, k: int, parts: int) -> DataFrame:
+    """Cells of the anchors that two documents hold, as blobs for the buckets (see ``homes``) of these documents.
+
+    Each task asks for the cells of its documents, once a document, at the share that counts them; what two of its own documents
+    hold it answers itself and only reports, so that a frequent cell costs its share one number a task.  Nothing is sent to the
+    driver or broadcast, and shares follow the corpus: a cell that one document holds passes once in ``2**32 /`` the cells of a share.
+    """
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size, rows = [], 0, 0
+        for batch in batches:
+            home = homes(keys_of(batch.column(0)), batch.column(1).to_numpy(), parts)
+            data, off = T.column(batch.column(2))
+            for i, j in T.runs(off):
+                codes, first = items_of(data[off[i] : off[j]], off[i : j + 1] - off[i], by_words)
+                r = anchor_runs(codes, first, width, k)
+                held.append((shares(r.hash, parts), r.doc + rows + i, home[i:j][r.doc]))
+                size += len(r.hash)
+            rows += len(home)
+            if size > 1 << 20:
+                yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+                held, size = [], 0
+        if size:
+            yield from send(*(np.concatenate(x) for x in zip(*held, strict=True)))
+
+    def send(cell: np.ndarray, doc: np.ndarray, home: np.ndarray) -> Iterator[pa.RecordBatch]:
+        order = np.argsort(cell, kind="stable")  # documents stay in order
+        cell, doc, home = cell[order], doc[order], home[order]
+        new = np.r_[True, (cell[1:] != cell[:-1]) | (doc[1:] != doc[:-1])]
+        cell, home = cell[new], home[new]
+        at = np.flatnonzero(np.r_[True, cell[1:] != cell[:-1]])
+        n = np.diff(np.r_[at, len(cell)])
+        twice = np.repeat(n > 1, n)
+        yield answers(home[twice], cell[twice])
+        cell, who = cell[at], np.where(n > 1, 0, home[at] + 1).astype(np.uint32)  # 0: has its answer
+        share = (cell >> T.U64(32)).astype(np.int64)
+        low = cell.astype(np.uint32)
+        cut = np.flatnonzero(np.r_[True, share[1:] != share[:-1]])
+        blobs = [squeeze(planes(np.r_[np.diff(low[i:j], prepend=np.uint32(0)), who[i:j]])) for i, j in zip(cut, np.r_[cut[1:], len(cell)], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(share[cut], pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.zeros(len(cut), bool))], ["bucket", "blob", "ready"])
+
+    def answer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked: dict[int, list[pa.Scalar]] = {}
+        for batch in batches:
+            ready = batch.column(2)
+            if ready.true_count:
+                yield batch.filter(ready).select(["bucket", "blob"])
+            rest = batch.filter(pc.invert(ready))
+            for share, blob in zip(rest.column(0).to_pylist(), rest.column(1), strict=True):
+                asked.setdefault(share, []).append(blob)
+        for share in list(asked):
+            got = [from_planes(unsqueeze(blob), np.uint32).reshape(2, -1) for blob in asked.pop(share)]
+            low, who = np.concatenate([np.cumsum(x, dtype=np.uint32) for x, _ in got]), np.concatenate([x for _, x in got])
+            order = np.argsort(low)
+            low, who = low[order], who[order]
+            at = np.flatnonzero(np.r_[True, low[1:] != low[:-1]])
+            n = np.diff(np.r_[at, len(low)])
+            tell = np.repeat(n > 1, n) & (who > 0)
+            yield answers(who[tell].astype(np.int64) - 1, T.U64(share << 32) | low[tell].astype(T.U64)).select(["bucket", "blob"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(ask, "bucket int, blob binary, ready boolean")
+    return materialize(rows.repartition(parts, "bucket").mapInArrow(answer, "bucket int, blob binary"), "anchors")
+
+
+def at_home(docs: DataFrame, told: DataFrame, parts: int) -> DataFrame:
+    """The texts of ``docs`` in their buckets, as blobs of at most 4 MB or one text, beside the answers ``told``; ``read_home`` reads a task's share."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids, hashes, texts, size = [], [], [], 0
+        for batch in batches:
+            ids.append(keys_of(batch.column(0)))
+            hashes.append(batch.column(1).to_numpy())
+            texts.append(pc.fill_null(batch.column(2).cast(pa.large_string()), ""))
+            size += batch.column(2).nbytes
+            if size > 1 << 24:
+                yield send(np.concatenate(ids), np.concatenate(hashes), pa.concat_arrays(texts))
+                ids, hashes, texts, size = [], [], [], 0
+        if ids:
+            yield send(np.concatenate(ids), np.concatenate(hashes), pa.concat_arrays(texts))
+
+    def send(ids: np.ndarray, hashes: np.ndarray, texts: pa.Array) -> pa.RecordBatch:
+        bucket = homes(ids, hashes, parts)
+        order = np.argsort(bucket, kind="stable")
+        ids, hashes, bucket = ids[order], hashes[order], bucket[order]
+        data, off = T.column(texts.take(pa.array(order)))
+        cut = np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)])
+        numbers, blobs = [], []
+        for a, b in zip(cut, np.r_[cut[1:], len(bucket)], strict=True) if len(cut) else ():
+            for i, j in T.runs(off[a : b + 1], 1 << 22):
+                i, j = i + a, j + a
+                numbers.append(bucket[a])
+                blobs.append(squeeze(b"".join([np.int64(j - i).tobytes(), ids[i:j].tobytes(), hashes[i:j].tobytes(), (off[i : j + 1] - off[i]).tobytes(), data[off[i] : off[j]].tobytes()])))
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.ones(len(numbers), bool))], ["bucket", "blob", "text"])
+
+    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(pack, "bucket int, blob binary, text boolean")
+    return rows.union(told.select("bucket", "blob", F.lit(False).alias("text"))).repartition(parts, "bucket")
+
+
+def read_home(batches: Iterator[pa.RecordBatch]) -> tuple[np.ndarray, Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]]:
+    """The sorted cells that repeat, and ids, hashes, bytes and offsets of the texts, blob by blob; none where nothing repeats."""
+    cells, blobs = [np.zeros(0, T.U64)], []
+    for batch in batches:
+        for is_text, blob in zip(batch.column(2).to_pylist(), batch.column(1), strict=True):
+            if is_text:
+                blobs.append(blob)
+            else:
+                cells.append(np.cumsum(from_planes(unsqueeze(blob), T.U64), dtype=T.U64))
+
+    def texts() -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        for blob in blobs:
+            raw = unsqueeze(blob)
+            n = int(np.frombuffer(raw, np.int64, 1)[0])
+            ids, hashes, off = np.split(np.frombuffer(raw, np.int64, 3 * n + 1, 8), [n, 2 * n])
+            yield ids, hashes, np.frombuffer(raw, np.uint8, -1, 8 * (3 * n + 2)), off
+
+    found = np.unique(np.concatenate(cells))
+    return found, texts() if len(found) else iter(())
+
+
+def among(found: np.ndarray, cell: np.ndarray) -> np.ndarray:
+    """Whether the sorted numbers hold each cell."""
+    return found[np.minimum(np.searchsorted(found, cell), len(found) - 1)] == cell
+
+
 def squeeze(raw: bytes) -> bytes:
     """Sorted columns shrink well; the exchange is what fills disks."""
     return len(raw).to_bytes(8, "little") + pa.compress(raw, codec="zstd", asbytes=True)

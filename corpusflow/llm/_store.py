@@ -22,7 +22,9 @@ def _forget_at_exit(spark: SparkSession, path: str) -> None:
 
 def free_shuffles(spark: SparkSession) -> None:
     """Let Spark's cleaner drop the shuffle files of queries that have ended: it acts when the driver's JVM collects its garbage,
-    which a driver with little to do puts off while executors' disks fill."""
+    which a driver with little to do puts off while executors' disks fill.  Spark's listeners hold the last query that ended until
+    another one is announced to them, hence the small one."""
+    spark.sql("select 1").collect()
     spark.sparkContext._jvm.System.gc()
 
 

@@ -2,7 +2,8 @@
 
 A 50-byte window that also starts in an earlier document is found where both hold the same anchor (see ``_repeats``), so only
 the suffixes that start at anchors are sorted, as far as the windows of the anchor reach, with the bytes before the anchor
-beside them.  A count-min sketch leaves out anchors that occur in one document only; equal stretches within a task leave it
+beside them.  Anchors that occur in one document only are left out: their counts are spread over the tasks and answered to
+buckets of documents, where the texts meet them, so no table of them has to fit one machine.  Equal stretches within a task leave it
 once.  Each task sorts its suffixes into runs, dealt by the hash of their first ``k`` bytes so that equal prefixes meet, and
 sends the runs front-coded: the length of the prefix common with the suffix before, and the rest.  A loser tree merges the
 runs of a partition: it knows for each run how many bytes its next suffix shares with the last one given out, the longer
@@ -154,34 +155,33 @@ class _Run:
         self.keys = keys
 
 
-def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> tuple[DataFrame, int]:
+def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20) -> tuple[DataFrame, int]:
     """Spans of bytes to remove, as ``_repeats.span_rows`` packs them, and the number of their buckets."""
     text_batches(docs.sparkSession)
-    spark = docs.sparkSession
-    size = R.text_bytes(docs)
-    bits, parts = bits or R.sketch_bits(size, False, width, k), parts_for(spark, size)
-    sketch = spark.sparkContext.broadcast(R.repeated_anchors(docs, False, width, k, bits))
+    parts = parts_for(docs.sparkSession, R.text_bytes(docs))
+    told = R.shared_anchors(docs, False, width, k, parts)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, stored = R.read_home(batches)
         ids, hashes, texts, size = [], [], [], 0
-        for batch in batches:
-            ids.append(R.keys_of(batch.column(0)))
-            hashes.append(batch.column(1).to_numpy())
-            texts.append(T.column(batch.column(2)))
-            size += len(texts[-1][0])
+        for own, text_hash, data, off in stored:
+            ids.append(own)
+            hashes.append(text_hash)
+            texts.append((data, off))
+            size += len(data)
             if size > 1 << 23:  # one sorted run for each 8 MB of text
-                yield from sort(ids, hashes, texts)
+                yield from sort(found, ids, hashes, texts)
                 ids, hashes, texts, size = [], [], [], 0
         if ids:
-            yield from sort(ids, hashes, texts)
+            yield from sort(found, ids, hashes, texts)
 
-    def sort(ids, hashes, texts) -> Iterator[pa.RecordBatch]:
+    def sort(found, ids, hashes, texts) -> Iterator[pa.RecordBatch]:
         got, base, rows = [], 0, 0
         for data, off in texts:
             for i, j in T.runs(off):
                 own = data[off[i] : off[j]]
                 r = R.anchor_runs(T.CODE[own], off[i : j + 1] - off[i], width, k)
-                r = r.take(R.likely(sketch.value, r.hash, bits))
+                r = r.take(R.among(found, R.shares(r.hash, parts)))
                 if len(r.at):
                     whole = T.span_hashes_apart(own, r.lo, r.hi + width)
                     at = base + off[i]
@@ -221,16 +221,16 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
         yield pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(blobs, pa.binary()), pa.array(np.zeros(len(numbers), bool))], ["bucket", "spans", "ready"])
 
     def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs: dict[int, list[_Run]] = {}
+        runs: dict[int, list[pa.Scalar]] = {}
         for batch in batches:
             ready = batch.column(2)
             if ready.true_count:
                 yield batch.filter(ready).select(["bucket", "spans"])
             rest = batch.filter(pc.invert(ready))
             for b, blob in zip(rest.column(0).to_pylist(), rest.column(1), strict=True):
-                runs.setdefault(b, []).append(_Run(R.unsqueeze(blob)))
-        for b in list(runs):
-            yield from judged(runs.pop(b))
+                runs.setdefault(b, []).append(blob)
+        for b in list(runs):  # one is unpacked at a time
+            yield from judged([_Run(R.unsqueeze(blob)) for blob in runs.pop(b)])
 
     def judged(own: list[_Run]) -> Iterator[pa.RecordBatch]:
         merged = np.fromiter((x for pair in loser_tree([(r.keys, r.share.tolist()) for r in own]) for x in pair), np.int64).reshape(-1, 2)
@@ -246,7 +246,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
         # a suffix alone under its first k bytes is in one document only
         near = np.r_[share[1:], 0]
         keep = np.maximum(share, near) >= k
-        out = []
+        hit = np.zeros((len(at), width - k + 1), np.int8)
         back = np.zeros(len(at), T.U64)
         for o in range(width - k + 1):  # windows that start o bytes before the anchor
             if o:
@@ -259,13 +259,15 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20, bits: int | No
             alone = np.bincount(group[has], minlength=group[-1] + 1)[group[has]] < 2
             has = has[~alone]
             key = T.mix(back[has] ^ T.mix(group[has].astype(T.U64)))
-            later = has[doc[has] > least_of(key, doc[has])]
-            out.append((doc[later], text_hash[later], at[later] - o))
-        if out:
-            d, h, s = (np.concatenate(x) for x in zip(*out, strict=True))
-            yield R.span_rows(d, h, s, s + width, parts)
-
-    rows = docs.select("doc_id", F.xxhash64("text").alias("h"), "text").mapInArrow(deal, f"{R.SPANS}, ready boolean")
+            hit[has[doc[has] > least_of(key, doc[has])], o] = 1
+        # neighbouring windows of a suffix are one span
+        edge = np.diff(hit, axis=1, prepend=np.int8(0), append=np.int8(0))
+        row, first = np.nonzero(edge == 1)
+        last = np.nonzero(edge == -1)[1] - 1
+        if len(row):
+            yield R.span_rows(doc[row], text_hash[row], at[row] - last, at[row] - first + width, parts)
+
+    rows = R.at_home(docs, told, parts).mapInArrow(deal, f"{R.SPANS}, ready boolean")
     return rows.repartition(parts, "bucket").mapInArrow(settle, R.SPANS), parts
 
 
@@ -280,7 +282,7 @@ def least_of(key: np.ndarray, doc: np.ndarray) -> np.ndarray:
     return out
 
 
-def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = None) -> DataFrame:
+def remove(docs: DataFrame, width: int = 50, k: int = 20) -> DataFrame:
     """``docs`` with ``kept_bytes``, ``n_bytes``, ``n_removed``, ``n_spans`` and ``removed_spans``."""
     pairs = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
@@ -300,7 +302,7 @@ def remove(docs: DataFrame, width: int = 50, k: int = 20, bits: int | None = Non
         cols = [pa.array(kept, pa.binary()), *(pa.array(x, pa.int64()) for x in (n, gone, count)), pa.array(out, pairs)]
         return pa.StructArray.from_arrays(cols, ["kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans"])
 
-    rows = R.with_spans(docs, *repeated_spans(docs, width, k, bits))
+    rows = R.with_spans(docs, *repeated_spans(docs, width, k))
     return R.with_columns(docs, rows, cut("row.text", "spans"), ("kept_bytes", "n_bytes", "n_removed", "n_spans", "removed_spans"))
 
 
