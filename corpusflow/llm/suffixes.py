@@ -131,16 +131,16 @@ class _Run:
         docs, own = np.unique(np.stack([doc, text_hash]), axis=1, return_inverse=True)
         head = np.array([len(at), docs.shape[1], len(rest), len(before)], np.int64)
         small = np.stack([left, length, share]).astype(np.uint8)
-        return R.squeeze(b"".join(x.tobytes() for x in (head, docs, own.astype(np.uint32), at, small, rest, before)))
+        return R.squeeze(b"".join([head.tobytes(), R.planes(docs.ravel()), R.planes(own.astype(np.uint32)), R.planes(at), *(x.tobytes() for x in (small, rest, before))]))
 
     def __init__(self, blob: memoryview) -> None:
         n, d, r, b = np.frombuffer(blob, np.int64, 4).tolist()
         p = 32
-        docs = np.frombuffer(blob, np.int64, 2 * d, p).reshape(2, d)
+        docs = R.from_planes(blob[p : p + 16 * d], np.int64).reshape(2, d)
         p += 16 * d
-        own = np.frombuffer(blob, np.uint32, n, p)
+        own = R.from_planes(blob[p : p + 4 * n], np.uint32)
         p += 4 * n
-        self.at = np.frombuffer(blob, np.int64, n, p)
+        self.at = R.from_planes(blob[p : p + 8 * n], np.int64)
         p += 8 * n
         self.left, self.length, self.share = np.frombuffer(blob, np.uint8, 3 * n, p).reshape(3, n).astype(np.int64)
         p += 3 * n
@@ -169,7 +169,7 @@ def repeated_spans(docs: DataFrame, width: int = 50, k: int = 20) -> tuple[DataF
             hashes.append(text_hash)
             texts.append((data, off))
             size += len(data)
-            if size > 1 << 23:  # one sorted run for each 8 MB of text
+            if size > 1 << 25:  # one sorted run for each 32 MB of text
                 yield from sort(found, ids, hashes, texts)
                 ids, hashes, texts, size = [], [], [], 0
         if ids:
